@@ -12,27 +12,15 @@ from pyspark.sql import functions as F
 from ..operators import video as V
 from ..operators import words as W
 from ..sources import adapters as A
-from ..schemas import EMOJI_PATTERN, PUNCTUATION_AND_DIGITS, STOPWORDS, WHITESPACE_CLASS
+from ..schemas import EMOJI_PATTERN
 from .registry import REGISTRY, register
+from .sqltext import SQL_STOPWORDS, sql_str, sql_words
 
 # Loaded for their @register side effects.
 from . import catalog_profile, catalog_stats, catalog_eval, catalog_io  # noqa: F401,E402
 
 
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-# DuckDB forms of the word splitter (F1-F3) and the stopword list.
-SQL_WORDS = (
-    "list_filter(string_split_regex(lower(translate(@COL@, " + _sql_str(PUNCTUATION_AND_DIGITS)
-    + ", '')), " + _sql_str(WHITESPACE_CLASS) + "), lambda w: w <> '')"
-)
-SQL_STOPWORDS = "SELECT unnest([" + ", ".join(_sql_str(w) for w in STOPWORDS) + "]) AS word"
-
-
-def sql_words(col: str) -> str:
-    return SQL_WORDS.replace("@COL@", col)
+_sql_str = sql_str
 
 
 # ---------------------------------------------------------------------------- video ----

@@ -1 +1,239 @@
-"""Registered queries (eval)."""
+"""Registered queries: evaluation tables and the model pieces."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.scalar import argmax, decode_label, encode_label
+from ..functions.text import words
+from ..operators import evaluate as E
+from ..operators import model as M
+from ..operators import profile as P
+from ..schemas import PUNCTUATION_AND_DIGITS, QUANTILES, SEQ_LEN_TRAIN
+from ..sources import adapters as A
+from .registry import register
+
+from .catalog_profile import _nearest_sql
+from .sqltext import sql_words as _sql_words
+
+
+@register("f12_argmax", A.with_adapters("logits") + """
+SELECT id, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS predicted FROM logits""")
+def f12_argmax(spark: SparkSession, sf: str) -> DataFrame:
+    """index of the first maximal logit."""
+    return A.logits(spark, sf).select("id", argmax(F.col("logits")).alias("predicted"))
+
+
+@register("f13_label_roundtrip", A.with_adapters("logits") + """
+SELECT id, CASE label WHEN 0 THEN 'Positive' WHEN 1 THEN 'Neutral' WHEN 2 THEN 'Negative' END AS Sentiment,
+  label AS label_id FROM logits""")
+def f13_label_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """decode label ids to names and encode them back."""
+    lg = A.logits(spark, sf).select("id", decode_label(F.col("label")).alias("Sentiment"))
+    return lg.withColumn("label_id", encode_label(F.col("Sentiment")))
+
+
+@register("a18_confusion_matrix", A.with_adapters("predictions") + """
+SELECT Predicted,
+  count(*) FILTER (WHERE Sentiment = 'Positive') / (SELECT count(*) FROM predictions) AS Positive,
+  count(*) FILTER (WHERE Sentiment = 'Neutral') / (SELECT count(*) FROM predictions) AS Neutral,
+  count(*) FILTER (WHERE Sentiment = 'Negative') / (SELECT count(*) FROM predictions) AS Negative
+FROM predictions GROUP BY Predicted""")
+def a18_confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Confusion matrix as shares of all rows, Predicted descending."""
+    return E.confusion_matrix(A.predictions(spark, sf))
+
+
+@register("a19_class_accuracy", A.with_adapters("predictions") + """
+SELECT Sentiment, avg(CAST(Sentiment = Predicted AS DOUBLE)) AS accuracy FROM predictions GROUP BY Sentiment""")
+def a19_class_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """A19 + F19: accuracy per true class."""
+    return E.class_accuracy(A.predictions(spark, sf))
+
+
+@register("a20_accuracy", A.with_adapters("predictions") + """
+SELECT avg(CAST(Sentiment = Predicted AS DOUBLE)) AS accuracy FROM predictions""")
+def a20_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Overall accuracy."""
+    return E.accuracy(A.predictions(spark, sf))
+
+
+@register("a21_cross_entropy", A.with_adapters("logits") + """
+SELECT round(avg(ln(list_sum(list_transform(logits, lambda v: exp(v - list_max(logits)))))
+                 + list_max(logits) - logits[label + 1]), 9) AS cross_entropy FROM logits""")
+def a21_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean cross-entropy of the logits against the labels."""
+    ce = E.cross_entropy(A.logits(spark, sf))
+    return ce.select(F.round("cross_entropy", 9).alias("cross_entropy"))
+
+
+def _p9_sql() -> str:
+    return A.with_adapters("comments") + f"""
+, l AS (SELECT id, len({_sql_words('commentText')}) AS length FROM comments)
+SELECT id, length FROM l
+WHERE length < (SELECT avg(length) + 2.0 * stddev_samp(length) FROM l)"""
+
+
+def p9_outlier_cut(spark: SparkSession, sf: str) -> DataFrame:
+    """P9 + J6 + F15: comments whose word count is below mean + 2 sample std."""
+    c = A.comments(spark, sf).select("id", "commentText")
+    return P.outlier_cut(c, F.size(words(F.col("commentText"))), 2.0, "length").select("id", "length")
+
+
+def _a27_summary_sql() -> str:
+    return A.with_adapters("predictions_text") + f"""
+, l AS (SELECT Sentiment = Predicted AS Correct, len({_sql_words('CommentText')}) AS length FROM predictions_text)
+, k AS (SELECT * FROM l WHERE length < (SELECT avg(length) + 2.0 * stddev_samp(length) FROM l))
+SELECT Correct, count(*) AS n, avg(length) AS mean_length FROM k GROUP BY Correct"""
+
+
+def a27_length_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Token-length summary of correct vs wrong predictions after the outlier cut."""
+    summary, _ = E.length_accuracy(A.predictions(spark, sf, with_text=True))
+    return summary
+
+
+def _a27_quantiles_sql() -> str:
+    return A.with_adapters("predictions_text") + f"""
+, l AS (SELECT Sentiment = Predicted AS Correct, len({_sql_words('CommentText')}) AS length FROM predictions_text)
+, k AS (SELECT * FROM l WHERE length < (SELECT avg(length) + 2.0 * stddev_samp(length) FROM l))
+SELECT * FROM """ + _nearest_sql("k", "length", QUANTILES, "Correct")
+
+
+def a27_length_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """A27 + A12: nearest quantiles of token length for correct vs wrong predictions."""
+    _, q = E.length_accuracy(A.predictions(spark, sf, with_text=True))
+    return q
+
+
+@register("u5_report_set", A.with_adapters("predictions") + """
+, n AS (SELECT count(*) AS total FROM predictions)
+SELECT 'confusion' AS report, Predicted AS row_key, s.c AS "column", CAST(
+  count(*) FILTER (WHERE Sentiment = s.c) AS DOUBLE) / any_value(n.total) AS value
+FROM predictions, n, (VALUES ('Positive'), ('Neutral'), ('Negative')) AS s(c)
+GROUP BY Predicted, s.c
+UNION ALL
+SELECT 'class_accuracy', Sentiment, 'accuracy', avg(CAST(Sentiment = Predicted AS DOUBLE))
+FROM predictions GROUP BY Sentiment
+UNION ALL
+SELECT 'accuracy', '', 'accuracy', avg(CAST(Sentiment = Predicted AS DOUBLE)) FROM predictions""")
+def u5_report_set(spark: SparkSession, sf: str) -> DataFrame:
+    """The default report set run over one cached prediction frame, in long form."""
+    return E.reports_long(E.evaluate(A.predictions(spark, sf)))
+
+
+@register("x1_hash_split", """
+SELECT doc_id, CAST((('0x' || substr(md5(text), 1, 8))::UBIGINT % 100) AS INTEGER) AS bucket,
+  CASE WHEN (('0x' || substr(md5(text), 1, 8))::UBIGINT % 100) < 90 THEN 'train' ELSE 'test' END AS split
+FROM documents""")
+def x1_hash_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Deterministic 0.9 / 0.1 split by the md5 of the text (copies stay together)."""
+    d = A.read_table(spark, sf, "documents")
+    return M.hash_split(d.select("doc_id", "text"), F.col("text"), 0.9) \
+        .select("doc_id", M.hash_bucket(F.col("text")).alias("bucket"), "split")
+
+
+def _f14_sql() -> str:
+    return A.with_adapters("comments") + f"""
+, wr AS (SELECT id, unnest(generate_series(1, len(w))) AS pos, unnest(w) AS word
+         FROM (SELECT id, {_sql_words('commentText')} AS w FROM comments) t)
+, vocab AS (SELECT word, token_id FROM (
+    SELECT word, CAST(row_number() OVER (ORDER BY n DESC, word) + 1 AS INTEGER) AS token_id
+    FROM (SELECT word, count(*) AS n FROM wr GROUP BY word) c) v WHERE token_id <= 20001)
+, slots AS (SELECT id, unnest(generate_series(1, {SEQ_LEN_TRAIN})) AS pos FROM comments)
+SELECT s.id, s.pos, CAST(CASE WHEN wr.word IS NULL THEN 0 ELSE coalesce(vocab.token_id, 1) END AS INTEGER)
+  AS token_id
+FROM slots s LEFT JOIN wr ON wr.id = s.id AND wr.pos = s.pos LEFT JOIN vocab ON vocab.word = wr.word"""
+
+
+def f14_token_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """40-slot token id sequence per comment over a 20,000-word vocabulary built from
+    all comment text (0 pad, 1 unknown)."""
+    c = A.comments(spark, sf).select("id", "commentText")
+    vocab = M.build_vocabulary(c, "commentText", 20000)
+    return M.token_ids(c, "id", "commentText", vocab, SEQ_LEN_TRAIN)
+
+
+def _f15_sql() -> str:
+    return A.with_adapters("comments") + f"""
+SELECT id, len({_sql_words('commentText')}) AS n_tokens FROM comments"""
+
+
+def f15_token_length(spark: SparkSession, sf: str) -> DataFrame:
+    """token count of every comment."""
+    c = A.comments(spark, sf)
+    return c.select("id", F.size(words(F.col("commentText"))).alias("n_tokens"))
+
+
+_PY_TABLE = str.maketrans("", "", PUNCTUATION_AND_DIGITS)
+
+
+def _python_counts(batches):
+    for pdf in batches:
+        text = pdf["commentText"].fillna("")
+        yield pd.DataFrame({
+            "id": pdf["id"],
+            "n_chars": text.str.len().astype("int64"),
+            "n_words": text.map(lambda s: len(s.translate(_PY_TABLE).lower().split())).astype("int64"),
+        })
+
+
+def _u4_sql() -> str:
+    return A.with_adapters("comments") + f"""
+SELECT id, CAST(length(commentText) AS BIGINT) AS n_chars,
+  CAST(len({_sql_words('commentText')}) AS BIGINT) AS n_words FROM comments"""
+
+
+def u4_batched_map(spark: SparkSession, sf: str) -> DataFrame:
+    """U4: a batched pandas map over Arrow batches (character and word counts, Python rules)."""
+    c = A.comments(spark, sf).select("id", "commentText")
+    return c.mapInPandas(_python_counts, "id long, n_chars long, n_words long")
+
+
+register("p9_outlier_cut", _p9_sql())(p9_outlier_cut)
+register("a27_length_accuracy", _a27_summary_sql())(a27_length_accuracy)
+register("a27_length_quantiles", _a27_quantiles_sql())(a27_length_quantiles)
+register("f14_token_ids", _f14_sql())(f14_token_ids)
+register("f15_token_length", _f15_sql())(f15_token_length)
+register("u4_batched_map", _u4_sql())(u4_batched_map)
+
+
+# ------------------------------------------------------------------ model rows (R) ---
+
+@register("u1_score_comments")
+def u1_score_comments(spark: SparkSession, sf: str) -> DataFrame:
+    """U6 + U1: train the sentiment classifier on the hashed 0.8 fold of labelled comments,
+    then score every comment (rows-only check: model output)."""
+    c = A.comments(spark, sf)
+    lab = M.hash_split(M.labelled_comments(c), F.col("text"), 0.8)
+    model = M.train_sentiment(lab.where(F.col("split") == "train").drop("split"))
+    allc = c.select("id", F.col("commentText").alias("text"))
+    return M.score(model, allc).select("id", "Predicted")
+
+
+@register("u6_classifier_report")
+def u6_classifier_report(spark: SparkSession, sf: str) -> DataFrame:
+    """U6 + U5: held-out report of the classifier, next to the always-Positive baseline."""
+    c = A.comments(spark, sf)
+    lab = M.hash_split(M.labelled_comments(c), F.col("text"), 0.8)
+    model = M.train_sentiment(lab.where(F.col("split") == "train").drop("split"))
+    test = lab.where(F.col("split") == "test")
+    scored = M.score(model, test).withColumn("Sentiment", decode_label(F.col("label").cast("int")))
+    res = E.evaluate(scored.select("Sentiment", "Predicted"))
+    base = E.evaluate(test.select(decode_label(F.col("label").cast("int")).alias("Sentiment"),
+                                  F.lit("Positive").alias("Predicted")))
+    return E.reports_long(res).withColumn("model", F.lit("classifier")).unionByName(
+        E.reports_long(base).withColumn("model", F.lit("always_positive")))
+
+
+@register("u2_language_id")
+def u2_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Language identification (char 3-grams + naive Bayes) trained on the hashed 0.8
+    fold of documents, applied to every document."""
+    docs = A.read_table(spark, sf, "documents")
+    langs = ["de", "en", "es", "fr"]
+    rows = M.hash_split(M.language_training_rows(docs, langs), F.col("text"), 0.8)
+    model = M.language_pipeline().fit(rows.where(F.col("split") == "train").where(F.col("label").isNotNull()))
+    return M.predict_language(model, rows.select("id", "text"), langs).select("id", "language")
