@@ -34,7 +34,7 @@ def p1_list_videos(spark: SparkSession, sf: str) -> DataFrame:
 @register("p2_video_info", A.with_adapters("videos", "comments_wide") + """
 , st AS (SELECT videoId, sum(likeCount) AS likeCount, count(*) AS commentCount
          FROM comments_wide GROUP BY videoId)
-SELECT v.id, v.videoName, v.channelName, v.videoKey, v.categoryId, v.viewCount, v.category,
+SELECT v.id, v.videoName, v.channelName, v.videoKey, v.categoryId, v.viewCount, v.publishingDate, v.category,
   CAST(coalesce(st.likeCount, 0) AS BIGINT) AS likeCount,
   CAST(coalesce(st.commentCount, 0) AS BIGINT) AS commentCount,
   CASE WHEN v.viewCount <> 0

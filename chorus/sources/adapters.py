@@ -83,6 +83,8 @@ def videos_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 11).alias("videoKey"),
         F.col("p_size").cast("string").alias("categoryId"),
         F.floor("p_retailprice").cast("bigint").alias("viewCount"),
+        F.timestamp_add("MINUTE", F.col("p_partkey"),
+                        F.lit("2023-01-01 00:00:00").cast("timestamp_ntz")).alias("publishingDate"),
     )
 
 
@@ -183,7 +185,8 @@ FROM lineitem""",
     "videos_raw": """
 SELECT p_partkey AS id, p_name AS videoName, p_brand AS channelName,
   substr(md5(CAST(p_partkey AS VARCHAR)), 1, 11) AS videoKey,
-  CAST(p_size AS VARCHAR) AS categoryId, CAST(floor(p_retailprice) AS BIGINT) AS viewCount
+  CAST(p_size AS VARCHAR) AS categoryId, CAST(floor(p_retailprice) AS BIGINT) AS viewCount,
+  TIMESTAMP '2023-01-01 00:00:00' + p_partkey * INTERVAL 1 MINUTE AS publishingDate
 FROM part""",
     "videos": """
 SELECT v.*, coalesce(m.category, 'No category') AS category
