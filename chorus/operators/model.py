@@ -72,19 +72,18 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame,
     """fixed-length id sequence per text: words -> ids (unknown 1), right-padded with
     ``pad_id`` or truncated to ``seq_len``. Output: (id, pos 1..seq_len, token_id).
 
-    Only the first ``seq_len`` words can reach the sequence, so only they are looked up; the
-    vocabulary side is bounded by its size parameter and broadcast.
+    One pass over the text: each row emits its ``seq_len`` slots (word or NULL past the end),
+    and the slots meet the vocabulary - bounded by its size parameter - in a broadcast join.
     """
-    pos_words = df.select(id_col, F.posexplode(words(F.col(text_col))).alias("pos", "word")) \
-        .where(F.col("pos") < seq_len)
-    v = F.broadcast(vocab.select(F.col("word").alias("__w"), "token_id"))
-    looked = pos_words.join(v, F.col("word") == F.col("__w"), "left").select(
-        id_col, (F.col("pos") + 1).alias("pos"),
-        F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("token_id"))
-    # pad: every text gets positions 1..seq_len
-    slots = df.select(id_col, F.explode(F.sequence(F.lit(1), F.lit(seq_len))).alias("pos"))
-    return slots.join(looked, [id_col, "pos"], "left").select(
-        id_col, "pos", F.coalesce("token_id", F.lit(pad_id)).cast("int").alias("token_id"))
+    slots = F.transform(F.sequence(F.lit(1), F.lit(seq_len)),
+                        lambda i: F.struct(i.alias("pos"), F.try_element_at(F.col("__w"), i).alias("word")))
+    exploded = (df.select(id_col, words(F.col(text_col)).alias("__w"))
+                .select(id_col, F.inline(slots)))
+    v = F.broadcast(vocab.select(F.col("word").alias("__vw"), "token_id"))
+    looked = exploded.join(v, F.col("word") == F.col("__vw"), "left")
+    tid = (F.when(F.col("word").isNull(), F.lit(pad_id))
+           .otherwise(F.coalesce("token_id", F.lit(UNKNOWN_ID))))
+    return looked.select(id_col, "pos", tid.cast("int").alias("token_id"))
 
 
 def token_sequence(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame,

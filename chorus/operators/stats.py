@@ -94,7 +94,8 @@ def quantiles(df: DataFrame, value_col: str, probs: Sequence[float] = QUANTILES,
     spark = df.sparkSession
     r = value_ranks(df, value_col, g, n_buckets)
     sizes = r.select(*g, F.col("n_group").alias("__size")).distinct()
-    qdf = F.broadcast(spark.createDataFrame([(float(q),) for q in probs], "quantile double"))
+    from ..sources.literal import literal_table
+    qdf = F.broadcast(literal_table(spark, [(float(q),) for q in probs], [("quantile", "double")]))
     targets = sizes.crossJoin(qdf)
     pos = (F.col("__size") - 1) * F.col("quantile")
     if interpolation == "nearest":
@@ -185,7 +186,8 @@ def chisquare_uniform(df: DataFrame, class_col: str, classes: Sequence[str],
     k = len(classes)
     observed = df.where(F.col(class_col).isin(list(classes))).groupBy(class_col) \
         .agg(F.count(F.lit(1)).alias("observed"))
-    all_cls = F.broadcast(spark.createDataFrame([(c,) for c in classes], f"{class_col} string"))
+    from ..sources.literal import literal_table
+    all_cls = F.broadcast(literal_table(spark, [(c,) for c in classes], [(class_col, "string")]))
     obs = all_cls.join(observed, class_col, "left").select(
         class_col, F.coalesce("observed", F.lit(0)).cast("double").alias("o"))
     total = obs.agg(F.sum("o").alias("__total"))

@@ -18,7 +18,8 @@ from .video import _check_sentiment, top_k_per_group
 
 def stopwords_df(spark: SparkSession) -> DataFrame:
     """The 239 stopwords (fixed size: broadcast-safe)."""
-    return spark.createDataFrame([(w,) for w in STOPWORDS], "word string")
+    from ..sources.literal import literal_table
+    return literal_table(spark, [(w,) for w in STOPWORDS], [("word", "string")])
 
 
 def word_rows(df: DataFrame, text_col: str, keep: list[str], with_position: bool = False) -> DataFrame:

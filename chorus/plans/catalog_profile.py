@@ -124,7 +124,8 @@ def a11_category_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _label_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(LABEL_IDS.items()), "sentiment string, label int")
+    from ..sources.literal import literal_table
+    return literal_table(spark, list(LABEL_IDS.items()), [("sentiment", "string"), ("label", "int")])
 
 
 @register("j3_strict_label_encode", A.with_adapters("comments_wide") + """

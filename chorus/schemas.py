@@ -181,6 +181,12 @@ STOPWORDS = sorted(set(STOPWORDS_LISTED))
 PUNCTUATION_AND_DIGITS = string.punctuation + "1234567890"
 
 # Characters that separate words (Python's str.split() whitespace set).
+WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+# The same set as a regular-expression class (used where a regex split is needed).
 WHITESPACE_CLASS = (
     "[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
     "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"

@@ -70,8 +70,9 @@ def comments_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def category_map(spark: SparkSession) -> DataFrame:
     """The 32-row category dictionary (fixed size: safe to broadcast)."""
+    from .literal import literal_table
     rows = [(k, v) for k, v in schemas.CATEGORIES.items()]
-    return spark.createDataFrame(rows, "categoryId int, category string")
+    return literal_table(spark, rows, [("categoryId", "int"), ("category", "string")])
 
 
 def videos_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
