@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,8 +153,6 @@ def chi2_sf(x: Column, df: int) -> Column:
 
 
 def _chi2_sf_odd(x: Column, df: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("double")
     def sf(xs: pd.Series, ds: pd.Series) -> pd.Series:
         out = []

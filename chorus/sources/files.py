@@ -66,4 +66,8 @@ def aligned_lists(df: DataFrame, group_cols: Sequence[str], cols: Sequence[str],
     """
     packed = F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("__o"), *[F.col(c) for c in cols])))
     out = df.groupBy(*group_cols).agg(packed.alias("__rows"))
-    return out.select(*group_cols, *[F.transform("__rows", lambda s, c=c: s[c]).alias(c) for c in cols])
+    return out.select(*group_cols, *[F.transform("__rows", _field(c)).alias(c) for c in cols])
+
+
+def _field(name: str):
+    return lambda s: s[name]
