@@ -10,9 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def lookup_default(df: DataFrame, key: Column, dictionary: DataFrame, dict_key: str,
@@ -61,14 +60,23 @@ def attach_by_key(left: DataFrame, sidecar: DataFrame, key: str, how: str = "lef
 
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """Consecutive 0-based row positions in the current order.
+    """Consecutive 0-based row positions in the current order, computed JVM-side.
 
-    ``monotonically_increasing_id`` is not consecutive, so this uses ``zipWithIndex``:
-    one small job counts each partition, then every partition numbers its own rows.
+    The input is checkpointed first (to the shared checkpoint folder), so its partitions and
+    their row order are fixed for both passes. Each row's position inside its partition comes
+    from ``monotonically_increasing_id`` (partition index in the upper bits); a table of one
+    count per partition - bounded by the partition count - gives each partition its offset.
     """
-    schema = T.StructType(df.schema.fields + [T.StructField(name, T.LongType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda ri: (*ri[0], ri[1]))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    fixed = df.checkpoint(eager=True)
+    tagged = (fixed.withColumn("__pid", F.spark_partition_id())
+              .withColumn("__local", F.monotonically_increasing_id()
+                          - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
+    counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
+    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pid", F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"))
+    return (tagged.join(F.broadcast(offsets), "__pid", "inner")
+            .withColumn(name, F.col("__off") + F.col("__local"))
+            .drop("__pid", "__local", "__off"))
 
 
 def attach_by_position(left: DataFrame, sidecar: DataFrame) -> DataFrame:

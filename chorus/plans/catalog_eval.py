@@ -237,3 +237,51 @@ def u2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     rows = M.hash_split(M.language_training_rows(docs, langs), F.col("text"), 0.8)
     model = M.language_pipeline().fit(rows.where(F.col("split") == "train").where(F.col("label").isNotNull()))
     return M.predict_language(model, rows.select("id", "text"), langs).select("id", "language")
+
+
+@register("u7_search_run_log")
+def u7_search_run_log(spark: SparkSession, sf: str) -> DataFrame:
+    """U7 + S12 + U8: 15-trial random search (0.8/0.2 train-validation split, lowest log loss),
+    every trial appended to the run log; the best model is saved and re-loaded. Returns the
+    run log (rows-only check: model output)."""
+    from ..session import scratch_path
+    c = A.comments(spark, sf)
+    lab = M.hash_split(M.labelled_comments(c), F.col("text"), 0.8)
+    train = lab.where(F.col("split") == "train").drop("split")
+    best, results = M.search_sentiment(train, trials=15, parallelism=4)
+    log = scratch_path(spark, "run-log")
+    for params, loss in results:
+        M.log_run(spark, log, params, {"val_log_loss": loss})
+    path = scratch_path(spark, "best-model")
+    M.save_model(best, path)
+    M.load_model(path)
+    return spark.read.parquet(log).select("run_id", "key", "value", "kind")
+
+
+@register("s10_cached_language", A.with_adapters("comments") + "SELECT id, language FROM comments")
+def s10_cached_language(spark: SparkSession, sf: str) -> DataFrame:
+    """The language column is computed once into keyed Parquet and re-read afterwards."""
+    from ..session import scratch_path
+    path = scratch_path(spark, "language-cache")
+    M.cached_column(spark, path, lambda: A.comments(spark, sf).select("id", "language"))
+    return M.cached_column(spark, path, lambda: A.comments(spark, sf).select("id", "language"))
+
+
+@register("f16_report_values", A.with_adapters("comments_wide", "comments") + """
+, h AS (SELECT occurrences, count(*) AS n_keys FROM
+  (SELECT authorId, count(*) AS occurrences FROM comments_wide GROUP BY authorId) t GROUP BY occurrences)
+SELECT round((SELECT count(*) / count(DISTINCT videoId) FROM comments_wide), 2) AS mean_rows,
+       round((SELECT arg_min(n_keys, occurrences) / sum(n_keys) * 100.0 FROM h), 2) AS pct_first_bucket,
+       round((SELECT avg(CAST(language = 'en' AS DOUBLE)) * 100.0 FROM comments), 2) AS pct_en""")
+def f16_report_values(spark: SparkSession, sf: str) -> DataFrame:
+    """F16: report values with two decimals (mean comments per video, first-bucket share,
+    percent English)."""
+    from ..functions.scalar import report_round
+    w = A.comments_wide(spark, sf)
+    a = P.mean_rows_per_key(w, "videoId")
+    b = P.first_bucket_share(P.occurrence_histogram(w, "authorId"))
+    c = P.pct_where(A.comments(spark, sf), {"pct_en": F.col("language") == "en"})
+    return a.crossJoin(b).crossJoin(c).select(
+        report_round(F.col("mean_rows")).alias("mean_rows"),
+        report_round(F.col("pct")).alias("pct_first_bucket"),
+        report_round(F.col("pct_en")).alias("pct_en"))

@@ -1,6 +1,6 @@
 """The stored tables (S7, S8): Parquet laid out by ``videoId``.
 
-Rows are hash-partitioned by ``videoId`` and sorted inside each file, so a per-video question
+Rows are hash-partitioned by ``videoId`` (skewed videos split by AQE) and sorted inside each file, so a per-video question
 reads few row groups (Parquet min/max statistics on ``videoId``) and a later aggregation by
 ``videoId`` finds each video in one file set. Rewrites go to a new path; a path that is being
 read is never overwritten.
@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def store_by_video(df: DataFrame, path: str, mode: str = "append", files: int | None = None,
+def store_by_video(df: DataFrame, path: str, mode: str = "append",
                    sort_cols: Sequence[str] = ("videoId",)) -> None:
-    """Append rows to a Parquet table clustered by video."""
-    n = files or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    (df.repartition(int(n), "videoId").sortWithinPartitions(*sort_cols)
+    """Append rows to a Parquet table clustered by video.
+
+    ``rebalance`` hash-partitions by ``videoId`` and lets AQE split a partition that is too
+    large (a video holding a third of all comments becomes several files) and merge small ones.
+    """
+    (df.hint("rebalance", "videoId").sortWithinPartitions(*sort_cols)
        .write.mode(mode).parquet(path))
 
 
