@@ -17,14 +17,13 @@ from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (CountVectorizer, HashingTF, NGram, RegexTokenizer, SQLTransformer,
                                 UnivariateFeatureSelector, VectorAssembler)
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import TrainValidationSplit
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import decode_label, encode_label
 from ..functions.text import strip_emoji, words
 from ..schemas import RUN_LOG_SCHEMA, SEQ_LEN_TRAIN
-from .joins import exclude_words  # noqa: F401  (re-exported for pipelines that drop stopwords)
 
 
 # ------------------------------------------------------------------ X1: hash split ----
@@ -238,5 +237,3 @@ def log_run(spark: SparkSession, path: str, params: dict, metrics: dict, run_id:
     spark.createDataFrame(rows, RUN_LOG_SCHEMA).write.mode("append").parquet(path)
     return run_id
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["ParamGridBuilder"]
