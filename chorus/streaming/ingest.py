@@ -36,14 +36,23 @@ def comment_stream(spark: SparkSession, landing: str, max_files_per_trigger: int
 
 
 def start_ingest(spark: SparkSession, landing: str, sink: str, checkpoint: str,
-                 available_now: bool = True, max_files_per_trigger: int | None = None):
-    """Start the ingest query; rows land in Parquet at ``sink``. Returns the StreamingQuery."""
+                 available_now: bool = True, max_files_per_trigger: int | None = None,
+                 model=None):
+    """Start the ingest query; rows land in Parquet at ``sink``. Returns the StreamingQuery.
+
+    With a fitted sentiment ``model`` (U1), each micro-batch is scored before it is stored and
+    the rows carry a ``sentiment`` column.
+    """
 
     def append_new(batch: DataFrame, batch_id: int) -> None:
         fresh = batch
         if _path_exists(spark, sink):
             stored = spark.read.parquet(sink).select("id")
             fresh = batch.join(stored, "id", "left_anti")
+        if model is not None:
+            from ..operators.model import score
+            scored = score(model, fresh.withColumn("text", F.col("commentText")))
+            fresh = scored.drop("text", "probability").withColumnRenamed("Predicted", "sentiment")
         fresh.write.mode("append").parquet(sink)
 
     writer = (comment_stream(spark, landing, max_files_per_trigger).writeStream
@@ -53,8 +62,8 @@ def start_ingest(spark: SparkSession, landing: str, sink: str, checkpoint: str,
 
 
 def run_ingest(spark: SparkSession, landing: str, sink: str, checkpoint: str,
-               max_files_per_trigger: int | None = None) -> DataFrame:
+               max_files_per_trigger: int | None = None, model=None) -> DataFrame:
     """Process everything landed so far, then return the stored comments."""
-    q = start_ingest(spark, landing, sink, checkpoint, True, max_files_per_trigger)
+    q = start_ingest(spark, landing, sink, checkpoint, True, max_files_per_trigger, model)
     q.awaitTermination()
     return spark.read.parquet(sink)

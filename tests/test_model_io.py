@@ -100,3 +100,20 @@ def test_stream_counts_equal_batch(spark):
     got = SC.run_daily_counts(spark, landing, w.schema, scratch_path(spark, "res"), scratch_path(spark, "ck"), 1)
     batch = SC.daily_counts(w)
     assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
+
+
+def test_stream_ingest_scores_and_dedupes(spark, split):
+    from chorus.sources import api_json as JS
+    from chorus.streaming import ingest as SI
+    train, _ = split
+    model = M.train_sentiment(train)
+    c = A.comments(spark, SF_SMALL)
+    pages = JS.comment_pages(c, 10)
+    landing = scratch_path(spark, "land")
+    pages.write.json(landing)
+    pages.write.mode("append").json(landing)  # every page landed twice
+    out = SI.run_ingest(spark, landing, scratch_path(spark, "sink"), scratch_path(spark, "ck"),
+                        max_files_per_trigger=3, model=model)
+    assert out.count() == c.count() == out.select("id").distinct().count()
+    assert out.where("sentiment IS NULL").count() == 0
+    assert {r[0] for r in out.select("sentiment").distinct().collect()} <= {"Positive", "Neutral", "Negative"}
