@@ -2,7 +2,8 @@
 
 ``readStream`` over the landing folder -> explode -> watermark + ``dropDuplicatesWithinWatermark``
 on the comment id (bounded state) -> ``foreachBatch``: an anti join against the keys already
-stored (catches late copies that left the watermark) and an append. Progress and state live in
+stored for the same publishing days (catches late copies that left the watermark; the sink is
+partitioned by day, so only those partitions are read) and an append. Progress and state live in
 the checkpoint folder, so a restarted query resumes where it stopped and a lost executor
 only re-runs its micro-batch.
 """
@@ -45,15 +46,20 @@ def start_ingest(spark: SparkSession, landing: str, sink: str, checkpoint: str,
     """
 
     def append_new(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.withColumn("day", F.to_date("publishingDate")).persist()
         fresh = batch
         if _path_exists(spark, sink):
-            stored = spark.read.parquet(sink).select("id")
+            # a copy can only collide with stored rows of its own publishing day: read just
+            # those day partitions (the list is bounded by the days in one micro-batch)
+            days = [r[0] for r in batch.select("day").distinct().collect()]
+            stored = spark.read.parquet(sink).where(F.col("day").isin(days)).select("id")
             fresh = batch.join(stored, "id", "left_anti")
         if model is not None:
             from ..operators.model import score
             scored = score(model, fresh.withColumn("text", F.col("commentText")))
             fresh = scored.drop("text", "probability").withColumnRenamed("Predicted", "sentiment")
-        fresh.write.mode("append").parquet(sink)
+        fresh.write.mode("append").partitionBy("day").parquet(sink)
+        batch.unpersist()
 
     writer = (comment_stream(spark, landing, max_files_per_trigger).writeStream
               .foreachBatch(append_new).option("checkpointLocation", checkpoint))
@@ -66,4 +72,4 @@ def run_ingest(spark: SparkSession, landing: str, sink: str, checkpoint: str,
     """Process everything landed so far, then return the stored comments."""
     q = start_ingest(spark, landing, sink, checkpoint, True, max_files_per_trigger, model)
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).drop("day")
