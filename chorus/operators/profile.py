@@ -22,16 +22,16 @@ from .joins import with_scalars
 # ------------------------------------------------------------------ counts ----------
 
 def distinct_counts(df: DataFrame, cols: Sequence[str], count_null: bool = True,
-                    approximate: bool = False) -> DataFrame:
+                    approximate: bool = False, rsd: float = 0.05) -> DataFrame:
     """A3: number of distinct values of each column (``n_<col>``).
 
     With ``count_null`` a NULL counts as one more value (as a dataframe ``n_unique`` does);
-    ``approximate`` uses HyperLogLog++ (one small sketch per task instead of a shuffle of
-    the distinct values).
+    ``approximate`` uses HyperLogLog++ with relative standard deviation ``rsd`` (one small
+    sketch per task instead of a shuffle of the distinct values).
     """
     aggs = []
     for c in cols:
-        d = F.approx_count_distinct(c) if approximate else F.countDistinct(c)
+        d = F.approx_count_distinct(c, rsd) if approximate else F.countDistinct(c)
         if count_null:
             d = d + F.max(F.col(c).isNull().cast("int"))
         aggs.append(d.cast("bigint").alias(f"n_{c}"))

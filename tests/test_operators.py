@@ -209,3 +209,20 @@ def test_a17_histogram(spark):
     got = rows(P.histogram(df, "x", 5, lower=1, upper=4), "bin", "n")
     # kept 1..4, width 0.6: 1->0, 2->1, 3->3, 4->4 (last bin closed)
     assert got == [(0, 1), (1, 1), (3, 1), (4, 1)]
+
+
+def test_s8_delete_missing_id_is_noop(spark):
+    from chorus.sources import store as ST
+    videos = spark.createDataFrame([(1,), (2,)], "id long")
+    comments = spark.createDataFrame([(1, 10), (2, 20), (2, 21)], "videoId long, cid long")
+    v, c = ST.delete_videos(videos, comments, spark.createDataFrame([(99,)], "id long"))
+    assert v.count() == 2 and c.count() == 3
+    v, c = ST.delete_videos(videos, comments, spark.createDataFrame([(2,)], "id long"))
+    assert rows(v, "id") == [(1,)] and rows(c, "cid") == [(10,)]
+
+
+def test_a3_approximate_close_to_exact(spark):
+    df = spark.range(20000).select((F.col("id") % 5000).alias("k"))
+    exact = P.distinct_counts(df, ["k"], count_null=False).first()[0]
+    approx = P.distinct_counts(df, ["k"], count_null=False, approximate=True, rsd=0.01).first()[0]
+    assert exact == 5000 and abs(approx - exact) / exact < 0.05
