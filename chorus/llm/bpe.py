@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chorus.llm.common import map_arrow
 from chorus.llm.wordsplit import ChunkCache, WordSplitter, byte_chars, slices
 
 
@@ -133,7 +134,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), ids], names=[id_col, "ids"])
 
     kind = src.schema[0].dataType.simpleString()
-    return src.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return map_arrow(src, run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -151,4 +152,4 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
                                       names=[id_col, "ids", "decoded"])
 
     kind = src.schema[0].dataType.simpleString()
-    return src.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return map_arrow(src, run, f"`{id_col}` {kind}, ids array<int>, decoded string")

@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+import chorus
 from chorus.session import scratch_path
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(chorus.__file__).resolve().parent
+        made = shutil.make_archive(f"{tempfile.mkdtemp()}/chorus_package", "zip", root.parent, root.name)
+        sc.addPyFile(made)
+        _shipped.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read lazily by Spark (any file system Spark knows)."""
