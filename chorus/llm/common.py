@@ -7,6 +7,7 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import chorus
 from chorus.session import scratch_path
@@ -49,3 +50,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_or_plain(ids: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """``ids`` (a written table of one long column) with a broadcast hint if it has few rows.
+
+    Two million longs are 16 MB; a larger table is joined as Spark plans it.
+    """
+    return F.broadcast(ids) if ids.count() <= rows else ids
