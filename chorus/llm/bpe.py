@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorus.llm.common import map_arrow
-from chorus.llm.wordsplit import ChunkCache, WordSplitter, byte_chars, slices
+from chorus.llm.wordsplit import WordCodes, WordSplitter, byte_chars, slices
 
 
 class PairIndexBpe:
@@ -41,70 +41,82 @@ class PairIndexBpe:
             a, b, new = vocab[a], vocab[b], vocab[a + b]
             self.rules.append((a, b, new))
             self.rank.setdefault(a * self.size + b, r)
+        self.sorted_keys = np.array(sorted(self.rank), np.int64)
+        self.sorted_ranks = np.array([self.rank[k] for k in self.sorted_keys.tolist()], np.int64)
         self.text_of = {i: t for t, i in vocab.items()} | {i: t for t, i in self.splitter.special.items()}
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of every word as little-endian unsigned 32-bit bytes."""
-        size, rank, rules = self.size, self.rank, self.rules
+        """Ids of every (non-empty) word as little-endian unsigned 32-bit bytes."""
+        size, get, rules = self.size, self.rank.get, self.rules
         sym: list[int] = []
         starts: list[int] = []
+        inner, final = self.inner, self.final
         for w in words:
             raw = w.encode()
             starts.append(len(sym))
-            sym.extend([self.inner[b] for b in raw[:-1]])
-            sym.append(self.final[raw[-1]])
+            sym.extend([inner[b] for b in raw[:-1]])
+            sym.append(final[raw[-1]])
         n = len(sym)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for s in starts:
-            before[s] = -1
-            if s:
-                after[s - 1] = -1
-        if n:
-            after[n - 1] = -1
-        index: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            if after[i] > 0 and (r := rank.get(sym[i] * size + sym[i + 1])) is not None:
-                index.setdefault(r, []).append(i)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        before[starts] = -1
+        after[np.array(starts[1:] + [n] if n else [], np.int64) - 1] = -1
+        index = self._first_index(np.array(sym, np.int64), after)
+        after, before = after.tolist(), before.tolist()
         heap = list(index)
         heapify(heap)
-
-        def enter(r: int | None, at: int) -> None:
-            if r is None:
-                return
-            if r in index:
-                index[r].append(at)
-            else:
-                index[r] = [at]
-                heappush(heap, r)
-
         while heap:
             r = heappop(heap)
-            hits = sorted(index.pop(r))
+            hits = index.pop(r)
             a, b, new = rules[r]
+            if a == b:
+                hits.sort()  # of overlapping positions the leftmost goes first
             for done, i in enumerate(hits, 1):
                 j = after[i]
-                if j < 0 or sym[i] != a or sym[j] != b:
+                if sym[i] != a or j < 0 or sym[j] != b:
                     continue  # one of the two was merged meanwhile
                 k, p = after[j], before[i]
                 sym[i], sym[j], after[i] = new, -1, k
+                lower = False
                 if k >= 0:
                     before[k] = i
-                    enter(rank.get(new * size + sym[k]), i)
-                if p >= 0:
-                    enter(rank.get(sym[p] * size + new), p)
-                if heap and heap[0] < r:  # a lower rank became active: it goes first
-                    if done < len(hits):
-                        index[r] = hits[done:]
-                        heappush(heap, r)
+                    if (q := get(new * size + sym[k])) is not None:
+                        if q in index:
+                            index[q].append(i)
+                        else:
+                            index[q] = [i]
+                            heappush(heap, q)
+                            lower = q < r
+                if p >= 0 and (q := get(sym[p] * size + new)) is not None:
+                    if q in index:
+                        index[q].append(p)
+                    else:
+                        index[q] = [p]
+                        heappush(heap, q)
+                        lower = lower or q < r
+                if lower and done < len(hits):  # a lower rank became active: it goes first
+                    index[r] = sorted(hits[done:])
+                    heappush(heap, r)
                     break
-        out = []
-        for s in starts:
-            ids, i = [], s
+        codes, ends = [], []
+        for i in starts:
             while i >= 0:
-                ids.append(sym[i])
+                codes.append(sym[i])
                 i = after[i]
-            out.append(np.array(ids, dtype="<u4").tobytes())
-        return out
+            ends.append(4 * len(codes))
+        raw = np.array(codes, "<u4").tobytes()
+        return [raw[s:e] for s, e in zip([0, *ends], ends)]
+
+    def _first_index(self, sym: np.ndarray, after: np.ndarray) -> dict[int, list[int]]:
+        """rank -> positions of its pair in the untouched symbols, in ascending order."""
+        at = np.flatnonzero(after >= 0)
+        keys = sym[at] * self.size + sym[at + 1]
+        slot = np.minimum(np.searchsorted(self.sorted_keys, keys), len(self.sorted_keys) - 1)
+        known = self.sorted_keys[slot] == keys
+        at, rank = at[known], self.sorted_ranks[slot[known]]
+        order = np.argsort(rank, kind="stable")
+        rank, at = rank[order], at[order]
+        cuts = np.flatnonzero(np.diff(rank, prepend=-1))
+        return {int(rank[c]): part.tolist() for c, part in zip(cuts, np.split(at, cuts[1:]))}
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder: tokens are joined by one blank; unknown ids are left out."""
@@ -112,10 +124,10 @@ class PairIndexBpe:
 
 
 @functools.lru_cache(maxsize=2)
-def coder(path: str) -> tuple[PairIndexBpe, ChunkCache]:
-    """Per Python worker: the loaded file and the cache of encoded chunks."""
+def coder(path: str) -> tuple[PairIndexBpe, WordCodes]:
+    """Per Python worker: the loaded file and the codes of the words met so far."""
     bpe = PairIndexBpe(path)
-    return bpe, ChunkCache(bpe.splitter, bpe.encode_words)
+    return bpe, WordCodes(bpe.splitter, bpe.encode_words)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,12 +137,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         _, cache = coder(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             for lo, hi in slices(texts):
-                codes = cache.encode(texts[lo:hi])
-                ends = np.cumsum([0] + [len(c) // 4 for c in codes])
-                flat = np.frombuffer(b"".join(codes), dtype="<i4")
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                flat, ends = cache.encode(texts.slice(lo, hi - lo))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int32)))
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), ids], names=[id_col, "ids"])
 
     kind = src.schema[0].dataType.simpleString()

@@ -114,9 +114,9 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             for lo, hi in slices(texts):
-                sets = [shingle_set(t) for t in texts[lo:hi]]
+                sets = [shingle_set(t) for t in texts.slice(lo, hi - lo).to_pylist()]
                 yield pa.record_batch([
                     batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
@@ -154,9 +154,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             for lo, hi in slices(texts):
-                sets = [shingle_set(t) for t in texts[lo:hi]]
+                sets = [shingle_set(t) for t in texts.slice(lo, hi - lo).to_pylist()]
                 ends = np.cumsum([0] + [len(s) for s in sets])
                 flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo),

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorus.llm.common import map_arrow, written
-from chorus.llm.wordsplit import ChunkCache, WordSplitter, byte_chars, slices
+from chorus.llm.wordsplit import WordCodes, WordSplitter, byte_chars, slices
 
 #: sequence_id = partition number * ROOM + running number; merged leftovers lie above MERGED.
 ROOM, MERGED = 1 << 32, 1 << 62
@@ -50,9 +50,9 @@ def library_words(splitter: WordSplitter):
 
 
 @functools.lru_cache(maxsize=2)
-def cache_for(path: str) -> ChunkCache:
+def cache_for(path: str) -> WordCodes:
     splitter = WordSplitter(path)
-    return ChunkCache(splitter, library_words(splitter))
+    return WordCodes(splitter, library_words(splitter))
 
 
 class Packer:
@@ -143,10 +143,11 @@ def pack(docs: DataFrame, path: str, size: int = 2048, open_windows: int = 16, e
         base = TaskContext.get().partitionId() * ROOM
         seq = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo, hi in slices(texts):
-                for doc, code in zip(ids[lo:hi], cache.encode(texts[lo:hi])):
-                    code += close
+                flat, ends = cache.encode(texts.slice(lo, hi - lo))
+                for doc, first, last in zip(ids[lo:hi], ends, ends[1:]):
+                    code = flat[first:last].tobytes() + close
                     for window in packer.add((doc, 0, code, len(code) // 4)):
                         out.put(window, base + seq)
                         seq += 1

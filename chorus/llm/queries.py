@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm import bpe, langid, minhash, packing, urls, warc
+from chorus.llm import bpe, langid, minhash, packing, pii, urls, warc
 from chorus.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -48,6 +48,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base counts, their digest and all spans."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("all").alias("spans"))
+
+
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
     "op8_warc": op8_warc,
+    "op9_pii": op9_pii,
     "op10_urls": op10_urls,
 }
 

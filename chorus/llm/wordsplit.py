@@ -1,10 +1,10 @@
-"""Pre-tokenisation for the lower-casing word BPE: text -> chunks -> words.
+"""Pre-tokenisation for the lower-casing word BPE, and cached word codes.
 
 The tokenizer file asks for NFC, white space runs -> one blank, lower case, then a split into
-contractions, letter runs, single numerals and runs of anything else. White space always
-separates, so a text falls apart into chunks that can be looked up one by one. Texts made of
-characters whose treatment is plain (``PLAIN``) take the quick path; any other text goes through
-the tokenizers library's own normaliser and pre-tokeniser, so the answer is the library's.
+contractions, letter runs, single numerals and runs of anything else. Texts made of characters whose
+treatment is plain are split by Arrow's compute functions over a whole batch, and their distinct
+words are looked up once per batch. Any other text goes through the tokenizers library's own
+normaliser and pre-tokeniser, so the answer is the library's.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from __future__ import annotations
 import json
 import re
 
-import regex
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 # FIXED VALUES of the tokenizer file format this module understands.
@@ -24,9 +26,9 @@ PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 #: A character outside these is not plain: composed forms, special casing, odd white space.
-_NOT_PLAIN = re.compile("[^\t-\r\x20-\x7f\x80-ɏ‐-‧‰-⁞€]")
-_WORDS = regex.compile(SPLIT)
-_DONE = "\x1f"  # not plain, so no plain chunk starts with it: the rest is a finished word
+NOT_PLAIN = r"[^\t-\r\x20-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20ac}]"
+#: The words of ``SPLIT`` that are not letter runs; blanks around them leave words between blanks.
+APART = r"'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\x0b\x{85}\x{a0}\p{L}\p{N}]+"
 
 
 def byte_chars() -> list[str]:
@@ -37,7 +39,7 @@ def byte_chars() -> list[str]:
 
 
 class WordSplitter:
-    """Cuts texts into units: ``("chunk", str)`` to be looked up, or an id of a special token."""
+    """Cuts texts into words as the tokenizer file says."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -49,73 +51,92 @@ class WordSplitter:
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
-    def parts(self, text: str) -> list[tuple[bool, list[str]]]:
-        """Runs of (is_special, units); a special run holds the token's own text."""
-        if self._special is None or "<|" not in text:
-            return [(False, self.chunks(text))]
-        return [(True, [p]) if i % 2 else (False, self.chunks(p))
-                for i, p in enumerate(self._special.split(text)) if p]
-
-    def chunks(self, text: str) -> list[str]:
-        """White-space-free pieces whose words, taken in order, are the text's words."""
-        if _NOT_PLAIN.search(text) is None:
-            return text.split()
-        norm = self.library.normalizer.normalize_str(text)
-        return [_DONE + norm[s:e] for _, (s, e) in self.library.pre_tokenizer.pre_tokenize_str(norm)]
-
-    def words(self, chunk: str) -> list[str]:
-        """The words of one chunk, normalised."""
-        if chunk[0] != _DONE:
-            return _WORDS.findall("".join(map(str.lower, chunk)) if "İ" in chunk else chunk.lower())
-        return [chunk[1:]]
+    def needs_library(self, texts: pa.Array) -> np.ndarray:
+        """Which texts hold characters that are not plain, or the string of a special token."""
+        odd = pc.match_substring_regex(texts, NOT_PLAIN)
+        for content in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, content))
+        return odd.to_numpy(zero_copy_only=False)
+
+    def plain_words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(words, offsets) of plain texts; empty strings among the words stand for nothing."""
+        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), APART, r" \0 "))
+        return lists.flatten(), lists.offsets.to_numpy()
+
+    def library_words(self, text: str) -> list[str | int]:
+        """Words of any text, in order; a special token stands as its id."""
+        out: list[str | int] = []
+        for i, part in enumerate(self._special.split(text) if self._special else [text]):
+            if i % 2:
+                out.append(self.special[part])
+            elif part:
+                norm = self.library.normalizer.normalize_str(part)
+                out += [norm[s:e] for _, (s, e) in self.library.pre_tokenizer.pre_tokenize_str(norm)]
+        return out
 
 
-class ChunkCache:
-    """chunk -> encoded bytes, filled in batches; emptied when it holds ``limit`` entries.
+class WordCodes:
+    """word -> ids, computed by ``encode_words`` (distinct words -> bytes of unsigned 32-bit ids).
 
-    ``encode_words`` turns a list of distinct words into one bytes value each. The bound only
-    limits memory: an evicted entry is computed anew.
+    Words are kept in two generations of ``limit`` entries: when the young one is full it becomes
+    the old one, and words met again move to the young. The bound only limits memory: a word that
+    was dropped is computed anew.
     """
 
     def __init__(self, splitter: WordSplitter, encode_words, limit: int = 400_000):
         self.splitter, self.encode_words, self.limit = splitter, encode_words, limit
-        self.chunk: dict[str, bytes] = {}
-        self.word: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Concatenated codes of every text (None counts as empty)."""
-        split = [self.splitter.parts(t) if t else [] for t in texts]
-        new = {c for parts in split for special, units in parts if not special for c in units}
-        if len(self.chunk) + len(new) > self.limit:
-            self.chunk = {}
-        if len(self.word) > self.limit:
-            self.word = {}
-        self._fill([c for c in new if c not in self.chunk])
-        get, out = self.chunk.__getitem__, []
-        for parts in split:
-            out.append(b"".join(
-                self.special_code(units[0]) if special else b"".join(map(get, units)) for special, units in parts))
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def codes(self, words: list[str]) -> list[bytes]:
+        """Of distinct words."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {"": b""}
+        young, old = self.young, self.old
+        out = list(map(young.get, words))
+        todo = []
+        for i, w in enumerate(words):
+            if out[i] is None:
+                code = old.get(w)
+                if code is None:
+                    todo.append(i)
+                else:
+                    out[i] = young[w] = code
+        for i, code in zip(todo, self.encode_words([words[i] for i in todo])):
+            out[i] = young[words[i]] = code
         return out
 
-    def special_code(self, content: str) -> bytes:
-        return self.splitter.special[content].to_bytes(4, "little")
-
-    def _fill(self, chunks: list[str]) -> None:
-        words = [self.splitter.words(c) for c in chunks]
-        new = list({w for ws in words for w in ws if w not in self.word})
-        self.word.update(zip(new, self.encode_words(new)))
-        get = self.word.__getitem__
-        for c, ws in zip(chunks, words):
-            self.chunk[c] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
-
-
-def slices(texts: list[str | None], chars: int = 2_000_000):
-    """Consecutive runs of texts of about ``chars`` characters (one text at least)."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > first and size + len(t or "") > chars:
-            yield first, i
-            first, size = i, 0
-        size += len(t or "")
-    if first < len(texts):
-        yield first, len(texts)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one after another, offsets of the texts); a null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        odd = self.splitter.needs_library(texts)
+        words, offsets = self.splitter.plain_words(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts)
+        table = words.dictionary_encode()
+        codes = self.codes(table.dictionary.to_pylist())
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        pool = np.frombuffer(b"".join(codes), "<u4")
+        at = table.indices.to_numpy()
+        n = size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.arange(ends[-1]) - np.repeat(ends[:-1] - (np.cumsum(size) - size)[at], n)]
+        ends = ends[offsets]
+        if not odd.any():
+            return ids, ends
+        parts = [self._odd(texts[i].as_py()) if odd[i] else ids[ends[i]:ends[i + 1]] for i in range(len(texts))]
+        return np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts])
+
+    def _odd(self, text: str) -> np.ndarray:
+        units = self.splitter.library_words(text)
+        words = list({u for u in units if isinstance(u, str)})
+        code = dict(zip(words, self.codes(words)))
+        return np.frombuffer(b"".join(code[u] if isinstance(u, str) else u.to_bytes(4, "little") for u in units), "<u4")
+
+
+def slices(texts: pa.Array, size: int = 8_000_000):
+    """Consecutive runs of texts of about ``size`` bytes (one text at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    lo, before = 0, 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield lo, hi
+        lo, before = hi, int(ends[hi - 1])
