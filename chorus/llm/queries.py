@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm import ann, bpe, langid, minhash, packing, pii, quality, urls, warc
+from chorus.llm import ann, bpe, langid, minhash, packing, pii, quality, topk, urls, warc
 from chorus.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every twentieth document, taken whole as a query."""
+    return topk.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base counts, their digest and all spans."""
     found = pii.find(table(spark, sf_dir, "documents"))
@@ -80,12 +85,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_langid": op4_langid,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
+    "op7_topk": op7_topk,
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_urls": op10_urls,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_topk": """
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[0-9a-z\\x{80}-\\x{10ffff}]+')) AS word FROM documents),
+t AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY ALL),
+l AS (SELECT doc_id, sum(tf) AS len FROM t GROUP BY doc_id),
+g AS (SELECT count(*) AS n, (SELECT sum(len) FROM l) / count(*) AS mean FROM documents),
+f AS (SELECT word, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM t, g GROUP BY word, n),
+s AS (SELECT q.doc_id AS query_id, t.doc_id,
+             round(sum(idf * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS score
+      FROM t q JOIN t USING (word) JOIN f USING (word) JOIN l ON l.doc_id = t.doc_id, g
+      WHERE q.doc_id % 20 = 0 AND t.doc_id <> q.doc_id GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10""",
     "op8_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 m AS (SELECT hex, min(page_id) AS first FROM p GROUP BY hex)
