@@ -239,7 +239,8 @@ def redact(docs: DataFrame, level: float = 0.5, id_col: str = "doc_id", text_col
     """
     model = fit(written(candidates(docs, id_col, text_col), "pii-candidates"))
     rest = [c for c in docs.columns if c != text_col]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"), F.col(f"`{text_col}`").alias("__text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").isNull().alias("__none")).alias("__row"),
+                         F.col(f"`{text_col}`").alias("__text"))
     found = candidates(packed, "__row", "__text", keep_text=True).withColumnRenamed("doc_id", "__row")
     marked = lambda k: F.transform(_all_spans(k, model, level), lambda x: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), F.lit(f"<{k.upper()}>").alias("mark")))
@@ -253,6 +254,6 @@ def redact(docs: DataFrame, level: float = 0.5, id_col: str = "doc_id", text_col
 
     done = F.aggregate(marks, F.from_json(F.lit('{"pos":0,"out":""}'), state), step)
     text = F.when(F.size(marks) > 0, F.concat(done["out"], F.substring(F.col("text"), done["pos"] + 1, F.length("text")))) \
-        .otherwise(F.col("text"))
+        .otherwise(F.when(~F.col("__row.__none"), F.col("text")))
     return found.select("__row", text.alias("__text")).select(
         *[F.col(f"__row.`{c}`") if c != text_col else F.col("__text").alias(text_col) for c in docs.columns])

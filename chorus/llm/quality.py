@@ -19,7 +19,8 @@ What is gathered grows with the corpus: no table is cut, pruned or hashed down.
 
 Defined results: null, empty or white text has no perplexity and is not kept; without any trusted
 text nothing can be judged and every document with text is kept; a null language is a
-language of its own; repeated rows get equal results; other columns are not read, whatever their
+language of its own; repeated rows get equal results and rows that share an id are judged together;
+a null id is not kept; other columns are not read, whatever their
 names; no rows give no rows.
 """
 
@@ -223,7 +224,8 @@ def judge(docs: DataFrame, labels: DataFrame, upper: float = 0.9, spread: float
                       F.col(lang_col).cast("string").alias("lang"))
     good = trusted_ids(labels)
     model = KneserNey(src.join(small_or_plain(good), "doc_id", "left_semi"))
-    scores = scored(src, model).filter("doc_id is not null").distinct()
+    scores = scored(src, model).filter("doc_id is not null").distinct() \
+        .groupBy("doc_id").agg(F.sum("n_symbols").alias("n_symbols"), F.sum("logp").alias("logp"))
     scores = scores.withColumn("loss", F.when(F.col("n_symbols") > 0, -F.col("logp") / F.col("n_symbols")))
     rows = written(src.select("doc_id", "lang").join(scores, "doc_id", "left"), "kn-scores")
     basis = rows.join(small_or_plain(good), "doc_id", "left_semi").filter("loss is not null")
