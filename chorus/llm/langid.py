@@ -104,26 +104,25 @@ def _dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return x
 
 
-def sgd(rows: list, labels: np.ndarray, n_langs: int, epochs: int = 12, batch: int = 32, rate: float = 20.0, seed: int = 7):
+def sgd(rows: list, labels: np.ndarray, n_langs: int, steps: int = 800, batch: int = 32, rate: float = 20.0, seed: int = 7):
     """(embeddings, softmax weights) by plain stochastic gradient descent with a falling rate."""
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((DIM, n_langs), np.float32)
-    steps, total = 0, epochs * -(-len(rows) // batch)
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for lo in range(0, len(rows), batch):
-            pick = order[lo:lo + batch]
-            x = _dense([rows[i] for i in pick])
-            h = x @ emb
-            g = _softmax(h @ out)
-            g[np.arange(len(pick)), labels[pick]] -= 1
-            g /= len(pick)
-            now = rate * (1 - steps / total)
-            back = g @ out.T
-            out -= 0.05 * now * (h.T @ g)
-            emb -= now * (x.T @ back)
-            steps += 1
+    order = np.empty(0, np.int64)
+    for step in range(steps):
+        if len(order) < batch:  # an epoch is over
+            order = rng.permutation(len(rows))
+        pick, order = order[:batch], order[batch:]
+        x = _dense([rows[i] for i in pick])
+        h = x @ emb
+        g = _softmax(h @ out)
+        g[np.arange(len(pick)), labels[pick]] -= 1
+        g /= len(pick)
+        now = rate * (1 - step / steps)
+        back = g @ out.T
+        out -= 0.05 * now * (h.T @ g)
+        emb -= now * (x.T @ back)
     return emb, out
 
 

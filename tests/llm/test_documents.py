@@ -1,0 +1,258 @@
+"""Language, quality and personal data: held-out accuracy, direct formulas and brute force."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from chorus.llm import langid, pii, quality
+from chorus.llm.queries import op4_langid, op9_pii
+
+SF = "/root/testdata/sf0.01"
+
+
+# -- language -------------------------------------------------------------------------------
+
+def test_langid_held_out_accuracy(spark):
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = op4_langid(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held) / len(held) > 0.98
+    assert all(0 <= r["score"] <= 1 for r in got)
+    assert sum(r["rejected"] for r in got) < 0.01 * len(got)
+
+
+def test_langid_reads_nothing_but_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    plain = langid.predict(docs, model).collect()
+    blind = langid.predict(docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit(None)).withColumn("score", F.lit(7)), model).collect()
+    assert sorted(plain) == sorted(blind)
+
+
+def test_langid_odd_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    rows = [(1, None), (2, ""), (3, "12 345 !!"), (4, "\n\t"), (None, "the and of that with"), (5, "the and " * 100_000), (5, "the and " * 100_000), (6, "日本語")]
+    got = langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+    assert all(by[i][0]["lang_pred"] == "und" and by[i][0]["score"] == 0 and by[i][0]["rejected"] for i in (1, 2, 3, 4))
+    assert by[5][0] == by[5][1] and by[5][0]["lang_pred"] == "en" and by[None][0]["lang_pred"] == "en"
+    assert by[6][0]["lang_pred"] in model.langs
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    none = langid.train(empty)
+    assert langid.predict(empty, none).collect() == []
+    assert langid.predict(spark.createDataFrame([(1, "words")], "doc_id long, text string"), none).first()["lang_pred"] == "und"
+
+
+def test_subwords_stay_within_words():
+    texts = ["ab", "", "a b", "AB", "x1y", "abcd"]
+    bucket, owner, has = langid.subwords(texts)
+    bags = [sorted(bucket[owner == i].tolist()) for i in range(len(texts))]
+    assert bags[0] == bags[3] and len(bags[0]) == 6  # _a ab b_ _ab ab_ _ab_
+    assert has.tolist() == [True, False, True, True, True, True] and bags[1] == []
+    assert len(bags[2]) == 6 and bags[2][0] in bags[2]  # _a a_ _a_ and the same for b
+    assert len(bags[5]) == 5 + 4 + 3
+
+
+# -- quality --------------------------------------------------------------------------------
+
+def kneser_ney(trusted):
+    """Interpolated modified Kneser-Ney of order three, straight from its definition."""
+    c3 = Counter()
+    for t in trusted:
+        t = " ".join((t or "").split())
+        if t:
+            s = ["<", "<", *t, ">"]
+            c3.update(zip(s, s[1:], s[2:]))
+    c2, c1 = Counter((y, z) for _, y, z in c3), Counter()
+    c1.update(z for _, z in c2)
+
+    def discounts(c):
+        n = Counter(c.values())
+        if not n[1] or not n[2]:
+            return [0.5, 0.75, 1.0]
+        y = n[1] / (n[1] + 2 * n[2])
+        d = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
+        return [min(max(x, 0.05), i + 0.95) for i, x in enumerate(d)]
+
+    d3, d2, d1 = discounts(c3), discounts(c2), discounts(c1)
+    cut = lambda n, d: d[min(n, 3) - 1]
+
+    def level(c, d, rows):
+        total = sum(rows.values())
+        return total, sum(cut(n, d) for n in rows.values()) / total
+
+    by2, by1 = defaultdict(dict), defaultdict(dict)
+    for g, n in c3.items():
+        by2[g[:2]][g] = n
+    for g, n in c2.items():
+        by1[g[0]][g] = n
+    total1, gamma1 = level(c1, d1, c1)
+
+    def p(x, y, z):
+        q = (max(c1[z] - cut(c1[z], d1), 0) / total1 if c1[z] else 0) + gamma1 / (len(c1) + 1)
+        if by1[y]:
+            total, gamma = level(c2, d2, by1[y])
+            q = ((c2[y, z] - cut(c2[y, z], d2)) / total if c2[y, z] else 0) + gamma * q
+        if by2[x, y]:
+            total, gamma = level(c3, d3, by2[x, y])
+            q = ((c3[x, y, z] - cut(c3[x, y, z], d3)) / total if c3[x, y, z] else 0) + gamma * q
+        return q
+
+    def perplexity(t):
+        t = " ".join((t or "").split())
+        s = ["<", "<", *t, ">"]
+        return math.exp(-sum(math.log(p(*g)) for g in zip(s, s[1:], s[2:])) / (len(t) + 1)) if t else None
+
+    return perplexity
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_perplexity_equals_the_definition(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(quality, "CHUNK", 200)
+        monkeypatch.setattr(quality, "CHUNK_DOCS", 3)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(1, 60))), rng.choice(["x", "y"])) for i in range(60)]
+    rows += [(60, None, "x"), (61, " \n ", "x"), (62, "日本 \U0001f600 zz", None), (63, "a  b\n\nc", "q"), (64, "ab " * 20_000, "x"), rows[5]]
+    labels = [(i, int(i % 3 != 0), int(i % 7 == 0)) for i in range(50)] + [(5, 1, 0), (None, 1, 0), (999, 1, 0), (51, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("kept", F.lit(1)).repartition(5)
+    got = quality.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    good = {i for i, q, t in labels if q == 1 and t == 0}
+    score = kneser_ney([t for i, t, _ in rows if i in good])
+    assert len(got) == len(rows)
+    texts = {i: t for i, t, _ in rows}
+    for r in got:
+        want = score(texts[r["doc_id"]])
+        assert (r["perplexity"] is None) == (want is None)
+        if want is None:
+            assert not r["kept"] and r["n_symbols"] == 0
+        else:
+            assert r["perplexity"] == pytest.approx(want, rel=1e-9)
+    assert not next(r for r in got if r["doc_id"] == 62)["kept"]
+
+
+def test_probabilities_add_up_to_one(spark):
+    texts = ["abc abd", "abcab", "cab dab"]
+    model = quality.KneserNey(spark.createDataFrame([(t,) for t in texts], "text string"))
+    alphabet = sorted({ord(c) for t in texts for c in t} | {quality.END})
+    key = lambda x, y, z: (x << 42) | (y << 21) | z
+    for x, y in [(ord("a"), ord("b")), (quality.BEGIN, quality.BEGIN), (ord("z"), ord("z"))]:
+        keys = spark.createDataFrame([(key(x, y, z),) for z in [*alphabet, 0x4E00]], "key long")
+        assert sum(math.exp(r["logp"]) for r in model.log_probability(keys).collect()) == pytest.approx(1)
+
+
+def test_quality_without_rows_or_trusted_text(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert quality.judge(empty, none).collect() == []
+    got = quality.judge(spark.createDataFrame([(1, "words", "x"), (2, None, "x"), (None, "w", "x")], empty.schema), none).collect()
+    assert {r["doc_id"]: r["kept"] for r in got} == {1: True, 2: False, None: False}
+
+
+def test_quality_tells_clean_from_junk(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(docs, labels).collect()}
+    mark = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    good, bad = [kept[i] for i, q in mark.items() if q == 1], [kept[i] for i, q in mark.items() if q == 0]
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.4
+
+
+# -- personal data --------------------------------------------------------------------------
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def passes(kind, s):
+    d = re.sub("[^0-9]", "", s)
+    luhn = sum((int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) if i % 2 else int(c) for i, c in enumerate(reversed(d)))
+    return {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in s.split(".")),
+            "card": 13 <= len(d) <= 19 and luhn % 10 == 0, "phone": 9 <= len(d) <= 15}[kind]
+
+
+def base_spans(t):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in BASE.items() for m in re.finditer(p, t or "") if passes(k, m.group())]
+
+
+def check_base(rows, got):
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    for r in got:
+        want = base_spans(texts[r["doc_id"]])
+        counts = Counter(w.split(":")[0] for w in want)
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [counts[k] for k in pii.KINDS], texts[r["doc_id"]]
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        spans = [s for s in r["spans"].split(",") if s]
+        assert set(want) <= set(spans)
+        assert spans == sorted(spans, key=lambda s: (pii.KINDS.index(s.split(":")[0]), int(s.split(":")[1])))
+
+
+def digest(found):
+    return found.select("doc_id", *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("all").alias("spans")).collect()
+
+
+def test_pii_equals_brute_force(spark):
+    rng = random.Random(9)
+    bits = ["a@b.c", "x.y@d-e.fr_z@q.com", "a@b", "@", "1.2.3.4", "1.2.3.4.5.6.7.8", "999.1.1.1", "001.02.3.255", "4111 1111 1111 1111",
+            "4111111111111111", "4111-1111-1111-1112", "+1 (555) 123-4567", "+12", "+1234567890123456", "+49 30.1234567", " ", ".", "é", "😀",
+            "-", "12", "7", "call ", "\n", "(", "+", "x"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))) for i in range(600)]
+    rows += [(600, None), (601, ""), (602, "1 " * 30_000), (603, "a" * 50_000), (604, "9" * 50_000), (605, "a@b.c " * 3000),
+             (606, "+1" + "-" * 30_000), (607, "1.2.3.4 " * 10_000), rows[7]]
+    df = spark.createDataFrame([(i, t, 5, "z") for i, t in rows], "doc_id long, text string, n_email int, spans string")
+    check_base(rows, digest(pii.find(df)))
+
+
+def test_pii_on_the_table(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    check_base(rows, op9_pii(spark, SF).collect())
+
+
+def test_pii_has_no_python_in_its_plan(spark):
+    plan = pii.find(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_pii_weak_labels_add_hidden_spans(spark):
+    rows = [(i, f"Mail to user{i}@site{i}.com or call +1 (555) 010-{i:04d} now") for i in range(40)]
+    rows += [(100, "please call (555) 010-9999 today"), (101, "mail bob (at) site (dot) com"), (102, "call +1 (826) 555-4081 190.137.2.9"),
+             (103, "version 12.34 costs 1200 for 34 days"), (104, None)]
+    got = {r["doc_id"]: r["spans"] for r in digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got[100] == "phone:12:26" and got[101].startswith("email:5:") and "ip:23:34" in got[102] and "phone:8:22" in got[102]
+    assert got[103] == got[104] == ""
+
+
+def test_pii_expectation_maximisation_finds_reliable_labelers():
+    rng = random.Random(1)
+    counts = Counter()
+    for _ in range(20_000):
+        real = rng.random() < 0.6
+        votes = "".join(str(int(rng.random() < (p if real else q))) for p, q in ((0.95, 0.05), (0.9, 0.2), (0.6, 0.1), (0.5, 0.5)))
+        counts["email", votes] += 1
+    posterior, rates = pii.expectation_maximisation(counts)
+    yes, no = zip(*(rates["email"][n] for n in pii.LABELERS))
+    assert yes == pytest.approx((0.95, 0.9, 0.6, 0.5), abs=0.03) and no == pytest.approx((0.05, 0.2, 0.1, 0.5), abs=0.03)
+    model = pii.train_classifier(counts, posterior)
+    assert model["email", "1111"] > 0.9 and model["email", "0000"] < 0.2 and len(model) == 16
+
+
+def test_redaction(spark):
+    rows = [(1, "é mail a@b.com, 1.2.3.4.", "x"), (2, None, "y"), (3, "", None), (4, "nothing 12", "z")]
+    got = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert got.columns == ["doc_id", "text", "source"]
+    assert sorted(map(tuple, got.collect())) == [(1, "é mail <EMAIL>, <IP>.", "x"), (2, None, "y"), (3, "", None), (4, "nothing 12", "z")]
+    assert pii.redact(spark.createDataFrame([], got.schema)).collect() == []
