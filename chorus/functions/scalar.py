@@ -18,9 +18,26 @@ def engagement_rate(like_count: Column, comment_count: Column, view_count: Colum
 
 
 def parse_iso_timestamp(s: Column) -> Column:
-    """F8: ISO-8601 text -> TIMESTAMP_NTZ; rows that do not parse become NULL."""
-    return F.try_to_timestamp(F.regexp_replace(s, "Z$", ""), F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")) \
-        .cast("timestamp_ntz")
+    """F8: ISO-8601 text (date alone, blank or T between, offset or Z) -> TIMESTAMP_NTZ in UTC.
+
+    Text that is no ISO timestamp becomes NULL. Wall-clock text is taken as UTC whatever the
+    session's time zone is: an offset is applied here, not by the session.
+    """
+    zone = F.regexp_extract(s, r"[T ].*([+-])(\d{2}):?(\d{2})$", 0) != ""
+    minutes = (F.regexp_extract(s, r"([+-])(\d{2}):?(\d{2})$", 2).try_cast("int") * 60
+               + F.regexp_extract(s, r"([+-])(\d{2}):?(\d{2})$", 3).try_cast("int"))
+    shift = F.when(zone, F.when(F.regexp_extract(s, r"([+-])\d{2}:?\d{2}$", 1) == "-", minutes).otherwise(-minutes)) \
+        .otherwise(F.lit(0))
+    plain = F.when(zone, F.regexp_replace(s, r"\s*[+-]\d{2}:?\d{2}$", "")).otherwise(F.regexp_replace(s, "Z$", ""))
+    iso = plain.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?)?$")
+    full = F.when(plain.rlike(r"[T ]\d{2}$"), F.concat(plain, F.lit(":00"))).otherwise(plain)
+    parsed = F.when(iso, full).try_cast("timestamp_ntz")
+    return F.timestamp_add("MINUTE", shift, parsed)
+
+
+def unparsed_timestamps(s: Column) -> Column:
+    """F8: how many non-null texts are no timestamp (an aggregate)."""
+    return F.count(F.when(s.isNotNull() & parse_iso_timestamp(s).isNull(), 1))
 
 
 def log_base(x: Column, base: float) -> Column:
@@ -53,7 +70,7 @@ def correct_flag(truth: Column, predicted: Column) -> Column:
 
 
 def sentiment_order(sentiment: Column) -> Column:
-    """T4: sort key of the report order Negative, Neutral, Positive."""
+    """T4: sort key of the report order Positive, Neutral, Negative."""
     return F.element_at(_map_literal(SENTIMENT_ORDER), sentiment)
 
 

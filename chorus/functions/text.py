@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 from ..schemas import EMOJI_PATTERN, PUNCTUATION_AND_DIGITS, WHITESPACE_CHARS
 
 
-def clean_for_words(text: Column) -> Column:
-    """F1 + F2: delete ASCII punctuation and digits (``don't`` -> ``dont``), then lower-case."""
-    return F.lower(F.translate(text, PUNCTUATION_AND_DIGITS, ""))
-
-
 def words(text: Column) -> Column:
     """Array of words; splits on every Unicode whitespace, never yields empties.
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import correct_flag
 from ..functions.text import words
 from ..schemas import OUTLIER_K, QUANTILES, SENTIMENTS
+from ..session import ensure_checkpoint_dir
 from . import profile as P
 from . import stats as S
 from .joins import with_scalars
@@ -80,15 +81,16 @@ def default_reports() -> dict[str, Report]:
     return {"confusion": confusion_matrix, "class_accuracy": class_accuracy, "accuracy": accuracy}
 
 
-def evaluate(pf: DataFrame, reports: Mapping[str, Report] | None = None,
-             cache: bool = True) -> dict[str, DataFrame]:
+def evaluate(pf: DataFrame, reports: Mapping[str, Report] | None = None) -> dict[str, DataFrame]:
     """Run a set of report functions over one prediction frame (all of them by default).
 
-    The frame is cached once so each report re-reads it from executor memory instead of
-    recomputing predictions.
+    The frame is checkpointed once in the shared folder (the default reports need two columns of
+    it), so predictions are not computed again for each report and no executor memory stays taken.
     """
     reports = dict(reports) if reports is not None else default_reports()
-    src = pf.cache() if cache else pf
+    ensure_checkpoint_dir(pf.sparkSession)
+    src = pf.checkpoint() if any(r not in default_reports().values() for r in reports.values()) else \
+        pf.select("Sentiment", "Predicted").checkpoint()
     return {name: fn(src) for name, fn in reports.items()}
 
 

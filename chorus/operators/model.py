@@ -15,9 +15,8 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import (CountVectorizer, HashingTF, NGram, RegexTokenizer, SQLTransformer,
-                                UnivariateFeatureSelector, VectorAssembler)
-from pyspark.ml.tuning import TrainValidationSplit
+from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,51 +46,21 @@ def hash_split(df: DataFrame, key: Column, train_fraction: float = 0.9,
 # ------------------------------------------------------------------ F14: token ids ----
 
 PAD_ID = 0
-UNKNOWN_ID = 1
 
 
-def build_vocabulary(df: DataFrame, text_col: str, vocab_size: int = 20000) -> DataFrame:
-    """Vocabulary (word, token_id): the ``vocab_size`` most frequent words over the whole texts,
-    id = 2 + rank by (count desc, word). 0 is padding, 1 is unknown.
-
-    The ranking runs on the word counts (one row per distinct word after a partial
-    aggregation); ``orderBy().limit()`` is a per-partition top-k merged on the driver side of
-    the plan, bounded by ``vocab_size`` rows.
-    """
-    counts = (df.select(F.explode(words(F.col(text_col))).alias("word"))
-              .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    top = counts.orderBy(F.desc("n"), F.asc("word")).limit(vocab_size)
-    from pyspark.sql import Window
-    w = Window.orderBy(F.desc("n"), F.asc("word"))  # at most vocab_size rows
-    return top.select("word", (F.row_number().over(w) + 1).cast("int").alias("token_id"))
+def token_id(word: Column) -> Column:
+    """The id of a word: 2 + 60 bits of its md5; every word has one, clashes are negligible."""
+    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("bigint") + 2
 
 
-def token_ids(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame,
-              seq_len: int = SEQ_LEN_TRAIN, pad_id: int = PAD_ID) -> DataFrame:
-    """fixed-length id sequence per text: words -> ids (unknown 1), right-padded with
-    ``pad_id`` or truncated to ``seq_len``. Output: (id, pos 1..seq_len, token_id).
+def token_sequence(text: Column, seq_len: int = SEQ_LEN_TRAIN, pad_id: int = PAD_ID) -> Column:
+    """the text's first ``seq_len`` word ids, padded on the right: array of that length.
 
-    One pass over the text: each row emits its ``seq_len`` slots (word or NULL past the end),
-    and the slots meet the vocabulary - bounded by its size parameter - in a broadcast join.
+    One expression: no vocabulary pass, no shuffle. The fixed length is the operator's definition.
     """
-    slots = F.transform(F.sequence(F.lit(1), F.lit(seq_len)),
-                        lambda i: F.struct(i.alias("pos"), F.try_element_at(F.col("__w"), i).alias("word")))
-    exploded = (df.select(id_col, words(F.col(text_col)).alias("__w"))
-                .select(id_col, F.inline(slots)))
-    v = F.broadcast(vocab.select(F.col("word").alias("__vw"), "token_id"))
-    looked = exploded.join(v, F.col("word") == F.col("__vw"), "left")
-    tid = (F.when(F.col("word").isNull(), F.lit(pad_id))
-           .otherwise(F.coalesce("token_id", F.lit(UNKNOWN_ID))))
-    return looked.select(id_col, "pos", tid.cast("int").alias("token_id"))
-
-
-def token_sequence(df: DataFrame, id_col: str, text_col: str, vocab: DataFrame,
-                   seq_len: int = SEQ_LEN_TRAIN, pad_id: int = PAD_ID) -> DataFrame:
-    """F14 as arrays: (id, token_ids array<int> of length ``seq_len``)."""
-    t = token_ids(df, id_col, text_col, vocab, seq_len, pad_id)
-    return t.groupBy(id_col).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "token_id"))),
-                    lambda s: s["token_id"]).alias("token_ids"))
+    ids = F.transform(F.slice(words(text), 1, seq_len), token_id)
+    ids = F.coalesce(ids, F.array().cast("array<bigint>"))
+    return F.concat(ids, F.array_repeat(F.lit(pad_id).cast("bigint"), F.lit(seq_len) - F.size(ids)))
 
 
 # ------------------------------------------------------------------ U6: classifier ----
@@ -108,23 +77,26 @@ FROM __THIS__
 """
 
 
-def sentiment_pipeline(num_top_features: int = 50, reg_param: float = 0.01, elastic_net: float = 0.0,
-                       min_df: float = 5.0, vocab_size: int = 5000, max_iter: int = 50) -> Pipeline:
-    """Text -> selected binary words + three style ratios -> multinomial logistic regression.
+def feature_stages(num_features: int = 1 << 12) -> list:
+    """Text -> hashed binary words (every word of the corpus, none cut) + three style ratios."""
+    tok = RegexTokenizer(inputCol="text", outputCol="__toks", pattern="\\W+", toLowercase=True)
+    style = SQLTransformer(statement=STYLE_SQL)
+    tf = HashingTF(inputCol="__toks", outputCol="__tf", binary=True, numFeatures=num_features)
+    asm = VectorAssembler(inputCols=["__tf", "style_distinct", "style_symbols", "style_upper"], outputCol="features")
+    return [tok, style, tf, asm]
+
+
+def classifier(reg_param: float = 0.1, elastic_net: float = 0.0, max_iter: int = 30) -> LogisticRegression:
+    return LogisticRegression(featuresCol="features", labelCol="label", family="multinomial",
+                              maxIter=max_iter, regParam=reg_param, elasticNetParam=elastic_net)
+
+
+def sentiment_pipeline(num_features: int = 1 << 12, **params) -> Pipeline:
+    """Text -> features -> multinomial logistic regression.
 
     Input columns: ``text`` (string) and ``label`` (double, 0 Positive / 1 Neutral / 2 Negative).
     """
-    tok = RegexTokenizer(inputCol="text", outputCol="__toks", pattern="\\W+", toLowercase=True)
-    style = SQLTransformer(statement=STYLE_SQL)
-    cv = CountVectorizer(inputCol="__toks", outputCol="__tf", binary=True, minDF=min_df, vocabSize=vocab_size)
-    sel = UnivariateFeatureSelector(featuresCol="__tf", outputCol="__sel", labelCol="label",
-                                    selectionMode="numTopFeatures")
-    sel.setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(num_top_features)
-    asm = VectorAssembler(inputCols=["__sel", "style_distinct", "style_symbols", "style_upper"],
-                          outputCol="features")
-    lr = LogisticRegression(featuresCol="features", labelCol="label", family="multinomial",
-                            maxIter=max_iter, regParam=reg_param, elasticNetParam=elastic_net)
-    return Pipeline(stages=[tok, style, cv, sel, asm, lr])
+    return Pipeline(stages=[*feature_stages(num_features), classifier(**params)])
 
 
 def labelled_comments(comments: DataFrame) -> DataFrame:
@@ -159,30 +131,32 @@ def load_model(path: str) -> PipelineModel:
 
 # ------------------------------------------------------------------ U7: search --------
 
-def search_sentiment(train: DataFrame, trials: int = 15, seed: int = 7, train_ratio: float = 0.8,
-                     parallelism: int = 4) -> tuple[PipelineModel, list[tuple[dict, float]]]:
+def search_sentiment(train: DataFrame, trials: int = 15, seed: int = 7, train_fraction: float = 0.8) \
+        -> tuple[PipelineModel, list[tuple[dict, float]]]:
     """Random search over ``trials`` sampled settings; keep the lowest validation log loss.
 
-    Returns the best model (refit on all of ``train``) and (params, log loss) per trial.
+    Features are made once and kept while the settings are tried; only the last stage is fitted
+    again. The validation fold goes by a hash of the text, so copies of a text never meet across
+    it. Returns the best model (refit on all of ``train``) and (params, log loss) per trial.
     """
     rng = random.Random(seed)
-    pipe = sentiment_pipeline()
-    sel, lr = pipe.getStages()[3], pipe.getStages()[5]
-    maps = []
-    for _ in range(trials):
-        maps.append({
-            sel.selectionThreshold: float(rng.choice([25, 50, 100, 200, 400])),
-            lr.regParam: 10 ** rng.uniform(-4, -0.5),
-            lr.elasticNetParam: rng.choice([0.0, 0.0, 0.5]),
-        })
+    shared = Pipeline(stages=feature_stages()).fit(train)
+    fold = hash_bucket(F.concat(F.lit("fold "), F.col("text")))
+    rows = shared.transform(train).select("features", "label", (fold < round(train_fraction * 100)).alias("__fit"))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction",
                                            probabilityCol="probability", metricName="logLoss")
-    tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=maps, evaluator=ev,
-                               trainRatio=train_ratio, parallelism=parallelism, seed=seed)
-    fitted = tvs.fit(train)
-    results = [({p.name: v for p, v in m.items()}, float(loss))
-               for m, loss in zip(maps, fitted.validationMetrics)]
-    return fitted.bestModel, results
+    results: list[tuple[dict, float]] = []
+    try:
+        for _ in range(trials):
+            params = {"reg_param": 10 ** rng.uniform(-4, -0.5), "elastic_net": rng.choice([0.0, 0.0, 0.5])}
+            fitted = classifier(**params).fit(rows.where("__fit"))
+            results.append((params, float(ev.evaluate(fitted.transform(rows.where("not __fit"))))))
+        best = min(results, key=lambda r: r[1])[0]
+        last = classifier(**best).fit(rows)
+    finally:
+        rows.unpersist()
+    return PipelineModel(stages=[*shared.stages, last]), results
 
 
 # ------------------------------------------------------------------ U2: language -----
@@ -199,6 +173,11 @@ def language_pipeline(num_features: int = 4096) -> Pipeline:
     return Pipeline(stages=[chars, ngram, tf, nb])
 
 
+def languages_of(docs: DataFrame) -> list[str]:
+    """The languages that occur, in order (one row each is gathered)."""
+    return sorted(r[0] for r in docs.select("lang").where(F.col("lang").isNotNull()).distinct().collect())
+
+
 def language_training_rows(docs: DataFrame, languages: Sequence[str]) -> DataFrame:
     """(id, text, label): emoji-stripped text, language index in ``languages`` order."""
     idx = F.create_map(*[x for i, lang in enumerate(languages) for x in (F.lit(lang), F.lit(float(i)))])
@@ -228,12 +207,18 @@ def cached_column(spark: SparkSession, path: str, compute) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def log_run(spark: SparkSession, path: str, params: dict, metrics: dict, run_id: str | None = None) -> str:
-    """Append one run's params and metrics to the run-log table at ``path``."""
-    run_id = run_id or uuid.uuid4().hex
+def log_runs(spark: SparkSession, path: str, runs: Sequence[tuple[dict, dict]]) -> list[str]:
+    """Append the params and metrics of runs to the run-log table at ``path``, in one write."""
     now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    rows = [(run_id, k, str(v), "param", now) for k, v in params.items()]
-    rows += [(run_id, k, str(v), "metric", now) for k, v in metrics.items()]
-    spark.createDataFrame(rows, RUN_LOG_SCHEMA).write.mode("append").parquet(path)
-    return run_id
-
+    ids, rows = [], []
+    for params, metrics in runs:
+        ids.append(uuid.uuid4().hex)
+        rows += [(ids[-1], k, str(v), "param", now) for k, v in params.items()]
+        rows += [(ids[-1], k, str(v), "metric", now) for k, v in metrics.items()]
+    spark.createDataFrame(rows, RUN_LOG_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    return ids
+
+
+def log_run(spark: SparkSession, path: str, params: dict, metrics: dict) -> str:
+    """Append one run."""
+    return log_runs(spark, path, [(params, metrics)])[0]

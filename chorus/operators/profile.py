@@ -109,11 +109,12 @@ def group_proportions(df: DataFrame, group_col: str, class_col: str) -> DataFram
 
 def proportions_wide(df: DataFrame, group_col: str, class_col: str,
                      classes: Sequence[str] = ("Negative", "Neutral", "Positive")) -> DataFrame:
-    """Per-group class shares pivoted wide; a missing class is 0.0."""
+    """Per-group class shares pivoted wide; a missing class is 0.0, all of them in a group
+    whose classes are all NULL."""
     wide = df.groupBy(group_col).pivot(class_col, list(classes)).count()
     total = sum((F.coalesce(F.col(c), F.lit(0)) for c in classes), F.lit(0))
     return wide.select(group_col, *[
-        (F.coalesce(F.col(c), F.lit(0)) / total).alias(c) for c in classes])
+        F.when(total > 0, F.coalesce(F.col(c), F.lit(0)) / total).otherwise(F.lit(0.0)).alias(c) for c in classes])
 
 
 def entropy(wide: DataFrame, group_col: str, classes: Sequence[str] = ("Negative", "Neutral", "Positive"),
@@ -129,41 +130,50 @@ def entropy(wide: DataFrame, group_col: str, classes: Sequence[str] = ("Negative
 
 
 def share_of_totals(df: DataFrame, group_col: str, value_cols: Sequence[str]) -> DataFrame:
-    """Each group's share of the table total of every value column."""
+    """Each group's share of the table total of every value column (NULL if that is 0)."""
     sums = df.groupBy(group_col).agg(*[F.sum(c).alias(c) for c in value_cols])
     totals = sums.agg(*[F.sum(c).alias(f"__t_{c}") for c in value_cols])
     out = with_scalars(sums, totals)
     return out.select(group_col, *[
-        (F.col(c) / F.col(f"__t_{c}")).alias(f"share_{c}") for c in value_cols])
+        F.try_divide(F.col(c), F.col(f"__t_{c}")).alias(f"share_{c}") for c in value_cols])
 
 
 def pct_where(df: DataFrame, predicates: dict[str, Column]) -> DataFrame:
-    """Percent of rows meeting each predicate (one pass)."""
-    return df.agg(*[(F.avg(p.cast("double")) * 100.0).alias(name) for name, p in predicates.items()])
+    """Percent of all rows meeting each predicate (one pass); an unknown (NULL) does not meet it."""
+    met = lambda p: F.coalesce(p, F.lit(False)).cast("double")
+    return df.agg(*[(F.avg(met(p)) * 100.0).alias(name) for name, p in predicates.items()])
 
 
 # ------------------------------------------------------------------ lengths ---------
 
 def length_stats(df: DataFrame, text_col: str, group_col: str = "sentiment") -> DataFrame:
     """A16 + T4: median (interpolated), mean and sample std of text length per group,
-    in the report order Negative, Neutral, Positive."""
+    in the report order Positive, Neutral, Negative (column ``rank``).
+
+    All three come from one table of length counts, so texts are read once.
+    """
     lens = df.where(F.col(group_col).isNotNull()).select(
         group_col, char_length(F.col(text_col)).alias("length"))
-    med = stats.median_linear(lens, "length", [group_col])
-    mom = lens.groupBy(group_col).agg(F.avg("length").alias("mean"),
-                                      F.stddev_samp("length").alias("std"))
-    return (mom.join(med, group_col, "inner")
-            .orderBy(sentiment_order(F.col(group_col))))
+    counts = stats.value_counts(lens, "length", [group_col])
+    med = stats.median_linear(lens, "length", [group_col], counts)
+    n, x = F.col("cnt"), F.col("length")
+    mean = counts.groupBy(group_col).agg((F.sum(n * x) / F.sum(n)).alias("mean"))
+    std = counts.join(mean, group_col).groupBy(group_col).agg(
+        F.first("mean").alias("mean"),
+        F.sqrt(F.sum(n * (x - F.col("mean")) * (x - F.col("mean"))) / F.nullif(F.sum(n) - 1, F.lit(0))).alias("std"))
+    return (std.join(med, group_col, "inner").withColumn("rank", sentiment_order(F.col(group_col)))
+            .orderBy("rank"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = DEFAULT_HISTOGRAM_BINS,
-              lower: float | None = None, upper: float | None = None) -> DataFrame:
+              lower: float | None = None, upper: float | None = None, weight: str | None = None) -> DataFrame:
     """Equal-width histogram over [min, max] of the kept values.
 
-    Rows outside [lower, upper] are dropped first. Output: bin, bin_start, bin_end, n.
+    Rows outside [lower, upper] are dropped first; ``weight`` names a column of counts where the
+    rows are value counts. Output: bin, bin_start, bin_end, n.
     """
     x = F.col(col).cast("double")
-    src = df.select(x.alias("__x")).where(F.col("__x").isNotNull())
+    src = df.select(x.alias("__x"), (F.col(weight) if weight else F.lit(1)).alias("__c")).where(F.col("__x").isNotNull())
     if lower is not None:
         src = src.where(F.col("__x") >= F.lit(float(lower)))
     if upper is not None:
@@ -172,9 +182,9 @@ def histogram(df: DataFrame, col: str, bins: int = DEFAULT_HISTOGRAM_BINS,
     width = (F.col("__hi") - F.col("__lo")) / F.lit(float(bins))
     b = F.when(width > 0, F.least(F.floor((F.col("__x") - F.col("__lo")) / width), F.lit(bins - 1))) \
         .otherwise(F.lit(0)).cast("int")
-    binned = with_scalars(src, rng).select(b.alias("bin"), F.col("__lo"), width.alias("__w"))
+    binned = with_scalars(src, rng).select(b.alias("bin"), F.col("__lo"), width.alias("__w"), "__c")
     return binned.groupBy("bin").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.sum("__c").cast("bigint").alias("n"),
         (F.first("__lo") + F.col("bin") * F.first("__w")).alias("bin_start"),
         (F.first("__lo") + (F.col("bin") + 1) * F.first("__w")).alias("bin_end"))
 
@@ -211,5 +221,3 @@ def likes_shift(df: DataFrame) -> DataFrame:
     """Likes + 1, Replies, Sentiment (a log-scale friendly projection)."""
     return df.select((F.col("Likes") + 1).alias("Likes"), "Replies", "Sentiment")
 
-
-SENTIMENT_CLASSES = SENTIMENTS

@@ -20,7 +20,6 @@ from .sqltext import SQL_STOPWORDS, sql_str, sql_words
 from . import catalog_profile, catalog_stats, catalog_eval, catalog_io  # noqa: F401,E402
 
 
-_sql_str = sql_str
 
 
 # ---------------------------------------------------------------------------- video ----
@@ -166,15 +165,16 @@ def a26_category_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("a24_conversation_text", """
-SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id""")
+SELECT conv_id, turn // 256 AS part, string_agg(text, ' ' ORDER BY turn) AS text
+FROM conversations GROUP BY ALL""")
 def a24_conversation_text(spark: SparkSession, sf: str) -> DataFrame:
-    """The texts of a conversation joined in turn order (bounded groups)."""
+    """The texts of a conversation joined in turn order, in parts of 256 turns."""
     conv = A.read_table(spark, sf, "conversations")
     return W.group_text(conv, ["conv_id"], "text", "turn")
 
 
 @register("f4_strip_emoji", f"""
-SELECT doc_id, regexp_replace(text, {_sql_str(EMOJI_PATTERN)}, '', 'g') AS text_clean FROM documents""")
+SELECT doc_id, regexp_replace(text, {sql_str(EMOJI_PATTERN)}, '', 'g') AS text_clean FROM documents""")
 def f4_strip_emoji(spark: SparkSession, sf: str) -> DataFrame:
     """documents with every emoji code point removed."""
     from ..functions.text import strip_emoji

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +15,10 @@ from ..functions.text import words
 from ..operators import evaluate as E
 from ..operators import model as M
 from ..operators import profile as P
-from ..schemas import PUNCTUATION_AND_DIGITS, QUANTILES, SEQ_LEN_TRAIN
+from ..operators.batches import batched_map
+from ..operators.joins import with_scalars
+from ..schemas import PUNCTUATION_AND_DIGITS, QUANTILES, RUN_LOG_SCHEMA, SENTIMENTS, SEQ_LEN_TRAIN
+from ..session import scratch_path
 from ..sources import adapters as A
 from .registry import register
 
@@ -137,23 +144,14 @@ def x1_hash_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def _f14_sql() -> str:
     return A.with_adapters("comments") + f"""
-, wr AS (SELECT id, unnest(generate_series(1, len(w))) AS pos, unnest(w) AS word
-         FROM (SELECT id, {_sql_words('commentText')} AS w FROM comments) t)
-, vocab AS (SELECT word, token_id FROM (
-    SELECT word, CAST(row_number() OVER (ORDER BY n DESC, word) + 1 AS INTEGER) AS token_id
-    FROM (SELECT word, count(*) AS n FROM wr GROUP BY word) c) v WHERE token_id <= 20001)
-, slots AS (SELECT id, unnest(generate_series(1, {SEQ_LEN_TRAIN})) AS pos FROM comments)
-SELECT s.id, s.pos, CAST(CASE WHEN wr.word IS NULL THEN 0 ELSE coalesce(vocab.token_id, 1) END AS INTEGER)
-  AS token_id
-FROM slots s LEFT JOIN wr ON wr.id = s.id AND wr.pos = s.pos LEFT JOIN vocab ON vocab.word = wr.word"""
+SELECT id, list_resize(list_transform(list_slice({_sql_words('commentText')}, 1, {SEQ_LEN_TRAIN}),
+    lambda w: CAST('0x' || substr(md5(w), 1, 15) AS BIGINT) + 2), {SEQ_LEN_TRAIN}, 0::BIGINT) AS token_ids FROM comments"""
 
 
 def f14_token_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """40-slot token id sequence per comment over a 20,000-word vocabulary built from
-    all comment text (0 pad, 1 unknown)."""
-    c = A.comments(spark, sf).select("id", "commentText")
-    vocab = M.build_vocabulary(c, "commentText", 20000)
-    return M.token_ids(c, "id", "commentText", vocab, SEQ_LEN_TRAIN)
+    """the fixed-length token id vector of every comment (hashed words, 0 pads)."""
+    c = A.comments(spark, sf)
+    return c.select("id", M.token_sequence(F.col("commentText"), SEQ_LEN_TRAIN).alias("token_ids"))
 
 
 def _f15_sql() -> str:
@@ -167,29 +165,25 @@ def f15_token_length(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("id", F.size(words(F.col("commentText"))).alias("n_tokens"))
 
 
-_PY_TABLE = str.maketrans("", "", PUNCTUATION_AND_DIGITS)
-
-
-def _python_counts(batches):
-    for pdf in batches:
-        text = pdf["commentText"].fillna("")
-        yield pd.DataFrame({
-            "id": pdf["id"],
-            "n_chars": text.str.len().astype("int64"),
-            "n_words": text.map(lambda s: len(s.translate(_PY_TABLE).lower().split())).astype("int64"),
-        })
-
-
 def _u4_sql() -> str:
     return A.with_adapters("comments") + f"""
 SELECT id, CAST(length(commentText) AS BIGINT) AS n_chars,
   CAST(len({_sql_words('commentText')}) AS BIGINT) AS n_words FROM comments"""
 
 
+def _text_counts(table: pa.Table) -> pa.Table:
+    """Characters and words of a batch, by Arrow's compute functions."""
+    text = pc.fill_null(table["commentText"], "")
+    bare = pc.utf8_lower(pc.replace_substring_regex(text, f"[{re.escape(PUNCTUATION_AND_DIGITS)}]", ""))
+    words = pc.list_value_length(pc.utf8_split_whitespace(pc.utf8_trim_whitespace(bare)))
+    n_words = pc.if_else(pc.equal(pc.utf8_length(pc.utf8_trim_whitespace(bare)), 0), 0, words)
+    return pa.table({"id": table["id"], "n_chars": pc.cast(pc.utf8_length(text), pa.int64()), "n_words": pc.cast(n_words, pa.int64())})
+
+
 def u4_batched_map(spark: SparkSession, sf: str) -> DataFrame:
-    """U4: a batched pandas map over Arrow batches (character and word counts, Python rules)."""
+    """U4: a vectorised function mapped over batches of comments (character and word counts)."""
     c = A.comments(spark, sf).select("id", "commentText")
-    return c.mapInPandas(_python_counts, "id long, n_chars long, n_words long")
+    return batched_map(c, _text_counts, "id long, n_chars long, n_words long")
 
 
 register("p9_outlier_cut", _p9_sql())(p9_outlier_cut)
@@ -200,71 +194,123 @@ register("f15_token_length", _f15_sql())(f15_token_length)
 register("u4_batched_map", _u4_sql())(u4_batched_map)
 
 
-# ------------------------------------------------------------------ model rows (R) ---
+# ------------------------------------------------------------------ model rows ---
+# What a model answers cannot be said in SQL; these queries return facts about the answers that must
+# hold, and the oracle states them as true next to the counts it can compute.
+
+_TEXT_FOLD = "(('0x' || substr(md5(commentText), 1, 8))::UBIGINT % 100) < 80"
 
-@register("u1_score_comments")
-def u1_score_comments(spark: SparkSession, sf: str) -> DataFrame:
-    """U6 + U1: train the sentiment classifier on the hashed 0.8 fold of labelled comments,
-    then score every comment (rows-only check: model output)."""
-    c = A.comments(spark, sf)
-    lab = M.hash_split(M.labelled_comments(c), F.col("text"), 0.8)
-    model = M.train_sentiment(lab.where(F.col("split") == "train").drop("split"))
-    allc = c.select("id", F.col("commentText").alias("text"))
-    return M.score(model, allc).select("id", "Predicted")
 
+def _folds(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(training, held-out) rows of the comments that someone labelled, by the hash of their text."""
+    known = A.read_table(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct()
+    lab = M.labelled_comments(A.comments(spark, sf).join(known, "id", "left_semi"))
+    lab = M.hash_split(lab, F.col("text"), 0.8)
+    return tuple(lab.where(F.col("split") == name).drop("split") for name in ("train", "test"))
 
-@register("u6_classifier_report")
+
+@register("u1_score_comments", A.with_adapters("comments") + """
+SELECT count(*) AS n_rows, count(DISTINCT id) AS n_ids, true AS all_labelled, true AS probabilities_add_up FROM comments""")
+def u1_score_comments(spark: SparkSession, sf: str) -> DataFrame:
+    """U6 + U1: train the sentiment classifier on the hashed 0.8 fold, score every comment: as many
+    rows as comments, every label in the enum, probabilities adding up to one."""
+    model = M.train_sentiment(_folds(spark, sf)[0])
+    rows = A.comments(spark, sf).select("id", F.col("commentText").alias("text"))
+    scored = M.score(model, rows)
+    total = F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda a, x: a + x)
+    return scored.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"),
+                      F.every(F.coalesce(F.col("Predicted").isin(SENTIMENTS), F.lit(False))).alias("all_labelled"),
+                      F.every(F.abs(total - 1) < 1e-9).alias("probabilities_add_up"))
+
+
+@register("u6_classifier_report", A.with_adapters("comments") + f"""
+, t AS (SELECT sentiment FROM comments WHERE id IN (SELECT doc_id FROM labels) AND NOT {_TEXT_FOLD}), c AS (SELECT count(*) AS n FROM t GROUP BY sentiment)
+SELECT (SELECT count(*) FROM t) AS n_test, round(max(n) / sum(n), 9) AS majority_accuracy,
+  round(-sum(n / (SELECT count(*) FROM t) * ln(n / (SELECT count(*) FROM t))), 9) AS prior_loss,
+  true AS beats_majority, true AS beats_prior FROM c""")
 def u6_classifier_report(spark: SparkSession, sf: str) -> DataFrame:
-    """U6 + U5: held-out report of the classifier, next to the always-Positive baseline."""
-    c = A.comments(spark, sf)
-    lab = M.hash_split(M.labelled_comments(c), F.col("text"), 0.8)
-    model = M.train_sentiment(lab.where(F.col("split") == "train").drop("split"))
-    test = lab.where(F.col("split") == "test")
-    scored = M.score(model, test).withColumn("Sentiment", decode_label(F.col("label").cast("int")))
-    res = E.evaluate(scored.select("Sentiment", "Predicted"))
-    base = E.evaluate(test.select(decode_label(F.col("label").cast("int")).alias("Sentiment"),
-                                  F.lit("Positive").alias("Predicted")))
-    return E.reports_long(res).withColumn("model", F.lit("classifier")).unionByName(
-        E.reports_long(base).withColumn("model", F.lit("always_positive")))
-
-
-@register("u2_language_id")
+    """U6 + U5: the classifier on the held-out fold, next to always answering the most frequent
+    class and to the fold's own class shares: it beats the one in accuracy, the other in log loss.
+    """
+    train, test = _folds(spark, sf)
+    scored = M.score(M.train_sentiment(train), test).withColumn("Sentiment", decode_label(F.col("label").cast("int")))
+    truth = F.element_at(vector_to_array("probability"), F.col("label").cast("int") + 1)
+    got = scored.agg(F.avg((F.col("Sentiment") == F.col("Predicted")).cast("double")).alias("accuracy"),
+                     F.avg(-F.log(F.greatest(truth, F.lit(1e-15)))).alias("loss"), F.count(F.lit(1)).alias("n_test"))
+    share = test.groupBy("label").count().agg(F.collect_list("count").alias("c"))  # a row per class
+    total = F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    prior = share.select((F.array_max("c") / total).alias("majority"), F.aggregate(
+        "c", F.lit(0.0), lambda a, x: a - x / total * F.log(x / total)).alias("prior"))
+    both = with_scalars(got, prior)
+    return both.select("n_test", F.round("majority", 9).alias("majority_accuracy"), F.round("prior", 9).alias("prior_loss"),
+                       (F.col("accuracy") > F.col("majority")).alias("beats_majority"),
+                       (F.col("loss") < F.col("prior")).alias("beats_prior"))
+
+
+@register("u2_language_id", """
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE lang = 'en') AS n_en, true AS beats_always_en,
+  true AS only_known_languages FROM documents""")
 def u2_language_id(spark: SparkSession, sf: str) -> DataFrame:
-    """Language identification (char 3-grams + naive Bayes) trained on the hashed 0.8
-    fold of documents, applied to every document."""
+    """Language identification (char 3-grams + naive Bayes) for every language that occurs,
+    trained on the hashed 0.8 fold of documents, applied to every document."""
     docs = A.read_table(spark, sf, "documents")
-    langs = ["de", "en", "es", "fr"]
+    langs = M.languages_of(docs)
     rows = M.hash_split(M.language_training_rows(docs, langs), F.col("text"), 0.8)
     model = M.language_pipeline().fit(rows.where(F.col("split") == "train").where(F.col("label").isNotNull()))
-    return M.predict_language(model, rows.select("id", "text"), langs).select("id", "language")
-
-
-@register("u7_search_run_log")
+    truth = docs.select(F.col("doc_id").alias("id"), "lang")
+    found = M.predict_language(model, rows.select("id", "text"), langs).join(truth, "id")
+    right = F.avg(F.coalesce(F.col("language") == F.col("lang"), F.lit(False)).cast("double"))
+    english = F.avg(F.coalesce(F.col("lang") == "en", F.lit(False)).cast("double"))
+    return found.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("lang") == "en", 1)).alias("n_en"),
+                     (right > english).alias("beats_always_en"),
+                     F.every(F.col("language").isin(langs)).alias("only_known_languages"))
+
+
+@register("u7_search_run_log", A.with_adapters("comments") + """
+SELECT 15 AS n_runs, 45 AS n_values, true AS best_is_lowest, true AS losses_finite,
+  (SELECT count(*) FROM comments) AS n_scored, 0 AS n_changed_by_reload""")
 def u7_search_run_log(spark: SparkSession, sf: str) -> DataFrame:
-    """U7 + S12 + U8: 15-trial random search (0.8/0.2 train-validation split, lowest log loss),
-    every trial appended to the run log; the best model is saved and re-loaded. Returns the
-    run log (rows-only check: model output)."""
-    from ..session import scratch_path
-    c = A.comments(spark, sf)
-    lab = M.hash_split(M.labelled_comments(c), F.col("text"), 0.8)
-    train = lab.where(F.col("split") == "train").drop("split")
-    best, results = M.search_sentiment(train, trials=15, parallelism=4)
-    log = scratch_path(spark, "run-log")
-    for params, loss in results:
-        M.log_run(spark, log, params, {"val_log_loss": loss})
-    path = scratch_path(spark, "best-model")
+    """U7 + S12 + U8: 15-trial random search (hashed validation fold, lowest log loss), the trials
+    in the run log; the best model is saved, loaded again, and must answer as before."""
+    train, _ = _folds(spark, sf)
+    best, results = M.search_sentiment(train, trials=15)
+    log, path = scratch_path(spark, "run-log"), scratch_path(spark, "best-model")
+    M.log_runs(spark, log, [(params, {"val_log_loss": loss}) for params, loss in results])
     M.save_model(best, path)
-    M.load_model(path)
-    return spark.read.parquet(log).select("run_id", "key", "value", "kind")
-
-
-@register("s10_cached_language", A.with_adapters("comments") + "SELECT id, language FROM comments")
+    rows = A.comments(spark, sf).select("id", F.col("commentText").alias("text"))
+    a = M.score(best, rows).select("id", F.col("Predicted").alias("a"))
+    b = M.score(M.load_model(path), rows).select("id", F.col("Predicted").alias("b"))
+    same = a.join(b, "id").agg(F.count(F.lit(1)).alias("n_scored"),
+                               F.count(F.when(~F.col("a").eqNullSafe(F.col("b")), 1)).cast("int").alias("n_changed_by_reload"))
+    runs = spark.read.schema(RUN_LOG_SCHEMA).parquet(log)
+    loss = F.when(F.col("key") == "val_log_loss", F.col("value").cast("double"))
+    used = best.stages[-1].getRegParam()
+    logged = runs.groupBy("run_id").agg(F.min(loss).alias("loss"), F.count(F.lit(1)).alias("n"), F.max(
+        F.when(F.col("key") == "reg_param", F.col("value").cast("double"))).alias("reg"))
+    facts = logged.agg(F.count(F.lit(1)).cast("int").alias("n_runs"), F.sum("n").cast("int").alias("n_values"),
+                       (F.abs(F.min_by("reg", "loss") - F.lit(used)) < 1e-12).alias("best_is_lowest"),
+                       F.every(F.col("loss") < 100).alias("losses_finite"))
+    return with_scalars(facts, same)
+
+
+@register("s10_cached_language", A.with_adapters("comments") + "SELECT id, true AS known FROM comments")
 def s10_cached_language(spark: SparkSession, sf: str) -> DataFrame:
-    """The language column is computed once into keyed Parquet and re-read afterwards."""
-    from ..session import scratch_path
+    """S10 + U2: languages are predicted once into keyed Parquet and re-read afterwards: the second
+    call must not compute, and gets a row per comment with one of the known languages."""
     path = scratch_path(spark, "language-cache")
-    M.cached_column(spark, path, lambda: A.comments(spark, sf).select("id", "language"))
-    return M.cached_column(spark, path, lambda: A.comments(spark, sf).select("id", "language"))
+    docs = A.read_table(spark, sf, "documents")
+    langs = M.languages_of(docs)
+    rows = M.language_training_rows(docs, langs)
+
+    def predicted() -> DataFrame:
+        model = M.language_pipeline().fit(rows.where(F.col("label").isNotNull()))
+        return M.predict_language(model, rows.select("id", "text"), langs).select("id", "language")
+
+    def again() -> DataFrame:
+        raise AssertionError("the stored column was not found")
+
+    M.cached_column(spark, path, predicted)
+    return M.cached_column(spark, path, again).select("id", F.col("language").isin(langs).alias("known"))
 
 
 @register("f16_report_values", A.with_adapters("comments_wide", "comments") + """
@@ -272,7 +318,7 @@ def s10_cached_language(spark: SparkSession, sf: str) -> DataFrame:
   (SELECT authorId, count(*) AS occurrences FROM comments_wide GROUP BY authorId) t GROUP BY occurrences)
 SELECT round((SELECT count(*) / count(DISTINCT videoId) FROM comments_wide), 2) AS mean_rows,
        round((SELECT arg_min(n_keys, occurrences) / sum(n_keys) * 100.0 FROM h), 2) AS pct_first_bucket,
-       round((SELECT avg(CAST(language = 'en' AS DOUBLE)) * 100.0 FROM comments), 2) AS pct_en""")
+       round((SELECT avg(CAST(coalesce(language = 'en', false) AS DOUBLE)) * 100.0 FROM comments), 2) AS pct_en""")
 def f16_report_values(spark: SparkSession, sf: str) -> DataFrame:
     """F16: report values with two decimals (mean comments per video, first-bucket share,
     percent English)."""
@@ -281,7 +327,7 @@ def f16_report_values(spark: SparkSession, sf: str) -> DataFrame:
     a = P.mean_rows_per_key(w, "videoId")
     b = P.first_bucket_share(P.occurrence_histogram(w, "authorId"))
     c = P.pct_where(A.comments(spark, sf), {"pct_en": F.col("language") == "en"})
-    return a.crossJoin(b).crossJoin(c).select(
+    return with_scalars(with_scalars(a, b), c).select(
         report_round(F.col("mean_rows")).alias("mean_rows"),
         report_round(F.col("pct")).alias("pct_first_bucket"),
         report_round(F.col("pct_en")).alias("pct_en"))

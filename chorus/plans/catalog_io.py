@@ -15,7 +15,7 @@ from ..operators import joins as J
 from ..operators import model as M
 from ..operators import profile as P
 from ..operators.video import video_stats
-from ..schemas import DATASET_SCHEMA, VIDEO_KEY_PATTERN, VIDEO_LINK_PATTERN
+from ..schemas import DATASET_SCHEMA, SENTIMENTS, VIDEO_KEY_PATTERN, VIDEO_LINK_PATTERN
 from ..session import scratch_path
 from ..sources import adapters as A
 from ..sources import api_json as JS
@@ -55,7 +55,7 @@ def s2_language_sidecar(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("s4_named_splits", A.with_adapters("dataset") + """
-SELECT CommentID, CASE WHEN (('0x' || substr(md5(CommentText), 1, 8))::UBIGINT % 100) < 90
+SELECT CommentID, CommentText, CASE WHEN (('0x' || substr(md5(CommentText), 1, 8))::UBIGINT % 100) < 90
   THEN 'train' ELSE 'test' END AS split FROM dataset""")
 def s4_named_splits(spark: SparkSession, sf: str) -> DataFrame:
     """X1 + S4: hash-split the dataset into train/test CSV files, load both as named splits."""
@@ -64,12 +64,12 @@ def s4_named_splits(spark: SparkSession, sf: str) -> DataFrame:
     for name in ("train", "test"):
         FS.write_csv(d.where(F.col("split") == name).drop("split"), f"{base}/{name}")
     out = FS.load_splits(spark, {"train": f"{base}/train", "test": f"{base}/test"}, DATASET_SCHEMA)
-    return out.select("CommentID", "split")
+    return out.select("CommentID", "CommentText", "split")
 
 
 @register("s5_video_ingest", A.with_adapters("videos", "comments_wide") + """
 , st AS (SELECT videoId, sum(likeCount) AS likeCount, count(*) AS commentCount FROM comments_wide GROUP BY videoId)
-SELECT v.videoKey, v.videoName, v.channelName, v.category, v.viewCount,
+SELECT CAST('0x' || substr(md5(v.videoKey), 1, 15) AS BIGINT) AS id, v.videoKey, v.videoName, v.channelName, v.category, v.viewCount,
   CAST(coalesce(st.likeCount, 0) AS BIGINT) AS likeCount, CAST(coalesce(st.commentCount, 0) AS BIGINT) AS commentCount,
   v.publishingDate
 FROM videos v LEFT JOIN st ON st.videoId = v.id""")
@@ -83,7 +83,7 @@ def s5_video_ingest(spark: SparkSession, sf: str) -> DataFrame:
     pages.where(F.element_at("items", 1)["id"] < "4").write.json(f"{path}/reposted")
     JS.empty_video_pages(A.read_table(spark, sf, "pages").select("page_id")).write.json(f"{path}/empty")
     got = JS.ingest_videos(JS.read_video_pages(spark, f"{path}/*"), A.category_map(spark))
-    return got.select("videoKey", "videoName", "channelName", "category", "viewCount", "likeCount",
+    return got.select("id", "videoKey", "videoName", "channelName", "category", "viewCount", "likeCount",
                       "commentCount", "publishingDate")
 
 
@@ -130,6 +130,16 @@ def s9_preview(spark: SparkSession, sf: str) -> DataFrame:
     return FS.preview(c, ["id"], 5)
 
 
+@register("s11_aligned_lists", A.with_adapters("comments") + """
+SELECT videoId, id // 1000 AS part, list(length(commentText) ORDER BY id) AS lengths, list(likeCount ORDER BY id) AS likes
+FROM comments GROUP BY ALL""")
+def s11_aligned_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Per video, the lengths and likes of its comments as aligned lists, in bounded parts."""
+    c = A.comments(spark, sf).select("videoId", "id", F.char_length("commentText").cast("bigint").alias("lengths"),
+                                     F.col("likeCount").alias("likes"))
+    return FS.aligned_lists(c, ["videoId"], ["lengths", "likes"], "id", 1000)
+
+
 _LINK_SQL = A.with_adapters("links") + f"""
 , parsed AS (SELECT page_id, kind, url,
   coalesce(regexp_matches(url, {sql_str(VIDEO_LINK_PATTERN)}), false) AS is_valid,
@@ -178,7 +188,8 @@ def j2_attach_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Attach predictions to their text rows by id."""
     docs = A.read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"),
                                                        F.col("text").alias("CommentText"))
-    return J.attach_predictions(docs, A.predictions(spark, sf), "id")
+    preds = A.predictions(spark, sf, with_text=True).select("id", "Sentiment", "Predicted")
+    return J.attach_predictions(docs, preds, "id")
 
 
 @register("f18_unpivot", A.with_adapters("comments_wide", "videos") + """
@@ -208,9 +219,26 @@ def st1_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     sink = scratch_path(spark, "stream-sink")
     ckpt = scratch_path(spark, "stream-ckpt")
     pages.write.json(landing)
-    SI.run_ingest(spark, landing, sink, ckpt, max_files_per_trigger=2)
+    SI.run_ingest(spark, landing, sink, ckpt)
     pages.where(F.col("nextPageToken").endswith("-1")).write.mode("append").json(landing)
-    return SI.run_ingest(spark, landing, sink, ckpt, max_files_per_trigger=2)
+    return SI.run_ingest(spark, landing, sink, ckpt)
+
+
+@register("st1_scored_ingest", A.with_adapters("comments") + """
+SELECT id, CAST('0x' || substr(md5(substr(md5(CAST(videoId AS VARCHAR)), 1, 11)), 1, 15) AS BIGINT) AS videoId,
+  commentText, likeCount, publishingDate, true AS has_label FROM comments""")
+def st1_scored_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """ST1 + S6 + U1: land comment pages, score them with a trained sentiment model while they are
+    ingested, store them; the stored comments refer to the video's id (``has_label``: the stored
+    sentiment is one of the three)."""
+    c = A.comments(spark, sf)
+    model = M.train_sentiment(M.labelled_comments(c))
+    landing, sink = scratch_path(spark, "landing"), scratch_path(spark, "stream-sink")
+    JS.comment_pages(c, 100).write.json(landing)
+    stored = SI.run_ingest(spark, landing, sink, scratch_path(spark, "stream-ckpt"), model=model)
+    key = F.substring(F.md5(F.col("videoId").cast("string")), 1, 11)  # the adapter's key of the video
+    return stored.select("id", JS.video_id(key).alias("videoId"), "commentText", "likeCount", "publishingDate",
+                         F.coalesce(F.col("sentiment").isin(SENTIMENTS), F.lit(False)).alias("has_label"))
 
 
 @register("st2_daily_counts", A.with_adapters("comments_wide") + """
@@ -220,6 +248,6 @@ def st2_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     """ST2: running comment counts per day, video and sentiment over a file stream."""
     w = A.comments_wide(spark, sf)
     landing = scratch_path(spark, "wide-landing")
-    w.repartition(4).write.parquet(landing)
+    w.write.parquet(landing)
     return SC.run_daily_counts(spark, landing, w.schema, scratch_path(spark, "daily-counts"),
-                               scratch_path(spark, "daily-ckpt"), max_files_per_trigger=2)
+                               scratch_path(spark, "daily-ckpt"))

@@ -211,7 +211,8 @@ def _linear_median_sql(src: str, group: str, val: str) -> str:
 @register("a16_length_stats", A.with_adapters("comments") + """
 , lens AS (SELECT sentiment, length(commentText) AS length FROM comments WHERE sentiment IS NOT NULL)
 , med AS """ + _linear_median_sql("lens", "sentiment", "length") + """
-SELECT l.sentiment, avg(length) AS mean, round(stddev_samp(length), 9) AS std, any_value(med.median) AS median
+SELECT l.sentiment, avg(length) AS mean, round(stddev_samp(length), 9) AS std, any_value(med.median) AS median,
+  CASE l.sentiment WHEN 'Positive' THEN 0 WHEN 'Neutral' THEN 1 ELSE 2 END AS rank
 FROM lens l JOIN med USING (sentiment) GROUP BY l.sentiment""")
 def a16_length_stats(spark: SparkSession, sf: str) -> DataFrame:
     """A16 + T4: median, mean and sample std of comment length per sentiment."""
@@ -242,9 +243,10 @@ SELECT bin, count(*) AS n, any_value(lo) + bin * any_value(w) AS bin_start,
 def a17_length_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """A17 + A12: 450-bin histogram of comment length, limited to [1, q99]."""
     lens = A.comments(spark, sf).select(char_length(F.col("commentText")).alias("x"))
-    q99 = S.quantiles(lens, "x", [0.99]).select(F.col("value").alias("__q99"))
-    kept = J.with_scalars(lens, q99).where((F.col("x") >= 1) & (F.col("x") <= F.col("__q99")))
-    return P.histogram(kept, "x", LENGTH_HISTOGRAM_BINS)
+    counts = S.value_counts(lens, "x")
+    q99 = S.quantiles(lens, "x", [0.99], counts=counts).select(F.col("value").alias("__q99"))
+    kept = J.with_scalars(counts, q99).where((F.col("x") >= 1) & (F.col("x") <= F.col("__q99")))
+    return P.histogram(kept, "x", LENGTH_HISTOGRAM_BINS, weight="cnt")
 
 
 @register("a17_video_count_histogram", A.with_adapters("comments_wide") + """
@@ -261,9 +263,9 @@ def a17_video_count_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("a28_pct_predicates", A.with_adapters("comments") + """
-SELECT avg(CAST(language = 'en' AS DOUBLE)) * 100.0 AS pct_en,
-       avg(CAST(likeCount > 0 AS DOUBLE)) * 100.0 AS pct_liked,
-       avg(CAST(replies > 0 AS DOUBLE)) * 100.0 AS pct_replied FROM comments""")
+SELECT avg(CAST(coalesce(language = 'en', false) AS DOUBLE)) * 100.0 AS pct_en,
+       avg(CAST(coalesce(likeCount > 0, false) AS DOUBLE)) * 100.0 AS pct_liked,
+       avg(CAST(coalesce(replies > 0, false) AS DOUBLE)) * 100.0 AS pct_replied FROM comments""")
 def a28_pct_predicates(spark: SparkSession, sf: str) -> DataFrame:
     """Percent of comments in English, with likes, with replies."""
     c = A.comments(spark, sf)

@@ -71,6 +71,20 @@ def a22_chisquare_sentiment(spark: SparkSession, sf: str) -> DataFrame:
                     "reject")
 
 
+@register("a22_chisquare_likes", A.with_adapters("comments_wide") + """
+, o AS (SELECT s.sentiment, CAST(coalesce(sum(w.likeCount), 0) AS DOUBLE) AS o
+        FROM (VALUES ('Positive'), ('Neutral'), ('Negative')) AS s(sentiment)
+        LEFT JOIN comments_wide w ON w.sentiment = s.sentiment GROUP BY s.sentiment)
+, st AS (SELECT sum((o - e) * (o - e) / e) AS statistic FROM o, (SELECT sum(o) / 3.0 AS e FROM o) t)
+SELECT round(statistic, 6) AS statistic, round(exp(-(statistic / 2.0)), 12) AS p_value,
+       exp(-(statistic / 2.0)) < 0.05 AS reject FROM st""")
+def a22_chisquare_likes(spark: SparkSession, sf: str) -> DataFrame:
+    """Chi-square goodness of fit of the likes per sentiment against equal shares."""
+    t = S.chisquare_uniform(A.comments_wide(spark, sf), "sentiment", SENTIMENTS, value_col="likeCount")
+    return t.select(F.round("statistic", 6).alias("statistic"), F.round("p_value", 12).alias("p_value"),
+                    "reject")
+
+
 def _kruskal_sql(src: str) -> str:
     return f"""
 , x AS (SELECT g, v FROM {src} WHERE g IS NOT NULL)
@@ -90,7 +104,7 @@ SELECT CAST(N AS BIGINT) AS n, k, round(H, 9) AS statistic, round(exp(-(H / 2.0)
 def a23_kruskal_length(spark: SparkSession, sf: str) -> DataFrame:
     """A23 + W2: Kruskal-Wallis test of comment length across the three sentiments."""
     c = A.comments(spark, sf).select("sentiment", char_length(F.col("commentText")).alias("length"))
-    t = S.kruskal_wallis(c, "length", "sentiment", k=3)
+    t = S.kruskal_wallis(c, "length", "sentiment")
     return t.select("n", "k", F.round("statistic", 9).alias("statistic"),
                     F.round("p_value", 12).alias("p_value"), "reject")
 
@@ -100,6 +114,6 @@ def a23_kruskal_length(spark: SparkSession, sf: str) -> DataFrame:
 def a23_kruskal_likes(spark: SparkSession, sf: str) -> DataFrame:
     """Kruskal-Wallis test of likes across sentiments (heavy ties)."""
     w = A.comments_wide(spark, sf)
-    t = S.kruskal_wallis(w, "likeCount", "sentiment", k=3)
+    t = S.kruskal_wallis(w, "likeCount", "sentiment")
     return t.select("n", "k", F.round("statistic", 9).alias("statistic"),
                     F.round("p_value", 12).alias("p_value"), "reject")

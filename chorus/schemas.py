@@ -110,7 +110,7 @@ SENTIMENTS = ["Positive", "Neutral", "Negative"]
 LABEL_IDS = {"Positive": 0, "Neutral": 1, "Negative": 2}
 ID_LABELS = {0: "Positive", 1: "Neutral", 2: "Negative"}
 # Custom sort order of the sentiment axis in reports.
-SENTIMENT_ORDER = {"Negative": 0, "Neutral": 1, "Positive": 2}
+SENTIMENT_ORDER = {"Positive": 0, "Neutral": 1, "Negative": 2}
 
 # Video category id -> name.
 CATEGORIES = {

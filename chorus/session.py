@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-# Local-test defaults only; on a cluster these come from the job's own configuration.
+# For local sessions only (tests, bench); on a cluster all of this is the job's own configuration.
 _LOCAL_DEFAULTS = {
     "spark.sql.shuffle.partitions": "8",
     "spark.sql.adaptive.enabled": "true",
@@ -26,24 +27,31 @@ _LOCAL_DEFAULTS = {
 
 
 def get_session(master: str | None = None, app: str = "chorus", **conf: str) -> SparkSession:
-    """Return the active session, or build a local one with sane defaults."""
+    """Return the active session, or build one.
+
+    Without a master (here or in CHORUS_MASTER) the session is what spark-submit configured, and
+    nothing is set over it. A local master gets local defaults.
+    """
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
     builder = SparkSession.builder.appName(app)
-    builder = builder.master(master or os.environ.get("CHORUS_MASTER", "local[*]"))
-    for k, v in {**_LOCAL_DEFAULTS, **conf}.items():
+    master = master or os.environ.get("CHORUS_MASTER")
+    if master:
+        builder = builder.master(master)
+    defaults = _LOCAL_DEFAULTS if (master or "").startswith("local") else {}
+    for k, v in {**defaults, **conf}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (local runs, tests) do we make one.
+    A cluster names it, and it is an error if it does not: executors do not share a folder of one
+    machine. Only a local session makes its own, as in tests.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not re.match(r"local(\[[^]]*\])?$", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="chorus-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

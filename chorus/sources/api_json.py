@@ -44,12 +44,24 @@ def read_video_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(VIDEO_PAGE_SCHEMA).json(path)
 
 
+def video_id(key) -> F.Column:
+    """A stable id of a video key."""
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
+
+
 def ingest_videos(pages: DataFrame, categories: DataFrame) -> DataFrame:
     """Responses -> Video rows. Zero-result responses are rejected; unknown category ids
-    become "No category"; a key posted twice is kept once."""
-    ok = pages.where(F.col("pageInfo.totalResults") > 0).where(F.size("items") > 0)
-    first = ok.select(F.element_at("items", 1).alias("it"))
+    become "No category"; of a key posted again the response landed last counts (by the file's
+    modification time, then its path; within a file the largest row).
+
+    ``id`` is made from the video key (60 bits of its md5), so it is the same whenever and wherever
+    the video is ingested, and comments can refer to it before the video arrives.
+    """
+    landed = pages.select("*", F.col("_metadata.file_modification_time").alias("__at"), F.col("_metadata.file_path").alias("__file"))
+    ok = landed.where(F.col("pageInfo.totalResults") > 0).where(F.size("items") > 0)
+    first = ok.select(F.element_at("items", 1).alias("it"), "__at", "__file")
     rows = first.select(
+        "__at", "__file", video_id(F.col("it.id")).alias("id"),
         F.col("it.id").alias("videoKey"),
         F.col("it.snippet.title").alias("videoName"),
         F.col("it.snippet.channelTitle").alias("channelName"),
@@ -60,7 +72,9 @@ def ingest_videos(pages: DataFrame, categories: DataFrame) -> DataFrame:
         parse_iso_timestamp(F.col("it.snippet.publishedAt")).alias("publishingDate"))
     rows = lookup_default(rows, F.col("categoryId").cast("int"), categories, "categoryId", "category",
                           NO_CATEGORY).drop("categoryId")
-    return rows.dropDuplicates(["videoKey"])
+    names = [c for c in rows.columns if c not in ("__at", "__file")]
+    last = F.max(F.struct("__at", "__file", *[c for c in names if c != "videoKey"])).alias("v")
+    return rows.groupBy("videoKey").agg(last).select(*[F.col(c) if c == "videoKey" else F.col(f"v.{c}") for c in names])
 
 
 def comment_pages(comments: DataFrame, page_size: int = 100) -> DataFrame:

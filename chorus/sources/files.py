@@ -10,18 +10,48 @@ from pyspark.sql import types as T
 
 from ..schemas import DATASET_SCHEMA, LANGUAGE_SIDECAR_SCHEMA
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
+#: How NULL is written; no text is written like this, as backslashes are.
+NULL = "\\N"
+CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": "false",
+               "ignoreTrailingWhiteSpace": "false", "nullValue": NULL, "emptyValue": "",
                "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "mode": "FAILFAST"}
+FOREIGN_OPTIONS = CSV_OPTIONS | {"multiLine": "true", "nullValue": ""}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _on_texts(df: DataFrame, change) -> DataFrame:
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return df.select(*[change(F.col(f"`{c}`")).alias(c) if c in texts else F.col(f"`{c}`") for c in df.columns])
+
+
+def _one_line(text: Column) -> Column:
+    """Line breaks (and the marks used for them, and a backslash) as %XX, an empty text as %00."""
+    for c, code in (("%", "%25"), ("\n", "%0A"), ("\r", "%0D"), ("\\", "%5C")):
+        text = F.replace(text, F.lit(c), F.lit(code))
+    return F.when(text == "", F.lit("%00")).otherwise(text)
+
+
+def _as_written(text: Column) -> Column:
+    text = F.when(text == "%00", F.lit("")).otherwise(text)
+    for c, code in (("\\", "%5C"), ("\r", "%0D"), ("\n", "%0A"), ("%", "%25")):
+        text = F.replace(text, F.lit(code), F.lit(c))
+    return text
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, foreign: bool = False) -> DataFrame:
     """Scan CSV with a header and an explicit schema (never inferred: inference is an extra
-    pass over the data). ``multiLine`` keeps quoted newlines inside a comment."""
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    pass over the data).
+
+    Files of ``write_csv`` hold one record per line, so one file can be read by many tasks.
+    ``foreign`` reads other programs' files, where a quoted text may run over lines: each file is
+    then read by one task, and an empty field is NULL.
+    """
+    reader = spark.read.schema(schema).options(**(FOREIGN_OPTIONS if foreign else CSV_OPTIONS))
+    return reader.csv(path) if foreign else _on_texts(reader.csv(path), _as_written)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", rows_per_file: int = 1_000_000) -> None:
+    """CSV with one record per line, NULL and empty text told apart, blanks kept."""
+    _on_texts(df, _one_line).write.mode(mode).options(**CSV_OPTIONS).option("maxRecordsPerFile", rows_per_file).csv(path)
 
 
 def read_comment_dataset(spark: SparkSession, path: str) -> DataFrame:
@@ -58,15 +88,18 @@ def schema_text(df: DataFrame) -> str:
     return df.schema.simpleString()
 
 
-def aligned_lists(df: DataFrame, group_cols: Sequence[str], cols: Sequence[str], order_col: str) -> DataFrame:
-    """Per group, one array per column, all in the same row order.
+def aligned_lists(df: DataFrame, group_cols: Sequence[str], cols: Sequence[str], order_col: str,
+                  part_rows: int = 1000) -> DataFrame:
+    """Per group, one array per column, all in the same row order, in parts of bounded size.
 
-    This packs a whole group into one row, so it is for small exports (one video's
-    lengths); the DataFrame itself is the export format for anything large.
+    ``order_col`` is an integer; ``part`` is its value div ``part_rows``, so a part holds that many
+    rows at most if the column tells the rows apart, and a group's parts in order are its lists. No
+    group is ever gathered whole.
     """
+    part = F.floor(F.col(order_col) / F.lit(part_rows)).cast("bigint").alias("part")
     packed = F.sort_array(F.collect_list(F.struct(F.col(order_col).alias("__o"), *[F.col(c) for c in cols])))
-    out = df.groupBy(*group_cols).agg(packed.alias("__rows"))
-    return out.select(*group_cols, *[F.transform("__rows", _field(c)).alias(c) for c in cols])
+    out = df.groupBy(*group_cols, part).agg(packed.alias("__rows"))
+    return out.select(*group_cols, "part", *[F.transform("__rows", _field(c)).alias(c) for c in cols])
 
 
 def _field(name: str):

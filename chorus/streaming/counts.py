@@ -1,8 +1,8 @@
 """ST2: running sentiment counts per video and day over a comment stream.
 
-A windowed streaming aggregation; each micro-batch rewrites the (small, grouped) result table
-from the state store, so readers always see complete counts. The result has one row per
-(day, video, sentiment) - it grows with distinct groups, not with rows.
+The stream keeps no state: each micro-batch writes the counts of its own rows to a partition of the
+result, ``batch=<id>``, and only ever overwrites that partition when it runs again. The reader adds
+the partial counts up, so it sees whole batches and work per batch follows the batch.
 """
 
 from __future__ import annotations
@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def daily_counts(stream: DataFrame, ts_col: str = "publishingDate") -> DataFrame:
-    """Streaming (or batch) counts per (day window, videoId, sentiment)."""
-    ts = F.col(ts_col).cast("timestamp")
-    g = stream.groupBy(F.window(ts, "1 day").alias("w"), "videoId", "sentiment").agg(
-        F.count(F.lit(1)).alias("n"))
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "videoId", "sentiment", "n")
+def daily_counts(rows: DataFrame, ts_col: str = "publishingDate") -> DataFrame:
+    """Counts per (day, videoId, sentiment); rows without a date have a NULL day."""
+    day = F.date_trunc("day", F.col(ts_col)).cast("timestamp_ntz")
+    return rows.groupBy(day.alias("day"), "videoId", "sentiment").agg(F.count(F.lit(1)).alias("n"))
 
 
 def start_daily_counts(spark: SparkSession, landing: str, schema: T.StructType, result: str,
@@ -26,17 +24,22 @@ def start_daily_counts(spark: SparkSession, landing: str, schema: T.StructType,
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    counts = daily_counts(reader.parquet(landing))
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(result)
+        daily_counts(batch).write.mode("overwrite").parquet(f"{result}/batch={batch_id}")
 
-    return (counts.writeStream.outputMode("complete").foreachBatch(publish)
+    return (reader.parquet(landing).writeStream.foreachBatch(publish)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def read_daily_counts(spark: SparkSession, result: str) -> DataFrame:
+    """The counts of all batches so far."""
+    parts = spark.read.schema("day timestamp_ntz, videoId long, sentiment string, n long").parquet(f"{result}/batch=*")
+    return parts.groupBy("day", "videoId", "sentiment").agg(F.sum("n").alias("n"))
+
+
 def run_daily_counts(spark: SparkSession, landing: str, schema: T.StructType, result: str,
                      checkpoint: str, max_files_per_trigger: int | None = None) -> DataFrame:
     q = start_daily_counts(spark, landing, schema, result, checkpoint, max_files_per_trigger)
     q.awaitTermination()
-    return spark.read.parquet(result)
+    return read_daily_counts(spark, result)

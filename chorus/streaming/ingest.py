@@ -1,11 +1,11 @@
 """ST1: incremental ingest of landed comment pages.
 
-``readStream`` over the landing folder -> explode -> watermark + ``dropDuplicatesWithinWatermark``
-on the comment id (bounded state) -> ``foreachBatch``: an anti join against the keys already
-stored for the same publishing days (catches late copies that left the watermark; the sink is
-partitioned by day, so only those partitions are read) and an append. Progress and state live in
-the checkpoint folder, so a restarted query resumes where it stopped and a lost executor
-only re-runs its micro-batch.
+``readStream`` over the landing folder -> explode -> ``foreachBatch``: one copy of each id within the
+batch, a left-anti join with the sink on (day, id), an append. The stream keeps no state and has no
+watermark, so a comment of any age and in any order is stored, once. The sink is partitioned by
+publishing day; comments without a date have a partition of their own, so their later copies are
+found too. Progress lives in the checkpoint folder: a restarted query resumes where it stopped, and
+a micro-batch that runs again finds what its first run stored.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..schemas import COMMENT_PAGE_SCHEMA
 from ..sources.api_json import explode_comment_pages
 
+NO_DAY = "none"
+
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -23,17 +25,12 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def comment_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None,
-                   watermark: str = "1 day") -> DataFrame:
-    """The deduplicated comment stream from a landing folder of JSON pages."""
+def comment_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The comments of a landing folder of JSON pages, copies included."""
     reader = spark.readStream.schema(COMMENT_PAGE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    rows = explode_comment_pages(reader.json(landing))
-    return (rows.withColumn("__event_ts", F.col("publishingDate").cast("timestamp"))
-            .withWatermark("__event_ts", watermark)
-            .dropDuplicatesWithinWatermark(["id"])
-            .drop("__event_ts"))
+    return explode_comment_pages(reader.json(landing))
 
 
 def start_ingest(spark: SparkSession, landing: str, sink: str, checkpoint: str,
@@ -46,20 +43,16 @@ def start_ingest(spark: SparkSession, landing: str, sink: str, checkpoint: str,
     """
 
     def append_new(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("day", F.to_date("publishingDate")).persist()
-        fresh = batch
+        day = F.coalesce(F.date_format("publishingDate", "yyyy-MM-dd"), F.lit(NO_DAY))
+        fresh = batch.withColumn("day", day).dropDuplicates(["id"])
         if _path_exists(spark, sink):
-            # a copy can only collide with stored rows of its own publishing day: read just
-            # those day partitions (the list is bounded by the days in one micro-batch)
-            days = [r[0] for r in batch.select("day").distinct().collect()]
-            stored = spark.read.parquet(sink).where(F.col("day").isin(days)).select("id")
-            fresh = batch.join(stored, "id", "left_anti")
+            stored = spark.read.schema("id long, day string").parquet(sink)
+            fresh = fresh.join(stored, ["day", "id"], "left_anti")
         if model is not None:
             from ..operators.model import score
             scored = score(model, fresh.withColumn("text", F.col("commentText")))
             fresh = scored.drop("text", "probability").withColumnRenamed("Predicted", "sentiment")
         fresh.write.mode("append").partitionBy("day").parquet(sink)
-        batch.unpersist()
 
     writer = (comment_stream(spark, landing, max_files_per_trigger).writeStream
               .foreachBatch(append_new).option("checkpointLocation", checkpoint))

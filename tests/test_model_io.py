@@ -18,7 +18,8 @@ SF = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="module")
 def split(spark):
-    c = A.comments(spark, SF)
+    known = A.read_table(spark, SF, "labels").select(F.col("doc_id").alias("id"))
+    c = A.comments(spark, SF).join(known, "id", "left_semi")
     lab = M.hash_split(M.labelled_comments(c), F.col("text"), 0.8).cache()
     return lab.where("split = 'train'").drop("split"), lab.where("split = 'test'").drop("split")
 
@@ -53,7 +54,7 @@ def test_classifier_beats_baselines_and_roundtrips(spark, split):
 
 def test_search_logs_runs(spark, split):
     train, _ = split
-    best, results = M.search_sentiment(train, trials=2, parallelism=2)
+    best, results = M.search_sentiment(train, trials=2)
     assert len(results) == 2 and all(loss > 0 for _, loss in results)
     log = scratch_path(spark, "runs")
     for params, loss in results:
@@ -88,8 +89,10 @@ def test_cached_column_computes_once(spark):
 def test_aligned_lists_and_preview(spark):
     df = spark.createDataFrame([(1, 3, 10, "P"), (1, 1, 20, "N"), (2, 1, 5, "P")],
                                "v long, id long, len long, s string")
-    out = {r["v"]: (r["len"], r["s"]) for r in FS.aligned_lists(df, ["v"], ["len", "s"], "id").collect()}
-    assert out == {1: ([20, 10], ["N", "P"]), 2: ([5], ["P"])}
+    out = {(r["v"], r["part"]): (r["len"], r["s"]) for r in FS.aligned_lists(df, ["v"], ["len", "s"], "id", 1000).collect()}
+    assert out == {(1, 0): ([20, 10], ["N", "P"]), (2, 0): ([5], ["P"])}
+    out = {(r["v"], r["part"]): r["len"] for r in FS.aligned_lists(df, ["v"], ["len"], "id", 2).collect()}
+    assert out == {(1, 0): [20], (1, 1): [10], (2, 0): [5]}
     assert [r["id"] for r in FS.preview(df, ["id", "v"], 2).collect()] == [1, 1]
 
 

@@ -54,7 +54,7 @@ def test_quantiles_many_values_match_numpy(spark):
     import numpy as np
     vals = [(i * 7919) % 1000 for i in range(5000)]
     df = spark.createDataFrame([(v,) for v in vals], "v long")
-    got = {r["quantile"]: r["value"] for r in S.quantiles(df, "v", [0.1, 0.5, 0.99], n_buckets=16).collect()}
+    got = {r["quantile"]: r["value"] for r in S.quantiles(df, "v", [0.1, 0.5, 0.99]).collect()}
     s = sorted(vals)
     for q, v in got.items():
         assert v == s[int(math.floor((len(s) - 1) * q + 0.5))]
@@ -64,7 +64,7 @@ def test_quantiles_many_values_match_numpy(spark):
 
 def test_w2_average_ranks(spark):
     df = spark.createDataFrame([(v,) for v in [10, 20, 20, 30, 30, 30]], "v long")
-    got = rows(S.average_ranks(df, "v", n_buckets=4), "v", "avg_rank")
+    got = rows(S.average_ranks(df, "v"), "v", "avg_rank")
     assert got == [(10, 1.0), (20, 2.5), (30, 5.0)]
 
 
@@ -99,7 +99,7 @@ def test_chi2_sf_odd_and_even(spark):
 def test_a23_kruskal(spark, groups, h, p):
     data = [(g, float(v)) for g, vs in groups.items() for v in vs]
     df = spark.createDataFrame(data, "g string, v double")
-    r = S.kruskal_wallis(df, "v", "g", k=3, n_buckets=2).first()
+    r = S.kruskal_wallis(df, "v", "g", k=3).first()
     assert abs(r["statistic"] - h) < 1e-6 and abs(r["p_value"] - p) < 1e-6 and not r["reject"]
 
 
@@ -191,17 +191,20 @@ def test_x1_hash_buckets(spark):
 
 
 def test_f14_pad_and_truncate(spark):
-    vocab = spark.createDataFrame([("a", 5), ("b", 6), ("c", 7)], "word string, token_id int")
-    df = spark.createDataFrame([(1, "a b c"), (2, "a zz")], "id long, t string")
-    seq = {r["id"]: r["token_ids"] for r in M.token_sequence(df, "id", "t", vocab, 5).collect()}
-    assert seq == {1: [5, 6, 7, 0, 0], 2: [5, 1, 0, 0, 0]}
-    short = {r["id"]: r["token_ids"] for r in M.token_sequence(df, "id", "t", vocab, 2).collect()}
-    assert short == {1: [5, 6], 2: [5, 1]}
+    import hashlib
+    a, b, c, zz = (int(hashlib.md5(w.encode()).hexdigest()[:15], 16) + 2 for w in ("a", "b", "c", "zz"))
+    df = spark.createDataFrame([(1, "a b c"), (2, "A zz!"), (3, ""), (4, None)], "id long, t string")
+    seq = {r["id"]: r["x"] for r in df.select("id", M.token_sequence(F.col("t"), 5).alias("x")).collect()}
+    assert seq == {1: [a, b, c, 0, 0], 2: [a, zz, 0, 0, 0], 3: [0] * 5, 4: [0] * 5}
+    short = {r["id"]: r["x"] for r in df.select("id", M.token_sequence(F.col("t"), 2).alias("x")).collect()}
+    assert short == {1: [a, b], 2: [a, zz], 3: [0, 0], 4: [0, 0]}
 
 
 def test_a24_group_text_order(spark):
     df = spark.createDataFrame([(1, 2, "world"), (1, 1, "hello"), (2, 1, "solo")], "g long, o long, t string")
     assert rows(W.group_text(df, ["g"], "t", "o"), "g", "text") == [(1, "hello world"), (2, "solo")]
+    assert rows(W.group_text(df, ["g"], "t", "o", part_rows=2), "g", "part", "text") == [
+        (1, 0, "hello"), (1, 1, "world"), (2, 0, "solo")]
 
 
 def test_a17_histogram(spark):
