@@ -5,8 +5,8 @@ host edges, run as DataFrame joins: personalised PageRank from trusted seeds (ho
 allow rule takes, by share of pages) along the edges, and distrust from blocked seeds against them.
 A host is blocked when its distrust exceeds ``ratio`` times its trust.
 
-Edges: page host -> host of an absolute link in its html, and host -> parent domain (a subdomain
-vouches for the domain it lives under, and a bad domain taints its subdomains). Self links count
+Edges: page host -> host of an absolute link in its html, and host -> parent domain of two labels
+at least (a subdomain vouches for the domain it lives under, a bad domain taints its subdomains). Self links count
 for nothing. A host without outgoing edges passes nothing on.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and takes
