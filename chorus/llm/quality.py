@@ -37,8 +37,8 @@ from chorus.llm.wordsplit import slices
 
 BITS, MASK = 21, (1 << 21) - 1
 BEGIN, END = MASK - 1, MASK
-#: Bytes of text in one chunk (one document at least) and the most documents.
-CHUNK, CHUNK_DOCS = 8_000_000, 60_000
+#: Bytes of text in one chunk (one document at least), the most documents, and bytes cut at a time.
+CHUNK, CHUNK_DOCS, PIECE = 8_000_000, 60_000, 1_000_000
 
 
 def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,13 +89,27 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return key, doc, np.diff(cut, append=total)
 
 
+def chunk_trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``trigrams`` of a chunk, cut piece by piece to bound memory."""
+    parts = []
+    for lo, hi in slices(texts, PIECE):
+        key, doc, n = trigrams(texts.slice(lo, hi - lo).to_pylist())
+        parts.append((key, (doc + lo).astype(np.uint16), n.astype(np.uint32)))
+    if len(parts) == 1:
+        return parts[0]
+    key, doc, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key, kind="stable")  # pieces follow each other, so documents stay in order
+    return key[order], doc[order], n[order]
+
+
 def trigram_counts(docs: DataFrame) -> DataFrame:
     """(key, n) over all rows (text)."""
 
     def run(batches):
         for batch in batches:
             for lo, hi in slices(batch.column(0), CHUNK):
-                key, _, n = trigrams(batch.column(0).slice(lo, hi - lo).to_pylist())
+                key, _, n = chunk_trigrams(batch.column(0).slice(lo, hi - lo))
+                n = n.astype(np.int64)
                 cut = np.flatnonzero(np.diff(key, prepend=-1))
                 yield pa.record_batch([pa.array(key[cut]), pa.array(np.add.reduceat(n, cut) if len(cut) else n)], names=["key", "n"])
 
@@ -166,7 +180,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             for lo, hi in slices(batch.column(1), CHUNK):
                 for at in range(lo, hi, CHUNK_DOCS):
                     part = batch.slice(at, min(CHUNK_DOCS, hi - at))
-                    key, doc, n = trigrams(part.column(1).to_pylist())
+                    key, doc, n = chunk_trigrams(part.column(1))
                     cut = np.flatnonzero(np.diff(key, prepend=-1))
                     pack = lambda a, t: pa.compress(a.astype(t).tobytes(), "zstd", asbytes=True)
                     number = TaskContext.get().partitionId() * (1 << 32) + made
