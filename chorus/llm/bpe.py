@@ -14,6 +14,7 @@ the input are not read, whatever their names.
 from __future__ import annotations
 
 import functools
+import json
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -43,7 +44,6 @@ class PairIndexBpe:
             self.rank.setdefault(a * self.size + b, r)
         self.sorted_keys = np.array(sorted(self.rank), np.int64)
         self.sorted_ranks = np.array([self.rank[k] for k in self.sorted_keys.tolist()], np.int64)
-        self.text_of = {i: t for t, i in vocab.items()} | {i: t for t, i in self.splitter.special.items()}
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of every (non-empty) word as little-endian unsigned 32-bit bytes."""
@@ -118,10 +118,6 @@ class PairIndexBpe:
         cuts = np.flatnonzero(np.diff(rank, prepend=-1))
         return {int(rank[c]): part.tolist() for c, part in zip(cuts, np.split(at, cuts[1:]))}
 
-    def decode(self, ids: list[int]) -> str:
-        """The file names no decoder: tokens are joined by one blank; unknown ids are left out."""
-        return " ".join([t for t in map(self.text_of.get, ids) if t is not None])
-
 
 @functools.lru_cache(maxsize=2)
 def coder(path: str) -> tuple[PairIndexBpe, WordCodes]:
@@ -130,6 +126,15 @@ def coder(path: str) -> tuple[PairIndexBpe, WordCodes]:
     return bpe, WordCodes(bpe.splitter, bpe.encode_words)
 
 
+@functools.lru_cache(maxsize=2)
+def token_texts(path: str) -> list[str]:
+    """id -> token as the file spells it."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    by_id = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return [by_id.get(i, "") for i in range(max(by_id) + 1)]
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids array<int>) of every row; one pass, no shuffle."""
     src = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
@@ -148,16 +153,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, ids, decoded) from ``encode``'s rows; null ids decode to ""."""
+    """(id_col, ids, decoded) from ``encode``'s rows; null ids decode to "".
+
+    The file names no decoder, so tokens are joined by one blank, special ones included.
+    """
     src = encoded.select(id_col, "ids")
 
     def run(batches):
-        bpe, _ = coder(path)
+        text_of = token_texts(path).__getitem__
         for batch in batches:
             ids = batch.column(1)
             for lo in range(0, len(ids), 256):
                 part = ids.slice(lo, 256)
-                text = [bpe.decode(x or []) for x in part.to_pylist()]
+                text = [" ".join(map(text_of, x or [])) for x in part.to_pylist()]
                 yield pa.record_batch([batch.column(0).slice(lo, 256), part, pa.array(text, pa.string())],
                                       names=[id_col, "ids", "decoded"])
 

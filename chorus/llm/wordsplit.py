@@ -83,7 +83,7 @@ class WordCodes:
     was dropped is computed anew.
     """
 
-    def __init__(self, splitter: WordSplitter, encode_words, limit: int = 400_000):
+    def __init__(self, splitter: WordSplitter, encode_words, limit: int = 150_000):
         self.splitter, self.encode_words, self.limit = splitter, encode_words, limit
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
@@ -132,7 +132,7 @@ class WordCodes:
         return np.frombuffer(b"".join(code[u] if isinstance(u, str) else u.to_bytes(4, "little") for u in units), "<u4")
 
 
-def slices(texts: pa.Array, size: int = 8_000_000):
+def slices(texts: pa.Array, size: int = 4_000_000):
     """Consecutive runs of texts of about ``size`` bytes (one text at least)."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     lo, before = 0, 0
