@@ -75,7 +75,7 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page's url."""
-    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -91,7 +91,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_urls": op10_urls,
 }
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _url_sql(damping: float = 0.85, rounds: int = 8) -> str:
+    """The rules as CASE, the propagation as one common table expression for each round."""
+    fits = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN "
+            for _, t in sorted(URL_RULES, key=lambda r: -len(r[1])) for h, _, p in [t.partition("/")]]
+    ordered = sorted(URL_RULES, key=lambda r: -len(r[1]))
+    rule = " ".join(f + f"'{t}'" for f, (_, t) in zip(fits, ordered))
+    verdict = " ".join(f + f"'{k}'" for f, (k, _) in zip(fits, ordered))
+    steps = "".join(f"""
+r{i + 1} AS (SELECT kind, host, sum(v) AS v FROM (
+  SELECT r.kind, e.dst AS host, r.v * e.w * {damping} AS v FROM r{i} r JOIN edges e ON e.kind = r.kind AND e.host = r.host
+  UNION ALL SELECT kind, host, v * {1 - damping} FROM seed) GROUP BY ALL),""" for i in range(rounds))
+    return f"""
+WITH u AS (SELECT page_id, coalesce(html, '') AS html,
+  translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {_AZ}) AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+j AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS known FROM u),
+share AS (SELECT host, count(*) FILTER (WHERE known = 'allow') / count(*) AS trust,
+  count(*) FILTER (WHERE known = 'block') / count(*) AS distrust FROM j WHERE host <> '' GROUP BY host),
+tree AS (SELECT DISTINCT array_to_string(l[i:], '.') AS src, array_to_string(l[i + 1:], '.') AS dst
+  FROM (SELECT l, unnest(range(1, len(l) - 1)) AS i FROM (SELECT string_split(host, '.') AS l FROM share))),
+link AS (SELECT host AS src, translate(unnest(list_distinct(regexp_extract_all(html,
+  '(?i)href\\s*=\\s*["'']?(?:https?:)?//([^/?#"''<>\\s]+)', 1))), {_AZ}) AS dst FROM j WHERE host <> ''),
+pair AS (SELECT src, dst, count(*) AS n FROM (SELECT * FROM tree UNION ALL SELECT * FROM link) WHERE src <> dst GROUP BY ALL),
+way AS (SELECT 'trust' AS kind, src AS host, dst, n FROM pair UNION ALL SELECT 'distrust', dst, src, n FROM pair),
+edges AS (SELECT kind, host, dst, n / sum(n) OVER (PARTITION BY kind, host) AS w FROM way),
+raw AS (SELECT 'trust' AS kind, host, trust AS v FROM share UNION ALL SELECT 'distrust', host, distrust FROM share),
+seed AS (SELECT kind, host, v / sum(v) OVER (PARTITION BY kind) AS v FROM raw WHERE v > 0),
+r0 AS (SELECT * FROM seed),{steps}
+score AS (SELECT host, round(coalesce(sum(v) FILTER (WHERE kind = 'trust'), 0), 12) AS trust,
+  round(coalesce(sum(v) FILTER (WHERE kind = 'distrust'), 0), 12) AS distrust FROM r{rounds} GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(known, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN score ON score.host = j.host"""
+
+
 ORACLES: dict[str, str] = {
+    "op10_urls": _url_sql(),
+    "op1_near_dedup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_AZ}), '[\\x20\\x09-\\x0D]+'),
+                                               lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+r AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) + any_value(b.n) AS n
+      FROM r a JOIN r b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM s JOIN c ON c.doc_id = s.doc_id""",
     "op7_topk": """
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                     '[0-9a-z\\x{80}-\\x{10ffff}]+')) AS word FROM documents),

@@ -123,6 +123,7 @@ def test_perplexity_equals_the_definition(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(quality, "CHUNK", 200)
         monkeypatch.setattr(quality, "CHUNK_DOCS", 3)
+        monkeypatch.setattr(quality, "PIECE", 70)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5)))
     rows = [(i, " ".join(word() for _ in range(rng.randint(1, 60))), rng.choice(["x", "y"])) for i in range(60)]

@@ -98,7 +98,7 @@ def bm25(rows, k):
 @pytest.mark.parametrize("split", [False, True])
 def test_topk_equals_brute_force(spark, monkeypatch, split):
     if split:
-        for name, value in (("SHARD", 30), ("BLOCK", 3), ("SPAN", 4)):
+        for name, value in (("SHARD", 60), ("PART", 25), ("TOGETHER", 2), ("BLOCK", 3), ("SPAN", 4)):
             monkeypatch.setattr(topk, name, value)
     rng = random.Random(2)
     word = lambda: rng.choice("the of a an é ß x9 wörd".split()) if rng.random() < 0.5 else f"W{rng.randint(0, 60)}"
