@@ -24,6 +24,8 @@ def _norm(v):
         return v.to_pydatetime().replace(tzinfo=None).isoformat()
     if hasattr(v, "isoformat"):
         return v.isoformat()
+    if isinstance(v, (list, tuple)) or hasattr(v, "tolist"):
+        return str(v.tolist() if hasattr(v, "tolist") else list(v))
     try:
         if pd.isna(v):
             return None
