@@ -40,14 +40,22 @@ def _rows(df):
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
-@pytest.fixture(scope="module")
-def con():
+# On the smallest tables this query's held-out fold has a dozen rows; its facts need more.
+LARGER = {"u6_classifier_report": "/root/testdata/sf0.01"}
+
+
+def connect(folder):
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     return c
 
 
+@pytest.fixture(scope="module")
+def con():
+    return connect(SF_SMALL)
+
+
 def test_every_query_registered_with_docs():
     assert len(QUERIES) >= 80
     for name, fn in QUERIES.items():
@@ -61,7 +69,8 @@ def test_entry_smoke(spark):
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_oracle(spark, con, name):
-    sdf = QUERIES[name](spark, SF_SMALL).toPandas()
-    odf = con.execute(ORACLE[name]).df()
+    folder = LARGER.get(name, SF_SMALL)
+    sdf = QUERIES[name](spark, folder).toPandas()
+    odf = (connect(folder) if name in LARGER else con).execute(ORACLE[name]).df()
     assert sorted(c.lower() for c in sdf.columns) == sorted(c.lower() for c in odf.columns)
     assert _rows(sdf) == _rows(odf)
