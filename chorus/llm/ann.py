@@ -149,7 +149,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, bits: int = 128, z
     queries = rows.filter(is_query)
     n_queries = queries.count()
     shards, blocks = max(1, -(-total // SHARD)), max(1, -(-n_queries // BLOCK))
-    data = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    # both sides' keys must have the same types, or a cell's halves are dealt to different tasks
+    data = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
     asked = queries.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"),
                            F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(blocks)).cast("int").alias("b"))
 

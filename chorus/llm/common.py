@@ -13,11 +13,18 @@ import chorus
 from chorus.session import scratch_path
 
 _shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application, as ``--py-files`` would."""
+    """Make a session ready for this package's Python work.
+
+    The package is sent to the workers, once per application, as ``--py-files`` would. Rows hold
+    whole documents, so Arrow batches are bounded by bytes (8 MB unless the job sets its own).
+    """
     sc = spark.sparkContext
+    if not sc.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(8 << 20))
     if sc.applicationId not in _shipped:
         root = Path(chorus.__file__).resolve().parent
         made = shutil.make_archive(f"{tempfile.mkdtemp()}/chorus_package", "zip", root.parent, root.name)

@@ -49,7 +49,7 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of every subword, its text's number, whether each text has a letter)."""
     size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     chars = _fold()[np.frombuffer((" ".join(["", *texts, ""])).encode("utf-32-le", "surrogatepass"), np.uint32)]
-    owner = np.repeat(np.arange(len(texts) + 1), [*(size + 1), 1])  # a text owns the blank before it
+    owner = np.repeat(np.arange(len(texts) + 1, dtype=np.int32), [*(size + 1), 1])  # a text owns the blank before it
     letter = chars != 32
     has = np.zeros(len(texts) + 1, bool)
     has[owner[letter]] = True
@@ -141,7 +141,7 @@ def train(docs: DataFrame, per_lang: int = 500, reject_share: float = 0.001, id_
 
     def run(batches):
         for batch in batches:
-            for lo, hi in slices(batch.column(1), 2_000_000):
+            for lo, hi in slices(batch.column(1), 400_000):
                 part = batch.slice(lo, hi - lo)
                 bucket, owner, has = subwords(part.column(1).to_pylist())
                 order = np.argsort(owner, kind="stable")
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         for batch in batches:
-            for lo, hi in slices(batch.column(1), 2_000_000):
+            for lo, hi in slices(batch.column(1), 400_000):
                 texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 if model.langs:
                     p, has = model.scores(texts)

@@ -50,10 +50,10 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 
 
 class _WordHash(dict):
-    """word -> 64-bit hash, kept for at most 300,000 words."""
+    """word -> 64-bit hash, kept for at most 150,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

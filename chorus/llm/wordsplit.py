@@ -83,7 +83,7 @@ class WordCodes:
     was dropped is computed anew.
     """
 
-    def __init__(self, splitter: WordSplitter, encode_words, limit: int = 150_000):
+    def __init__(self, splitter: WordSplitter, encode_words, limit: int = 120_000):
         self.splitter, self.encode_words, self.limit = splitter, encode_words, limit
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}

@@ -16,6 +16,17 @@ from chorus.llm.queries import ORACLES, op7_topk
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(autouse=True)
+def many_partitions(spark):
+    """Keys must meet across partitions, not because all lie in one."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
 def exact_nearest(ids, x, q, k):
     norm = np.sqrt((x * x).sum(1))
     s = (x * x[q]).sum(1) / (norm * norm[q])
@@ -46,6 +57,7 @@ def test_ann_recall_on_the_table(spark, monkeypatch, split):
             if v in want:
                 assert s == pytest.approx(want[v], abs=1e-12)
     assert hits / total >= 0.9
+    assert len(got) == (ids % 50 == 0).sum()
 
 
 def test_ann_odd_rows(spark):
