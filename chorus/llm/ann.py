@@ -9,8 +9,11 @@ Index: shards of rows, dealt by a hash of the id. Within a shard a code's 16-bit
 indexed one by one (value -> rows). A query probes every substring index for values at distance
 0, 1, 2, ...; after distance r all codes within Hamming distance m * (r + 1) - 1 have been met, by
 the pigeonhole principle. Those are ranked by cosine on the original vectors in double precision.
-Probing ends when the radius covers what a vector as near as the k-th found would have: for the
-angle t a code of b bits differs in b * t / pi bits on average; ``z`` standard deviations are added.
+Probing ends when the radius covers what any vector not yet ranked could have if it were as near as the
+k-th found. The codes see centred, projected vectors, so the angle is theirs: the k-th cosine c bounds
+the distance of the normalised vectors (d * d = 2 - 2 * c), and that with the lengths of the coded
+parts, and of the parts left out, bounds the angle t between the coded parts. For t a code of b bits
+differs in b * t / pi bits on average; ``z`` standard deviations are added.
 
 Queries are taken in blocks against all shards, and the shards' nearest are merged exactly. Copies of
 one vector in a shard are ranked once, by their smallest ids, so a very common vector costs one row.
@@ -63,6 +66,28 @@ def substrings(x: np.ndarray, centre: np.ndarray, projection: np.ndarray) -> np.
     return np.packbits(on, axis=1).view(np.uint16)
 
 
+def lengths(x: np.ndarray, centre: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    """(length of the part of every centred row that is coded, and of the part left out), rows x 2."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) - centre
+    axes, size, _ = np.linalg.svd(projection, full_matrices=False)
+    inside = x @ axes[:, size > 1e-9 * size[0]]
+    coded, whole = (inside * inside).sum(1), (x * x).sum(1)
+    return np.sqrt(np.stack([coded, np.maximum(whole - coded, 0.0)], axis=1))
+
+
+def widest(cosine: float, size: np.ndarray, query_size: np.ndarray) -> float:
+    """The widest angle of coded parts that a row of these lengths can have at this cosine or a better one."""
+    far = 2 - 2 * cosine - (size[:, 1] - query_size[1]) ** 2  # squared distance of the coded parts, at most
+    both = 2 * size[:, 0] * query_size[0]
+    near = size[:, 0] ** 2 + query_size[0] ** 2 - far
+    return float(np.arccos(np.clip(np.divide(near, both, out=np.full(len(size), -1.0), where=both > 1e-12), -1, 1).min()))
+
+
+def covered(radius: int, angle: float, bits: int, z: float) -> bool:
+    p = angle / np.pi
+    return radius >= bits * p + z * np.sqrt(bits * p * (1 - p))
+
+
 class MultiIndex:
     """The substring indexes of one shard."""
 
@@ -91,8 +116,10 @@ class MultiIndex:
 
 
 def search(index: MultiIndex, ids: list[np.ndarray], x: np.ndarray, norm: np.ndarray, query_id: int, query: np.ndarray,
-           code: np.ndarray, k: int, bits: int, z: float) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, cosines) of the k nearest rows of the shard, best first; ``ids`` lists each vector's ids."""
+           code: np.ndarray, k: int, bits: int, z: float, sizes: np.ndarray, query_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, cosines) of the k nearest rows of the shard, best first; ``ids`` lists each vector's ids,
+    ``sizes`` its ``lengths``."""
+    left = np.ones(len(x), bool)
     size = np.sqrt((query * query).sum())
     wait_rows, wait_far = np.empty(0, np.int64), np.empty(0, np.int64)
     best_id, best = np.empty(0, np.int64), np.empty(0)
@@ -102,6 +129,7 @@ def search(index: MultiIndex, ids: list[np.ndarray], x: np.ndarray, norm: np.nda
         wait_rows, wait_far = rows[~now], far[~now]
         if now.any():
             rows = rows[now]
+            left[rows] = False
             cosine = (x[rows] * query).sum(1) / (norm[rows] * size)
             if len(rows) > k:  # more rows than can count: the k nearest, ties and the query itself kept
                 least = np.partition(cosine, -k - 1)[-k - 1]
@@ -113,11 +141,12 @@ def search(index: MultiIndex, ids: list[np.ndarray], x: np.ndarray, norm: np.nda
             best_id, best = np.concatenate([best_id, new_id[other]]), np.concatenate([best, new[other]])
             order = np.lexsort((best_id, -best))[:k]
             best_id, best = best_id[order], best[order]
-        if radius >= bits:
+        if radius >= bits or not left.any():
             break
         if len(best) == k:
-            p = np.arccos(np.clip(best[-1], -1, 1)) / np.pi
-            if radius >= bits * p + z * np.sqrt(bits * p * (1 - p)):
+            one = left.argmax()  # most often one row's bound already tells that probing goes on
+            if covered(radius, widest(best[-1], sizes[one:one + 1], query_size), bits, z) \
+                    and covered(radius, widest(best[-1], sizes[left], query_size), bits, z):
                 break
     return best_id, best
 
@@ -169,8 +198,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, bits: int = 128, z
             index = MultiIndex(substrings(x, centre, projection))
             q = matrix(right)
             codes = substrings(q, centre, projection)
-            for query_id, query, code in zip(right["id"].to_pylist(), q, codes):
-                found, score = search(index, ids, x, norm, query_id, query, code, k, bits, z)
+            sizes = lengths(x, centre, projection)
+            for query_id, query, code, size in zip(right["id"].to_pylist(), q, codes, lengths(q, centre, projection)):
+                found, score = search(index, ids, x, norm, query_id, query, code, k, bits, z, sizes, size)
                 out += zip([query_id] * len(found), found.tolist(), score.tolist())
         cols = list(zip(*out)) or [()] * 3
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})

@@ -60,6 +60,38 @@ def test_ann_recall_on_the_table(spark, monkeypatch, split):
     assert len(got) == (ids % 50 == 0).sum()
 
 
+def drawn(kind, n, dim):
+    rng = np.random.default_rng(0)
+    if kind == "clusters":
+        return rng.normal(size=(20, dim))[rng.integers(0, 20, n)] * 2 + rng.normal(size=(n, dim)) + 1
+    if kind == "decay":
+        return rng.normal(size=(n, dim)) / np.arange(1, dim + 1) ** 0.7 + 0.3
+    return rng.normal(size=(n, dim)) + kind
+
+
+@pytest.mark.parametrize("dim", [64, 384])  # fewer and more than bits
+@pytest.mark.parametrize("kind", [0, 1, 2, "decay", "clusters"])
+def test_ann_recall_with_a_mean_and_clusters(kind, dim):
+    x = drawn(kind, 3000, dim)
+    ids, norm = np.arange(len(x)), np.sqrt((x * x).sum(1))
+    centre, projection = ann.learn(x[:1500], 128)
+    codes = ann.substrings(x, centre, projection)
+    index, rows, sizes = ann.MultiIndex(codes), [np.array([i]) for i in ids], ann.lengths(x, centre, projection)
+    hits, asked = 0, range(0, len(x), 100)
+    for q in asked:
+        found, _ = ann.search(index, rows, x, norm, q, x[q], codes[q], 5, 128, 2.0, sizes, sizes[q])
+        hits += len(set(found.tolist()) & {i for i, _ in exact_nearest(ids, x, q, 5)})
+    assert hits / (5 * len(asked)) >= 0.9
+
+
+def test_ann_finds_neighbours_of_vectors_with_a_mean(spark):
+    x = drawn(2, 1500, 64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df, F.col("id") % 50 == 0).collect()}
+    want = {(q, i) for q in range(0, 1500, 50) for i, _ in exact_nearest(np.arange(1500), x, q, 5)}
+    assert len(got & want) / len(want) >= 0.9
+
+
 def test_ann_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     good = [1.0, 0.0, 0.0]
