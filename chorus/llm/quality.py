@@ -11,9 +11,11 @@ bit operations and every count table is a plain Spark table keyed by such longs.
 3. Sharded count joins: the distinct trigrams are joined with the count tables, which Spark deals
    out by key, to get their log probability; that is joined back to the chunks that hold them.
 4. Each chunk adds up its documents' log probabilities: perplexity is exp(-mean).
-5. A document is kept while its log perplexity, less what chance allows a text of its length, is at
-   most its language's limit: median + ``spread`` x (quantile ``upper`` - median) over trusted
-   documents of the language; languages without trusted documents use the limit of all.
+5. Limits are learned from documents labelled good, each scored by a model that has not seen its text:
+   trusted texts are dealt into folds, and a fold's texts are scored by the counts of the others. The
+   excess over the language's median, divided by how much chance spreads texts of that length, has one
+   quantile ``keep`` a language; a document is kept while its own excess is at most that. Languages without
+   documents labelled good use the limit of all.
 
 What is gathered grows with the corpus: no table is cut, pruned or hashed down.
 
@@ -39,6 +41,8 @@ BITS, MASK = 21, (1 << 21) - 1
 BEGIN, END = MASK - 1, MASK
 #: Bytes of text in one chunk (one document at least), the most documents, and bytes cut at a time.
 CHUNK, CHUNK_DOCS, PIECE = 8_000_000, 60_000, 1_000_000
+#: Parts the trusted texts are dealt into, equal texts to one, to score each by a model of the others.
+FOLDS = 4
 
 
 def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,18 +106,26 @@ def chunk_trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return key[order], doc[order], n[order]
 
 
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
+
+
 def trigram_counts(docs: DataFrame) -> DataFrame:
-    """(key, n) over all rows (text)."""
+    """(fold, key, n) over all rows (text)."""
 
     def run(batches):
         for batch in batches:
             for lo, hi in slices(batch.column(0), CHUNK):
-                key, _, n = chunk_trigrams(batch.column(0).slice(lo, hi - lo))
-                n = n.astype(np.int64)
-                cut = np.flatnonzero(np.diff(key, prepend=-1))
-                yield pa.record_batch([pa.array(key[cut]), pa.array(np.add.reduceat(n, cut) if len(cut) else n)], names=["key", "n"])
+                part = batch.slice(lo, hi - lo)
+                fold = part.column(1).to_numpy()
+                for f in np.unique(fold):
+                    key, _, n = chunk_trigrams(part.column(0).filter(pa.array(fold == f)))
+                    n = n.astype(np.int64)
+                    cut = np.flatnonzero(np.diff(key, prepend=-1))
+                    yield pa.record_batch([pa.array(np.full(len(cut), f, np.int32)), pa.array(key[cut]),
+                                           pa.array(np.add.reduceat(n, cut) if len(cut) else n)], names=["fold", "key", "n"])
 
-    return map_arrow(docs.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select("text", _fold()), run, "fold int, key long, n long").groupBy("fold", "key").agg(F.sum("n").alias("n"))
 
 
 def _discounts(table: DataFrame) -> list[float]:
@@ -138,10 +150,15 @@ def _contexts(table: DataFrame, context: Column, d: list[float]) -> DataFrame:
 
 
 class KneserNey:
-    """The count tables of one model, written below the shared folder."""
+    """The count tables of one model, written below the shared folder.
 
-    def __init__(self, trusted: DataFrame):
-        self.c3 = written(trigram_counts(trusted), "kn-c3")
+    ``others`` are the models of all but one fold, for the texts of that fold.
+    """
+
+    def __init__(self, trusted: DataFrame, counts: DataFrame | None = None, folds: bool = False):
+        counts = written(trigram_counts(trusted), "kn-folds") if counts is None else counts
+        self.others = [KneserNey(trusted, counts.filter(F.col("fold") != f)) for f in range(FOLDS)] if folds else []
+        self.c3 = written(counts.groupBy("key").agg(F.sum("n").alias("n")), "kn-c3")
         self.c2 = written(self.c3.groupBy((F.col("key").bitwiseAND((1 << 2 * BITS) - 1)).alias("key"))
                           .agg(F.count(F.lit(1)).alias("n")), "kn-c2")
         self.c1 = written(self.c2.groupBy((F.col("key").bitwiseAND(MASK)).alias("key")).agg(F.count(F.lit(1)).alias("n")), "kn-c1")
@@ -172,7 +189,7 @@ class KneserNey:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, ids, keys, docs_per_key, doc, n): packed postings of consecutive rows (doc_id, text)."""
+    """(chunk, ids, folds, keys, docs_per_key, doc, n): packed postings of consecutive rows (doc_id, text)."""
 
     def run(batches):
         made = 0
@@ -187,40 +204,54 @@ def chunks(docs: DataFrame) -> DataFrame:
                     made += 1
                     yield pa.record_batch([
                         pa.array([number]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
+                        pa.array([part.column(2).to_pylist()], pa.list_(pa.int32())),
                         pa.array([key[cut].tolist()], pa.list_(pa.int64())),
                         pa.array([pack(np.diff(cut, append=len(key)), "<u4")]), pa.array([pack(doc, "<u2")]), pa.array([pack(n, "<u4")]),
-                        pa.array([len(key)])], names=["chunk", "ids", "keys", "docs_per_key", "doc", "n", "postings"])
+                        pa.array([len(key)])], names=["chunk", "ids", "folds", "keys", "docs_per_key", "doc", "n", "postings"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "chunk long, ids array<long>, keys array<long>, docs_per_key binary, "
+    return map_arrow(docs.select("doc_id", "text", _fold()), run, "chunk long, ids array<long>, folds array<int>, keys array<long>, docs_per_key binary, "
                      "doc binary, n binary, postings long")
 
 
 def scored(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """(doc_id, n_symbols, logp) of every row (doc_id, text); n_symbols 0 and logp 0 without text."""
+    """(doc_id, n_symbols, logp, held) of every row (doc_id, text); n_symbols 0 and logp 0 without text.
+
+    ``held`` is the log probability under the model without the text's fold, where there are such models.
+    """
     packed = written(chunks(docs), "kn-chunks")
     asked = written(packed.select("chunk", F.explode("keys").alias("key")), "kn-asked")
-    answer = written(model.log_probability(asked.select("key").distinct()), "kn-answers")
-    told = asked.join(answer, "key").groupBy("chunk").agg(F.collect_list(F.struct("key", "logp")).alias("told"))
+    keys = asked.select("key").distinct()
+    answer = model.log_probability(keys)
+    names = ["logp"] + [f"held{f}" for f in range(len(model.others))]
+    for name, other in zip(names[1:], model.others):
+        answer = answer.join(other.log_probability(keys).withColumnRenamed("logp", name), "key")
+    answer = written(answer, "kn-answers")
+    told = asked.join(answer, "key").groupBy("chunk").agg(F.collect_list(F.struct("key", *names)).alias("told"))
     rows = packed.drop("keys").join(told, "chunk", "left")
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in ("ids", "docs_per_key", "doc", "n", "postings", "told")}
+                row = {c: batch.column(c)[i] for c in ("ids", "folds", "docs_per_key", "doc", "n", "postings", "told")}
                 ids, p = row["ids"].as_py(), row["postings"].as_py()
                 get = lambda c, t, size: np.frombuffer(pa.decompress(row[c].as_py(), size * np.dtype(t).itemsize, "zstd", asbytes=True), t)
                 total, size = np.zeros(len(ids)), np.zeros(len(ids))
+                held = total
                 if p:
                     told = row["told"].values
-                    key, logp = told.field("key").to_numpy(), told.field("logp").to_numpy()
-                    logp = logp[np.argsort(key)]  # the chunk lists its trigrams in ascending order
+                    key = told.field("key").to_numpy()
+                    order = np.argsort(key)  # the chunk lists its trigrams in ascending order
+                    logp = np.stack([told.field(c).to_numpy()[order] for c in names])
                     doc, n = get("doc", "<u2", p), get("n", "<u4", p).astype(np.float64)
-                    total = np.bincount(doc, np.repeat(logp, get("docs_per_key", "<u4", len(key))) * n, len(ids))
+                    at = np.repeat(np.arange(len(key)), get("docs_per_key", "<u4", len(key)))
+                    total = held = np.bincount(doc, logp[0][at] * n, len(ids))
+                    if len(names) > 1:
+                        held = np.bincount(doc, logp[1 + row["folds"].values.to_numpy()[doc], at] * n, len(ids))
                     size = np.bincount(doc, n, len(ids))
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(size.astype(np.int64)), pa.array(total)],
-                                      names=["doc_id", "n_symbols", "logp"])
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(size.astype(np.int64)), pa.array(total), pa.array(held)],
+                                      names=["doc_id", "n_symbols", "logp", "held"])
 
-    return map_arrow(rows, run, "doc_id long, n_symbols long, logp double")
+    return map_arrow(rows, run, "doc_id long, n_symbols long, logp double, held double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -228,28 +259,35 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return written(labels.filter("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct(), "trusted")
 
 
-def judge(docs: DataFrame, labels: DataFrame, upper: float = 0.9, spread: float = 3.0, chance: float = 6.0,
+def judge(docs: DataFrame, labels: DataFrame, keep: float = 0.99, short: float = 1000.0,
           id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, n_symbols, perplexity, limit, kept), one row per input row.
 
-    ``chance``: log perplexity that a text may exceed its limit by, divided by the root of its symbols.
+    ``keep``: the quantile;
+    ``short``: symbols of a text whose loss spreads by chance as much as long texts' losses differ.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                       F.col(lang_col).cast("string").alias("lang"))
     good = trusted_ids(labels)
-    model = KneserNey(src.join(small_or_plain(good), "doc_id", "left_semi"))
+    model = KneserNey(src.join(small_or_plain(good), "doc_id", "left_semi"), folds=True)
     scores = scored(src, model).filter("doc_id is not null").distinct() \
-        .groupBy("doc_id").agg(F.sum("n_symbols").alias("n_symbols"), F.sum("logp").alias("logp"))
-    scores = scores.withColumn("loss", F.when(F.col("n_symbols") > 0, -F.col("logp") / F.col("n_symbols")))
-    rows = written(src.select("doc_id", "lang").join(scores, "doc_id", "left"), "kn-scores")
-    basis = rows.join(small_or_plain(good), "doc_id", "left_semi").filter("loss is not null")
-    quantiles = lambda t: t.agg(F.percentile_approx("loss", F.array(F.lit(0.5), F.lit(upper)), 10000).alias("q"))
-    limit = F.col("q")[0] + spread * (F.col("q")[1] - F.col("q")[0])
-    by_lang = written(quantiles(basis.groupBy(F.coalesce("lang", F.lit("")).alias("key"))).select("key", limit.alias("limit")), "kn-limits")
-    overall = quantiles(basis).select(limit.alias("all")).first()[0]
-    out = rows.withColumn("key", F.coalesce("lang", F.lit(""))).join(by_lang, "key", "left")
-    out = out.withColumn("limit", F.coalesce("limit", F.lit(overall).cast("double")))
-    allowed = F.col("limit") + chance / F.sqrt("n_symbols")
+        .groupBy("doc_id").agg(F.sum("n_symbols").alias("n_symbols"), F.sum("logp").alias("logp"), F.sum("held").alias("held"))
+    scores = scores.withColumns({c: F.when(F.col("n_symbols") > 0, -F.col(p) / F.col("n_symbols")) for c, p in (("loss", "logp"), ("unseen", "held"))})
+    rows = written(src.select("doc_id", "lang").join(scores, "doc_id", "left").withColumn("key", F.coalesce("lang", F.lit(""))), "kn-scores")
+    fine = written(labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct(), "kn-fine")
+    basis = rows.join(small_or_plain(fine), "doc_id", "left_semi").filter("unseen is not null")
+    middle = lambda c: F.percentile_approx(c, 0.5, 10000)
+    upper = lambda c: F.percentile_approx(c, keep, 10000)
+    wide = F.sqrt(1 + short / F.col("n_symbols"))
+    mids = written(basis.groupBy("key").agg(middle("unseen").alias("mid")), "kn-middles")
+    every = basis.agg(middle("unseen")).first()[0]
+    over = basis.join(small_or_plain(mids), "key").select("key", "mid", ((F.col("unseen") - F.col("mid")) / wide).alias("own"),
+                                                          ((F.col("unseen") - F.lit(every).cast("double")) / wide).alias("all"))
+    reach = over.agg(upper("all")).first()[0]
+    by_lang = over.groupBy("key", "mid").agg(upper("own").alias("q"))
+    out = rows.join(small_or_plain(written(by_lang, "kn-limits")), "key", "left")
+    out = out.withColumns({"mid": F.coalesce("mid", F.lit(every).cast("double")), "q": F.coalesce("q", F.lit(reach).cast("double"))})
+    allowed = F.col("mid") + F.col("q") * wide
     return out.select("doc_id", "lang", F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"), F.exp("loss").alias("perplexity"),
-                      F.exp("limit").alias("limit"), F.coalesce((F.col("loss") <= allowed) | (F.col("loss").isNotNull() & F.col("limit").isNull()),
-                                                                F.lit(False)).alias("kept"))
+                      F.exp(F.col("mid") + F.col("q")).alias("limit"),
+                      F.coalesce((F.col("loss") <= allowed) | (F.col("loss").isNotNull() & F.col("mid").isNull()), F.lit(False)).alias("kept"))

@@ -171,6 +171,27 @@ def test_quality_tells_clean_from_junk(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.4
 
 
+def prose(rng, letters, n):
+    words = ["".join(random.Random(f"{letters}{i}").choices(letters, k=2 + i % 5)) for i in range(40)]
+    return " ".join(rng.choices(words, [1 / (i + 1) for i in range(40)], k=n))
+
+
+def judged(spark, rows, good):
+    labels = spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int")
+    return {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+
+
+def test_quality_short_trusted_texts_do_not_widen_the_limit_of_long_ones(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, "abcdefgh", 300), "x") for i in range(300)]
+    rows += [(300 + i, "".join(rng.choices("abcdefghxyz", k=6)), "x") for i in range(80)]
+    rows += [(400 + i, prose(rng, "abcdefgh", 300), "x") for i in range(30)]  # clean, without a label
+    rows += [(500 + i, prose(rng, "abcdefgh", 150) + " " + "".join(rng.choices("abcdefgh xyz", k=600)), "x") for i in range(30)]
+    got = judged(spark, rows, range(380))
+    assert np.mean([got[400 + i]["kept"] for i in range(30)]) > 0.9
+    assert not any(got[500 + i]["kept"] for i in range(30))
+
+
 # -- personal data --------------------------------------------------------------------------
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
