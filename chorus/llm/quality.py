@@ -14,8 +14,9 @@ bit operations and every count table is a plain Spark table keyed by such longs.
 5. Limits are learned from documents labelled good, each scored by a model that has not seen its text:
    trusted texts are dealt into folds, and a fold's texts are scored by the counts of the others. The
    excess over the language's median, divided by how much chance spreads texts of that length, has one
-   quantile ``keep`` a language; a document is kept while its own excess is at most that. Languages without
-   documents labelled good use the limit of all.
+   quantile ``keep`` a language; a document is kept while its own excess is at most that. Languages with
+   fewer than ``enough`` documents labelled good take the wider of their own and the spread of all, around
+   the higher of their own and the median of all; languages without any use the limit of all.
 
 What is gathered grows with the corpus: no table is cut, pruned or hashed down.
 
@@ -259,11 +260,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return written(labels.filter("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct(), "trusted")
 
 
-def judge(docs: DataFrame, labels: DataFrame, keep: float = 0.99, short: float = 1000.0,
+def judge(docs: DataFrame, labels: DataFrame, keep: float = 0.99, enough: int = 200, short: float = 1000.0,
           id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, n_symbols, perplexity, limit, kept), one row per input row.
 
-    ``keep``: the quantile;
+    ``keep``: the quantile; ``enough``: trusted documents a language needs for one of its own;
     ``short``: symbols of a text whose loss spreads by chance as much as long texts' losses differ.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
@@ -279,12 +280,15 @@ def judge(docs: DataFrame, labels: DataFrame, keep: float = 0.99, short: float =
     middle = lambda c: F.percentile_approx(c, 0.5, 10000)
     upper = lambda c: F.percentile_approx(c, keep, 10000)
     wide = F.sqrt(1 + short / F.col("n_symbols"))
-    mids = written(basis.groupBy("key").agg(middle("unseen").alias("mid")), "kn-middles")
+    mids = written(basis.groupBy("key").agg(middle("unseen").alias("mid"), F.count(F.lit(1)).alias("n")), "kn-middles")
     every = basis.agg(middle("unseen")).first()[0]
-    over = basis.join(small_or_plain(mids), "key").select("key", "mid", ((F.col("unseen") - F.col("mid")) / wide).alias("own"),
+    over = basis.join(small_or_plain(mids), "key").select("key", "mid", "n", ((F.col("unseen") - F.col("mid")) / wide).alias("own"),
                                                           ((F.col("unseen") - F.lit(every).cast("double")) / wide).alias("all"))
-    reach = over.agg(upper("all")).first()[0]
-    by_lang = over.groupBy("key", "mid").agg(upper("own").alias("q"))
+    spread, reach = over.agg(upper("own"), upper("all")).first()
+    few = F.col("n") < enough
+    by_lang = over.groupBy("key", "mid", "n").agg(upper("own").alias("q")).select(
+        "key", F.when(few, F.greatest("mid", F.lit(every))).otherwise(F.col("mid")).alias("mid"),
+        F.when(few, F.greatest("q", F.lit(spread))).otherwise(F.col("q")).alias("q"))
     out = rows.join(small_or_plain(written(by_lang, "kn-limits")), "key", "left")
     out = out.withColumns({"mid": F.coalesce("mid", F.lit(every).cast("double")), "q": F.coalesce("q", F.lit(reach).cast("double"))})
     allowed = F.col("mid") + F.col("q") * wide

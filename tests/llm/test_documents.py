@@ -192,6 +192,15 @@ def test_quality_short_trusted_texts_do_not_widen_the_limit_of_long_ones(spark):
     assert not any(got[500 + i]["kept"] for i in range(30))
 
 
+def test_quality_keeps_clean_text_of_a_rare_language(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, "abcdefgh", 300), "x") for i in range(300)]
+    for lang, letters, first, good in (("y", "klmnopqr", 400, 1), ("z", "stuvwäöü", 500, 3)):
+        rows += [(first + i, prose(rng, letters, 100 + 20 * i), lang) for i in range(20)]
+    got = judged(spark, rows, [*range(300), 400, 500, 501, 502])
+    assert all(got[first + i]["kept"] for first in (400, 500) for i in range(20))
+
+
 # -- personal data --------------------------------------------------------------------------
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
