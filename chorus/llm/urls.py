@@ -3,7 +3,9 @@
 Rules decide where one fits. All other urls get their host's verdict from two propagations over
 host edges, run as DataFrame joins: personalised PageRank from trusted seeds (hosts whose pages an
 allow rule takes, by share of pages) along the edges, and distrust from blocked seeds against them.
-A host is blocked when its distrust exceeds ``ratio`` times its trust.
+A host is blocked when its distrust exceeds ``ratio`` times its trust by more than a ``margin`` of it.
+Rounds go on until no score of any host, however small, changes by more than ``tolerance`` of itself, so
+every host that a seed reaches has its scores; damping makes the changes die out on any graph.
 
 Edges: page host -> host of an absolute link in its html, and host -> parent domain of two labels
 at least (a subdomain vouches for the domain it lives under, a bad domain taints its subdomains). Self links count
@@ -48,7 +50,7 @@ def rule_for(host: Column, path: Column, rules: Rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def host_scores(pages: DataFrame, damping: float = 0.85, rounds: int = 8) -> DataFrame:
+def host_scores(pages: DataFrame, damping: float = 0.85, tolerance: float = 1e-9) -> DataFrame:
     """(host, trust, distrust) from rows (host, verdict, html); verdict null where no rule fits."""
     known = pages.filter("host <> ''")
     share = known.groupBy("host").agg(F.count(F.lit(1)).alias("n"),
@@ -78,20 +80,26 @@ def host_scores(pages: DataFrame, damping: float = 0.85, rounds: int = 8) -> Dat
     mass = seed.groupBy("kind").agg(F.sum("v").alias("mass"))  # two rows
     seed = written(seed.join(F.broadcast(mass), "kind").select("kind", "host", (F.col("v") / F.col("mass")).alias("v")),
                    "url-seeds")
-    rank, restart = seed, seed.withColumn("v", F.col("v") * (1 - damping))
-    for i in range(rounds):
-        passed = rank.join(edges, ["kind", "host"]).select("kind", F.col("dst").alias("host"),
-                                                           (F.col("v") * F.col("w") * damping).alias("v"))
-        rank = passed.unionByName(restart).groupBy("kind", "host").agg(F.sum("v").alias("v"))
-        if i % 4 == 3:
-            rank = written(rank, "url-rank")
+    before, restart = seed, seed.withColumn("v", F.col("v") * (1 - damping))
+    while True:
+        rank = before
+        for _ in range(4):
+            passed = rank.join(edges, ["kind", "host"]).select("kind", F.col("dst").alias("host"),
+                                                               (F.col("v") * F.col("w") * damping).alias("v"))
+            rank = passed.unionByName(restart).groupBy("kind", "host").agg(F.sum("v").alias("v"))
+        rank = written(rank, "url-rank")
+        change = rank.withColumn("d", F.col("v")).unionByName(before.select("kind", "host", F.lit(0.0).alias("v"), (-F.col("v")).alias("d"))) \
+            .groupBy("kind", "host").agg(F.sum("v").alias("v"), F.sum("d").alias("d"))
+        if change.filter(F.abs("d") > tolerance * F.col("v")).isEmpty():
+            break
+        before = rank
     return rank.groupBy("host").agg(
-        F.round(F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("v"))), F.lit(0.0)), 12).alias("trust"),
-        F.round(F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("v"))), F.lit(0.0)), 12).alias("distrust"))
+        F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("v"))), F.lit(0.0)).alias("trust"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("v"))), F.lit(0.0)).alias("distrust"))
 
 
 def judge(pages: DataFrame, rules: Rules, ratio: float = 1.0, id_col: str = "page_id", url_col: str = "url",
-          html_col: str = "html") -> DataFrame:
+          html_col: str = "html", margin: float = 1e-8) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every row."""
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"),
                        F.col(html_col).cast("string").alias("html"))
@@ -102,6 +110,6 @@ def judge(pages: DataFrame, rules: Rules, ratio: float = 1.0, id_col: str = "pag
     none = F.lit(0.0)
     return src.drop("html").join(scores, "host", "left").select(
         "page_id", "host", "path", "rule",
-        F.coalesce("verdict", F.when(F.coalesce("distrust", none) > ratio * F.coalesce("trust", none), "block")
+        F.coalesce("verdict", F.when(F.coalesce("distrust", none) > ratio * (1 + margin) * F.coalesce("trust", none), "block")
                    .otherwise("allow")).alias("verdict"),
         F.coalesce("trust", none).alias("trust"), F.coalesce("distrust", none).alias("distrust"))

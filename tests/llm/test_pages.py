@@ -184,6 +184,27 @@ def test_verdicts_equal_a_plain_computation(spark):
     assert {r["page_id"]: r["verdict"] for r in got}[6] == "block"  # it links to blocked hosts
 
 
+def test_verdicts_far_from_seeds_and_of_small_scores(spark):
+    to = lambda h: f'<a href="//{h}/">l</a>'
+    chain = [("c0.test", to("bad.net"))] + [(f"c{i}.test", to(f"c{i - 1}.test")) for i in range(1, 15)]
+    wide = [(f"seed{i}.net", "") for i in range(1500)] + [("bad.net", "")]
+    for layer, target in (("l", "bad.net"), ("m", "l0.test"), ("n", "m0.test")):
+        wide += [(f"{layer}{i}.test", to(target)) for i in range(1500)]
+    rows = [(i, f"http://{h}/", x, "p", "h") for i, (h, x) in enumerate(chain + wide)] + [(-1, "http://alone.test/", "", "p", "h")]
+    got = {r["host"]: r for r in urls.judge(spark.createDataFrame(rows, DDL), URL_RULES).collect()}
+    assert got.pop("alone.test")["verdict"] == "allow"
+    assert {r["verdict"] for r in got.values()} == {"block"}
+    assert 0 < got["n1.test"]["distrust"] < 1e-12
+
+
+def test_scores_settle_on_a_cycle(spark):
+    rows = [(h, v, f'<a href="//{t}/">l</a>') for h, v, t in (("a.org", "allow", "b.test"), ("b.test", None, "a.org"))]
+    pages = spark.createDataFrame(rows, "host string, verdict string, html string")
+    got = {r["host"]: r["trust"] for r in urls.host_scores(pages).collect()}
+    a = 0.15 / (1 - 0.85 ** 2)
+    assert got == pytest.approx({"a.org": a, "b.test": 0.85 * a}, rel=1e-8)
+
+
 def test_urls_without_rows(spark):
     assert urls.judge(spark.createDataFrame([], DDL), URL_RULES).collect() == []
 
