@@ -244,10 +244,12 @@ def scored(docs: DataFrame, model: KneserNey) -> DataFrame:
                     order = np.argsort(key)  # the chunk lists its trigrams in ascending order
                     logp = np.stack([told.field(c).to_numpy()[order] for c in names])
                     doc, n = get("doc", "<u2", p), get("n", "<u4", p).astype(np.float64)
-                    at = np.repeat(np.arange(len(key)), get("docs_per_key", "<u4", len(key)))
-                    total = held = np.bincount(doc, logp[0][at] * n, len(ids))
-                    if len(names) > 1:
-                        held = np.bincount(doc, logp[1 + row["folds"].values.to_numpy()[doc], at] * n, len(ids))
+                    often, fold = get("docs_per_key", "<u4", len(key)), row["folds"].values.to_numpy()
+                    # one model after the other, to bound memory
+                    totals = [np.bincount(doc, np.repeat(one, often) * n, len(ids)) for one in logp]
+                    total = held = totals[0]
+                    if len(totals) > 1:
+                        held = np.choose(fold, totals[1:])
                     size = np.bincount(doc, n, len(ids))
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(size.astype(np.int64)), pa.array(total), pa.array(held)],
                                       names=["doc_id", "n_symbols", "logp", "held"])
