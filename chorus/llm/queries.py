@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm import ann, bpe, langid, minhash, packing, pii, quality, topk, urls, warc
+from chorus.llm import ann, bpe, langid, linededup, merkle, minhash, packing, pii, quality, topk, urls, warc
 from chorus.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -78,6 +78,30 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents or more share."""
+    found = linededup.drop_repeated(table(spark, sf_dir, "documents"), least=10, keep="none")
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def _manifest(docs: DataFrame) -> DataFrame:
+    """Leaves, proofs, and what each proof says of a text that lost its line breaks (every second document)."""
+    fields = lambda text: [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text]
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    leaf = merkle.digest(fields(F.col("text")))
+    changed = F.when(touched & F.contains("text", F.lit("\n")), merkle.digest(fields(F.replace("text", F.lit("\n"), F.lit(""))))).otherwise(F.col("leaf"))
+    made = merkle.Manifest(docs.withColumn("leaf", leaf).select("doc_id", "source", "leaf", changed.alias("changed")))
+    found = made.prove(made.leaves)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"),
+                        merkle.fold(F.col("changed"), F.col("proof")).alias("folded_root")) \
+        .withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, a proof for each, and the check of a tampered copy."""
+    return _manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_ann": op2_ann,
@@ -89,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_urls": op10_urls,
+    "op11_linededup": op11_linededup,
+    "op13_merkle": op13_merkle,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
