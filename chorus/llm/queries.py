@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm import ann, bpe, langid, linededup, merkle, minhash, packing, pii, quality, topk, urls, warc
+from chorus.llm import ann, bpe, covertree, langid, linededup, merkle, minhash, packing, pii, quality, topk, urls, warc
 from chorus.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -84,6 +84,12 @@ def op11_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for the nearest positives of every hundredth vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return covertree.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
 def _manifest(docs: DataFrame) -> DataFrame:
     """Leaves, proofs, and what each proof says of a text that lost its line breaks (every second document)."""
     fields = lambda text: [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text]
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_urls": op10_urls,
     "op11_linededup": op11_linededup,
+    "op12_hardneg": op12_hardneg,
     "op13_merkle": op13_merkle,
 }
 
@@ -154,7 +161,57 @@ SELECT page_id, j.host, path, rule, coalesce(known, CASE WHEN coalesce(distrust,
 FROM j LEFT JOIN score ON score.host = j.host"""
 
 
+_CRC = """list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT),
+  lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"""
+
+
+def _merkle_sql() -> str:
+    """Levels, proofs and folding by recursion; ``xor`` with all ones at crc32's end flips its lowest bit."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE CONCAT(strlen(CAST({c} AS VARCHAR)), ':', {c}) END"
+    leaf = lambda text: "sha256(CONCAT(" + ", ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + "))"
+    climb = """SELECT level + 1, g, i // 3, sha256(string_agg(d, '' ORDER BY i)), any_value((n + 2) // 3) FROM {0} WHERE n > 1 GROUP BY level, g, i // 3"""
+    return f"""
+WITH RECURSIVE l AS (SELECT doc_id, coalesce('=' || source, '') AS g, {leaf("text")} AS leaf, CASE WHEN {_CRC} & 1 = 1
+    THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS changed FROM documents),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l),
+low(level, g, i, d, n) AS (SELECT CAST(0 AS BIGINT), g, i, leaf, n FROM r UNION ALL {climb.format("low")}),
+top AS MATERIALIZED (SELECT g, d, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
+high(level, g, i, d, n) AS (SELECT CAST(100 AS BIGINT), '', i, d, n FROM top UNION ALL {climb.format("high")}),
+node AS MATERIALIZED (SELECT * FROM low WHERE n > 1 UNION ALL SELECT * FROM high WHERE n > 1),
+step AS (SELECT doc_id, g AS own, unnest(range(0, 30)) AS level, i, g FROM r
+  UNION ALL SELECT doc_id, r.g, unnest(range(100, 130)), top.i, '' FROM r JOIN top ON top.g = r.g),
+place AS (SELECT *, i // CAST(pow(3, level % 100) AS BIGINT) AS own_i FROM step),
+run AS MATERIALIZED (SELECT p.doc_id, p.own, p.level, row_number() OVER (PARTITION BY p.doc_id, p.own ORDER BY p.level) AS k,
+  coalesce(string_agg(o.d, '' ORDER BY o.i) FILTER (WHERE o.i < p.own_i), '') AS a, coalesce(string_agg(o.d, '' ORDER BY o.i) FILTER (WHERE o.i > p.own_i), '') AS b
+  FROM place p JOIN node o ON o.level = p.level AND o.g = p.g AND o.i // 3 = p.own_i // 3 GROUP BY p.doc_id, p.own, p.level),
+proof AS (SELECT doc_id, own, sha256(string_agg(a || b, '' ORDER BY k)) AS proof_sha256, max(k) AS steps FROM run GROUP BY doc_id, own),
+fold(doc_id, own, k, d) AS (SELECT doc_id, g, CAST(0 AS BIGINT), changed FROM r
+  UNION ALL SELECT f.doc_id, f.own, f.k + 1, sha256(run.a || f.d || run.b) FROM fold f JOIN run ON run.doc_id = f.doc_id AND run.own = f.own AND run.k = f.k + 1),
+root AS (SELECT d FROM high WHERE n = 1)
+SELECT r.doc_id, r.leaf, top.d AS subroot, root.d AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, fold.d AS folded_root, fold.d = root.d AS verified
+FROM r JOIN top ON top.g = r.g LEFT JOIN proof p ON p.doc_id = r.doc_id AND p.own = r.g
+JOIN fold ON fold.doc_id = r.doc_id AND fold.own = r.g AND fold.k = coalesce(p.steps, 0), root"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_linededup": f"""
+WITH l AS (SELECT doc_id, i, line, regexp_replace(translate(line, {_AZ}), '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS key
+  FROM (SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+c AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN c ON c.key = l.key GROUP BY doc_id""",
+    "op12_hardneg": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
+    "op13_merkle": _merkle_sql(),
     "op10_urls": _url_sql(),
     "op1_near_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_AZ}), '[\\x20\\x09-\\x0D]+'),
