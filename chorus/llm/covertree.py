@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from chorus.llm.common import map_arrow, shuffle_parts, written
 
-#: Rows of a shard and anchors of a block, about; rows of a leaf; how much a level's radius shrinks; most pivots; rows of the sample.
-SHARD, BLOCK, LEAF, BASE, PIVOTS, SAMPLE = 4096, 4096, 48, 1.3, 256, 4096
+#: Rows of a shard and anchors of a block, about; rows of a leaf and of the smallest node; how much a level's radius shrinks; most pivots; rows of the sample.
+SHARD, BLOCK, LEAF, SMALL, BASE, PIVOTS, SAMPLE = 8192, 4096, 64, 32, 1.3, 256, 4096
 LARGEST = 1 << 22
 
 
@@ -50,23 +50,23 @@ def augmented(x: np.ndarray, longest2: float) -> np.ndarray:
 
 
 class CoverTree:
-    """Arrays of a tree: nodes in breadth-first order, points in the order of the leaves.
+    """Arrays of a tree: nodes in breadth-first order, points depth first, so that a node's lie together.
 
-    Node i has its ``centre`` (a point), covering ``radius``, children ``first[i]`` to ``last[i]`` (none: a
-    leaf) and points ``begin[i]`` to ``end[i]``.
+    Node i has its ``centre`` (a point), covering ``radius``, the child nodes ``first[i]`` to ``last[i]``, and points of its
+    own, ``begin[i]`` to ``end[i]``: a leaf's rows, or those of children so small that multiplying them costs less than a
+    node does.
     """
 
     FIELDS = ("x", "ids", "labels", "centre", "radius", "first", "last", "begin", "end")
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, labels: np.ndarray, longest2: float, leaf: int = LEAF):
+    def __init__(self, x: np.ndarray, ids: np.ndarray, labels: np.ndarray, longest2: float, leaf: int = LEAF, small: int = SMALL):
         points = augmented(x, longest2)
         away = lambda rows, c: np.sqrt(((points[rows] - points[c]) ** 2).sum(1))
-        members = np.arange(len(x))
-        far = away(members, 0)
-        nodes = [(0, members, far)]
+        everything = np.arange(len(x))
+        nodes = [(0, everything, away(everything, 0))]  # (centre, members, their distances); members become own points
         centre, radius, first, last = [], [], [], []
         i = 0
-        while i < len(nodes):  # breadth first; a node's list of members is let go once its children have theirs
+        while i < len(nodes):
             c, members, far = nodes[i]
             reach = far.max()
             centre.append(c)
@@ -74,37 +74,36 @@ class CoverTree:
             first.append(len(nodes))
             if len(members) > leaf and reach > 0:
                 level = reach / BASE
-                left, far_left, at = members, far, c
+                left, far_left, at, alone = members, far, c, []
                 while len(left):
                     near = far_left <= level
-                    nodes.append((at, left[near], far_left[near]))
+                    below = left[near]
+                    if len(below) > small:
+                        nodes.append((at, below, far_left[near]))
+                    else:
+                        alone.append(below)
                     left = left[~near]
                     if len(left):  # the next centre is further than the level from all before it
                         at = left[0]
                         far_left = away(left, at)
-                nodes[i] = (c, None, None)
+                members = np.concatenate(alone) if alone else left
+            nodes[i] = (c, members, None)
             last.append(len(nodes))
             i += 1
-        self.first, self.last = np.array(first), np.array(last)
         begin, end = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
-        order, n = [], 0
-        stack = [0]
-        while stack:  # depth first, so that a node's points lie together
+        order, n, stack = [], 0, [0]
+        while stack:
             i = stack.pop()
-            if nodes[i][1] is None:
-                stack += range(last[i] - 1, first[i] - 1, -1)
-            else:
-                begin[i], n = n, n + len(nodes[i][1])
-                end[i] = n
-                order.append(nodes[i][1])
-        for i in range(len(nodes) - 1, -1, -1):
-            if first[i] < last[i]:
-                begin[i], end[i] = begin[first[i]:last[i]].min(), end[first[i]:last[i]].max()
+            begin[i], n = n, n + len(nodes[i][1])
+            end[i] = n
+            order.append(nodes[i][1])
+            stack += range(last[i] - 1, first[i] - 1, -1)
         order = np.concatenate(order)
         place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place[order] = everything
         self.x, self.ids, self.labels = x[order], ids[order], labels[order]
         self.centre, self.radius, self.begin, self.end = place[np.array(centre)], np.array(radius), begin, end
+        self.first, self.last = np.array(first), np.array(last)
         self._ready()
 
     def _ready(self) -> None:
@@ -124,11 +123,9 @@ class CoverTree:
         self._ready()
         return self
 
-    def products(self, rows: slice | np.ndarray, q: np.ndarray, q_double: np.ndarray) -> np.ndarray:
-        """Exact: in doubles while these hold every sum, in longs otherwise."""
-        if self.top * float(np.abs(q).max()) * len(q) < 2 ** 53:
-            return (self.double[rows] @ q_double).astype(np.int64)
-        return self.x[rows] @ q
+    def products(self, rows: slice | np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Exact: in doubles while these hold every sum, in longs otherwise (``q`` is of the kind to use)."""
+        return (self.double[rows] @ q).astype(np.int64) if q.dtype == np.float64 else self.x[rows] @ q
 
     def search(self, q_id: int, q_label: int, q: np.ndarray, windows: list[tuple[int, int]], same: bool, k: int,
                longest2: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -136,14 +133,16 @@ class CoverTree:
         q_double = q.astype(np.float64)
         whole = float((q_double * q_double).sum()) + longest2  # |q|^2 + M^2
         slack = 1e-9 * (whole + 1)  # the bounds are computed in doubles
+        if self.top * float(np.abs(q).max()) * len(q) < 2 ** 53:
+            q = q_double
         found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in windows]
-        least = [low for low, _ in windows]  # what a row must have to count
+        least, highest = [low for low, _ in windows], max(high for _, high in windows)  # what a row must have to count
 
         def bounds(score, radius):
             far = np.sqrt(np.maximum(whole - 2.0 * score, 0.0))
             return (whole - np.maximum(far - radius, 0.0) ** 2) / 2 + slack, (whole - (far + radius) ** 2) / 2 - slack
 
-        root = self.products(self.centre[:1], q, q_double)
+        root = self.products(self.centre[:1], q)
         upper, lower = bounds(root, self.radius[:1])
         heap = [(-upper[0], 0, lower[0])]
         while heap:
@@ -154,20 +153,27 @@ class CoverTree:
                 continue
             lo, hi = self.first[i], self.last[i]
             if lo < hi:
-                scores = self.products(self.centre[lo:hi], q, q_double)
+                scores = self.products(self.centre[lo:hi], q)
                 upper, lower = bounds(scores, self.radius[lo:hi])
                 for j in np.flatnonzero(upper >= min(least)).tolist():
                     heapq.heappush(heap, (-upper[j], lo + j, lower[j]))
-                continue
             rows = slice(self.begin[i], self.end[i])
-            scores = self.products(rows, q, q_double)
+            if rows.start == rows.stop:
+                continue
+            scores = self.products(rows, q)
             fit = (self.labels[rows] == q_label) & (self.ids[rows] != q_id) if same else self.labels[rows] != q_label
+            fit = np.flatnonzero(fit & (scores >= min(least)) & (scores <= highest))
+            if not len(fit):
+                continue
+            ids, scores = self.ids[rows][fit], scores[fit]
             for w, (_, high) in enumerate(windows):
-                new = fit & (scores >= least[w]) & (scores <= high)
-                if new.any():
-                    ids, best = np.concatenate([found[w][0], self.ids[rows][new]]), np.concatenate([found[w][1], scores[new]])
-                    order = np.lexsort((ids, -best))[:k]
-                    found[w] = ids[order], best[order]
+                new = np.flatnonzero((scores >= least[w]) & (scores <= high))
+                if len(new) > 64:  # the k best and all that tie with the last of them
+                    new = new[scores[new] >= np.partition(scores[new], -min(k, len(new)))[-min(k, len(new))]]
+                if len(new):
+                    all_ids, best = np.concatenate([found[w][0], ids[new]]), np.concatenate([found[w][1], scores[new]])
+                    order = np.lexsort((all_ids, -best))[:k]
+                    found[w] = all_ids[order], best[order]
                     if len(order) == k:
                         least[w] = max(least[w], int(best[order[-1]]))
         return found

@@ -82,15 +82,20 @@ def test_tree_covers_and_separates():
     rng = np.random.default_rng(7)
     x = np.vstack([rng.integers(-300, 300, (900, 6)), np.full((50, 6), 11)])
     longest2 = float((x * x).sum(1).max())
-    tree = ct.CoverTree(x, np.arange(len(x)), np.zeros(len(x), np.int64), longest2, leaf=10)
+    tree = ct.CoverTree(x, np.arange(len(x)), np.zeros(len(x), np.int64), longest2, leaf=10, small=1)
     assert sorted(tree.ids.tolist()) == list(range(len(x)))
     points = ct.augmented(tree.x, longest2)
+
+    def below(i):
+        kids = range(tree.first[i], tree.last[i])
+        return np.concatenate([np.arange(tree.begin[i], tree.end[i]), *map(below, kids)]).astype(int)
+
+    assert sorted(below(0).tolist()) == list(range(len(x))) and (tree.first < tree.last).sum() > 5
     for i in range(len(tree.radius)):
-        below = points[tree.begin[i]:tree.end[i]]
-        assert np.sqrt(((below - points[tree.centre[i]]) ** 2).sum(1)).max() <= tree.radius[i] + 1e-6
-        kids = tree.centre[tree.first[i]:tree.last[i]]
-        if len(kids):
-            assert tree.begin[tree.first[i]:tree.last[i]].min() == tree.begin[i] and (tree.end - tree.begin)[tree.first[i]:tree.last[i]].sum() == (tree.end - tree.begin)[i]
+        rows = below(i)
+        assert tree.centre[i] in rows and np.sqrt(((points[rows] - points[tree.centre[i]]) ** 2).sum(1)).max() <= tree.radius[i] + 1e-6
+        if tree.first[i] < tree.last[i]:
+            kids = np.concatenate([tree.centre[tree.first[i]:tree.last[i]], np.arange(tree.begin[i], tree.end[i])])
             apart = np.sqrt(((points[kids][:, None] - points[kids][None]) ** 2).sum(2)) + 1e12 * np.eye(len(kids))
             assert apart.min() > tree.radius[i] / ct.BASE - 1e-6
 
