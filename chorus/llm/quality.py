@@ -21,7 +21,7 @@ bit operations and every count table is a plain Spark table keyed by such longs.
 What is gathered grows with the corpus: no table is cut, pruned or hashed down.
 
 Defined results: null, empty or white text has no perplexity and is not kept; without any trusted
-text nothing can be judged and every document with text is kept; a null language is a
+text, or with fewer than ``FEWEST`` documents to learn limits from, nothing can be judged and every document with text is kept; a null language is a
 language of its own; repeated rows get equal results and rows that share an id are judged together;
 a null id is not kept; other columns are not read, whatever their
 names; no rows give no rows.
@@ -43,7 +43,9 @@ BEGIN, END = MASK - 1, MASK
 #: Bytes of text in one chunk (one document at least), the most documents, and bytes cut at a time.
 CHUNK, CHUNK_DOCS, PIECE = 8_000_000, 60_000, 1_000_000
 #: Parts the trusted texts are dealt into, equal texts to one, to score each by a model of the others.
-FOLDS = 4
+FOLDS, FEW = 4, 64
+#: Documents that limits can be learned from, at least; with fewer there are none.
+FEWEST = 10
 
 
 def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,11 +109,19 @@ def chunk_trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return key[order], doc[order], n[order]
 
 
-def _fold() -> Column:
-    return F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
+def dealt(trusted: DataFrame) -> Column:
+    """The fold of a text: by its hash, or, where there are ``FEW`` different texts or less, by their hashes' ranks,
+    so that two texts never share all that is trusted in one fold."""
+    h = F.xxhash64("text")
+    some = trusted.filter("text is not null").select(h.alias("h")).distinct().limit(FEW + 1).collect()
+    by_hash = F.pmod(h, F.lit(FOLDS)).cast("int")
+    if not some or len(some) > FEW:
+        return by_hash
+    ranks = F.create_map(*[F.lit(x) for i, r in enumerate(sorted(some)) for x in (r[0], i % FOLDS)])
+    return F.coalesce(F.element_at(ranks, h), by_hash)
 
 
-def trigram_counts(docs: DataFrame) -> DataFrame:
+def trigram_counts(docs: DataFrame, fold: Column) -> DataFrame:
     """(fold, key, n) over all rows (text)."""
 
     def run(batches):
@@ -126,7 +136,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
                     yield pa.record_batch([pa.array(np.full(len(cut), f, np.int32)), pa.array(key[cut]),
                                            pa.array(np.add.reduceat(n, cut) if len(cut) else n)], names=["fold", "key", "n"])
 
-    return map_arrow(docs.select("text", _fold()), run, "fold int, key long, n long").groupBy("fold", "key").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select("text", fold.alias("fold")), run, "fold int, key long, n long").groupBy("fold", "key").agg(F.sum("n").alias("n"))
 
 
 def _discounts(table: DataFrame) -> list[float]:
@@ -151,14 +161,13 @@ def _contexts(table: DataFrame, context: Column, d: list[float]) -> DataFrame:
 
 
 class KneserNey:
-    """The count tables of one model, written below the shared folder.
+    """The count tables of one model of ``trigram_counts``, written below the shared folder.
 
     ``others`` are the models of all but one fold, for the texts of that fold.
     """
 
-    def __init__(self, trusted: DataFrame, counts: DataFrame | None = None, folds: bool = False):
-        counts = written(trigram_counts(trusted), "kn-folds") if counts is None else counts
-        self.others = [KneserNey(trusted, counts.filter(F.col("fold") != f)) for f in range(FOLDS)] if folds else []
+    def __init__(self, counts: DataFrame, folds: bool = False):
+        self.others = [KneserNey(counts.filter(F.col("fold") != f)) for f in range(FOLDS)] if folds else []
         self.c3 = written(counts.groupBy("key").agg(F.sum("n").alias("n")), "kn-c3")
         self.c2 = written(self.c3.groupBy((F.col("key").bitwiseAND((1 << 2 * BITS) - 1)).alias("key"))
                           .agg(F.count(F.lit(1)).alias("n")), "kn-c2")
@@ -189,72 +198,65 @@ class KneserNey:
         return k.select("key", F.log(p3).alias("logp"))
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, ids, folds, keys, docs_per_key, doc, n): packed postings of consecutive rows (doc_id, text)."""
+def chunks(docs: DataFrame, fold: Column) -> DataFrame:
+    """(chunk, fold, ids, keys, docs_per_key, doc, n): packed postings of consecutive rows (doc_id, text) of one fold."""
 
     def run(batches):
         made = 0
         for batch in batches:
-            for lo, hi in slices(batch.column(1), CHUNK):
-                for at in range(lo, hi, CHUNK_DOCS):
-                    part = batch.slice(at, min(CHUNK_DOCS, hi - at))
-                    key, doc, n = chunk_trigrams(part.column(1))
-                    cut = np.flatnonzero(np.diff(key, prepend=-1))
-                    pack = lambda a, t: pa.compress(a.astype(t).tobytes(), "zstd", asbytes=True)
-                    number = TaskContext.get().partitionId() * (1 << 32) + made
-                    made += 1
-                    yield pa.record_batch([
-                        pa.array([number]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
-                        pa.array([part.column(2).to_pylist()], pa.list_(pa.int32())),
-                        pa.array([key[cut].tolist()], pa.list_(pa.int64())),
-                        pa.array([pack(np.diff(cut, append=len(key)), "<u4")]), pa.array([pack(doc, "<u2")]), pa.array([pack(n, "<u4")]),
-                        pa.array([len(key)])], names=["chunk", "ids", "folds", "keys", "docs_per_key", "doc", "n", "postings"])
-
-    return map_arrow(docs.select("doc_id", "text", _fold()), run, "chunk long, ids array<long>, folds array<int>, keys array<long>, docs_per_key binary, "
-                     "doc binary, n binary, postings long")
-
-
-def scored(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """(doc_id, n_symbols, logp, held) of every row (doc_id, text); n_symbols 0 and logp 0 without text.
-
-    ``held`` is the log probability under the model without the text's fold, where there are such models.
+            folds = batch.column(2).to_numpy()
+            for f in np.unique(folds):
+                rows = batch if (folds == f).all() else batch.filter(pa.array(folds == f))
+                for lo, hi in slices(rows.column(1), CHUNK):
+                    for at in range(lo, hi, CHUNK_DOCS):
+                        part = rows.slice(at, min(CHUNK_DOCS, hi - at))
+                        key, doc, n = chunk_trigrams(part.column(1))
+                        cut = np.flatnonzero(np.diff(key, prepend=-1))
+                        pack = lambda a, t: pa.compress(a.astype(t).tobytes(), "zstd", asbytes=True)
+                        number = TaskContext.get().partitionId() * (1 << 32) + made
+                        made += 1
+                        yield pa.record_batch([
+                            pa.array([number]), pa.array([f], pa.int32()), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
+                            pa.array([key[cut].tolist()], pa.list_(pa.int64())),
+                            pa.array([pack(np.diff(cut, append=len(key)), "<u4")]), pa.array([pack(doc, "<u2")]), pa.array([pack(n, "<u4")]),
+                            pa.array([len(key)])], names=["chunk", "fold", "ids", "keys", "docs_per_key", "doc", "n", "postings"])
+
+    return map_arrow(docs.select("doc_id", "text", fold.alias("fold")), run, "chunk long, fold int, ids array<long>, keys array<long>, "
+                     "docs_per_key binary, doc binary, n binary, postings long")
+
+
+def scored(docs: DataFrame, models: list[KneserNey], fold: Column | None = None) -> DataFrame:
+    """(doc_id, n_symbols, logp) of every row (doc_id, text); n_symbols 0 and logp 0 without text.
+
+    Each text is scored by the model of its ``fold``, all by the only one without.
     """
-    packed = written(chunks(docs), "kn-chunks")
-    asked = written(packed.select("chunk", F.explode("keys").alias("key")), "kn-asked")
-    keys = asked.select("key").distinct()
-    answer = model.log_probability(keys)
-    names = ["logp"] + [f"held{f}" for f in range(len(model.others))]
-    for name, other in zip(names[1:], model.others):
-        answer = answer.join(other.log_probability(keys).withColumnRenamed("logp", name), "key")
-    answer = written(answer, "kn-answers")
-    told = asked.join(answer, "key").groupBy("chunk").agg(F.collect_list(F.struct("key", *names)).alias("told"))
-    rows = packed.drop("keys").join(told, "chunk", "left")
+    packed = written(chunks(docs, F.lit(0) if fold is None else fold), "kn-chunks")
+    asked = written(packed.select("chunk", "fold", F.explode("keys").alias("key")), "kn-asked")
+    answer = None
+    for f, model in enumerate(models):
+        one = model.log_probability(asked.filter(F.col("fold") == f).select("key").distinct()).withColumn("fold", F.lit(f))
+        answer = one if answer is None else answer.unionByName(one)
+    told = asked.join(written(answer, "kn-answers"), ["fold", "key"]).groupBy("chunk").agg(F.collect_list(F.struct("key", "logp")).alias("told"))
+    rows = packed.drop("keys", "fold").join(told, "chunk", "left")
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in ("ids", "folds", "docs_per_key", "doc", "n", "postings", "told")}
+                row = {c: batch.column(c)[i] for c in ("ids", "docs_per_key", "doc", "n", "postings", "told")}
                 ids, p = row["ids"].as_py(), row["postings"].as_py()
                 get = lambda c, t, size: np.frombuffer(pa.decompress(row[c].as_py(), size * np.dtype(t).itemsize, "zstd", asbytes=True), t)
                 total, size = np.zeros(len(ids)), np.zeros(len(ids))
-                held = total
                 if p:
                     told = row["told"].values
                     key = told.field("key").to_numpy()
-                    order = np.argsort(key)  # the chunk lists its trigrams in ascending order
-                    logp = np.stack([told.field(c).to_numpy()[order] for c in names])
+                    logp = told.field("logp").to_numpy()[np.argsort(key)]  # the chunk lists its trigrams in ascending order
                     doc, n = get("doc", "<u2", p), get("n", "<u4", p).astype(np.float64)
-                    often, fold = get("docs_per_key", "<u4", len(key)), row["folds"].values.to_numpy()
-                    # one model after the other, to bound memory
-                    totals = [np.bincount(doc, np.repeat(one, often) * n, len(ids)) for one in logp]
-                    total = held = totals[0]
-                    if len(totals) > 1:
-                        held = np.choose(fold, totals[1:])
+                    total = np.bincount(doc, np.repeat(logp, get("docs_per_key", "<u4", len(key))) * n, len(ids))
                     size = np.bincount(doc, n, len(ids))
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(size.astype(np.int64)), pa.array(total), pa.array(held)],
-                                      names=["doc_id", "n_symbols", "logp", "held"])
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(size.astype(np.int64)), pa.array(total)],
+                                      names=["doc_id", "n_symbols", "logp"])
 
-    return map_arrow(rows, run, "doc_id long, n_symbols long, logp double, held double")
+    return map_arrow(rows, run, "doc_id long, n_symbols long, logp double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -271,19 +273,27 @@ def judge(docs: DataFrame, labels: DataFrame, keep: float = 0.99, enough: int =
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                       F.col(lang_col).cast("string").alias("lang"))
-    good = trusted_ids(labels)
-    model = KneserNey(src.join(small_or_plain(good), "doc_id", "left_semi"), folds=True)
-    scores = scored(src, model).filter("doc_id is not null").distinct() \
-        .groupBy("doc_id").agg(F.sum("n_symbols").alias("n_symbols"), F.sum("logp").alias("logp"), F.sum("held").alias("held"))
-    scores = scores.withColumns({c: F.when(F.col("n_symbols") > 0, -F.col(p) / F.col("n_symbols")) for c, p in (("loss", "logp"), ("unseen", "held"))})
-    rows = written(src.select("doc_id", "lang").join(scores, "doc_id", "left").withColumn("key", F.coalesce("lang", F.lit(""))), "kn-scores")
+    trusted = src.join(small_or_plain(trusted_ids(labels)), "doc_id", "left_semi")
+    fold = dealt(trusted)
+    model = KneserNey(written(trigram_counts(trusted, fold), "kn-folds"), folds=True)
+    # rows that share an id are judged together; only documents labelled good need a score by a model that has not seen them
+    one_each = lambda rows, loss: rows.filter("doc_id is not null").distinct().groupBy("doc_id").agg(
+        F.sum("n_symbols").alias("n_symbols"), F.sum("logp").alias("logp")).select(
+            "doc_id", "n_symbols", F.when(F.col("n_symbols") > 0, -F.col("logp") / F.col("n_symbols")).alias(loss))
+    key = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))
+    rows = written(src.select("doc_id", "lang").join(one_each(scored(src, [model]), "loss"), "doc_id", "left").withColumn("key", key), "kn-scores")
     fine = written(labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct(), "kn-fine")
-    basis = rows.join(small_or_plain(fine), "doc_id", "left_semi").filter("unseen is not null")
+    seen = [f for f, other in enumerate(model.others) if not other.empty]  # an empty model says nothing
+    judged = src.join(small_or_plain(fine), "doc_id", "left_semi").withColumn("fold", fold).filter(F.col("fold").isin(seen) if seen else F.lit(False))
+    unseen = one_each(scored(judged, model.others, F.col("fold")), "unseen").drop("n_symbols")
+    basis = written(rows.join(unseen, "doc_id").filter("unseen is not null"), "kn-basis")
     middle = lambda c: F.percentile_approx(c, 0.5, 10000)
     upper = lambda c: F.percentile_approx(c, keep, 10000)
     wide = F.sqrt(1 + short / F.col("n_symbols"))
     mids = written(basis.groupBy("key").agg(middle("unseen").alias("mid"), F.count(F.lit(1)).alias("n")), "kn-middles")
-    every = basis.agg(middle("unseen")).first()[0]
+    every, n = basis.agg(middle("unseen"), F.count(F.lit(1))).first()
+    if n < FEWEST:
+        basis, every = basis.filter(F.lit(False)), None
     over = basis.join(small_or_plain(mids), "key").select("key", "mid", "n", ((F.col("unseen") - F.col("mid")) / wide).alias("own"),
                                                           ((F.col("unseen") - F.lit(every).cast("double")) / wide).alias("all"))
     spread, reach = over.agg(upper("own"), upper("all")).first()

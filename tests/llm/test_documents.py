@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chorus.llm import langid, pii, quality
+from chorus.llm.common import written
 from chorus.llm.queries import op4_langid, op9_pii
 
 SF = "/root/testdata/sf0.01"
@@ -147,7 +148,8 @@ def test_perplexity_equals_the_definition(spark, monkeypatch, small):
 
 def test_probabilities_add_up_to_one(spark):
     texts = ["abc abd", "abcab", "cab dab"]
-    model = quality.KneserNey(spark.createDataFrame([(t,) for t in texts], "text string"))
+    counts = quality.trigram_counts(spark.createDataFrame([(t,) for t in texts], "text string"), F.lit(0))
+    model = quality.KneserNey(written(counts, "test-counts"))
     alphabet = sorted({ord(c) for t in texts for c in t} | {quality.END})
     key = lambda x, y, z: (x << 42) | (y << 21) | z
     for x, y in [(ord("a"), ord("b")), (quality.BEGIN, quality.BEGIN), (ord("z"), ord("z"))]:
@@ -163,6 +165,28 @@ def test_quality_without_rows_or_trusted_text(spark):
     assert {r["doc_id"]: r["kept"] for r in got} == {1: True, 2: False, None: False}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5])
+def test_few_trusted_texts(spark, n):
+    """No document is judged by a model without text: clean ones stay, however few are trusted."""
+    rng = random.Random(n)
+    words = [f"word{i}" for i in range(12)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(200))
+    rows = [(i, text(), None if i % 2 else "") for i in range(12)] + [(20, None, ""), (21, rows_copy := text(), "x"), (22, rows_copy, "x")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(n)] + [(7, 1, 1)], "doc_id long, quality int, toxic int")
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()
+    assert {r["doc_id"] for r in got if r["kept"]} == {i for i, t, _ in rows if t}
+    if n > 1:
+        limits = {lang: {r["limit"] for r in got if r["lang"] == lang} for lang in ("", None)}
+        assert all(len(v) == 1 for v in limits.values())
+
+
+def test_folds_of_few_texts_are_dealt_by_rank(spark):
+    for n in (2, 3, 4, 64):
+        df = spark.createDataFrame([(f"text {i}",) for i in range(n)] * 2 + [(None,)], "text string")
+        folds = df.filter("text is not null").select("text", quality.dealt(df).alias("f")).distinct().collect()
+        assert len(folds) == n and {r["f"] for r in folds} == set(range(min(n, quality.FOLDS)))
+
+
 def test_quality_tells_clean_from_junk(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     kept = {r["doc_id"]: r["kept"] for r in quality.judge(docs, labels).collect()}
