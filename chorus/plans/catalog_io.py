@@ -87,16 +87,30 @@ def s5_video_ingest(spark: SparkSession, sf: str) -> DataFrame:
                       "commentCount", "publishingDate")
 
 
+#: The id of a comment's video, made from the key its page gives, as S5 does.
+_VIDEO_ID_SQL = "CAST('0x' || substr(md5(substr(md5(CAST(videoId AS VARCHAR)), 1, 11)), 1, 15) AS BIGINT)"
+
+
+def _comment_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every comment, in pages that name its video by the video's key."""
+    key = F.substring(F.md5(F.col("videoId").cast("string")), 1, 11)
+    return JS.comment_pages(A.comments(spark, sf).withColumn("videoKey", key), 100)
+
+
+def _with_number(comments: DataFrame) -> DataFrame:
+    """The keys of these comments are numbers; the SQL has them as such."""
+    return comments.withColumn("id", F.col("id").cast("bigint"))
+
+
 @register("s6_comment_ingest", A.with_adapters("comments") + """
-SELECT id, videoId, commentText, likeCount, publishingDate FROM comments""")
+SELECT id, """ + _VIDEO_ID_SQL + """ AS videoId, commentText, likeCount, publishingDate FROM comments""")
 def s6_comment_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """S6 + F18: land every comment page (and a re-landed copy of some), ingest each comment once."""
-    c = A.comments(spark, sf)
-    pages = JS.comment_pages(c, 100)
+    pages = _comment_pages(spark, sf)
     path = scratch_path(spark, "comment-pages")
     pages.write.json(f"{path}/a")
     pages.where(F.col("nextPageToken").endswith("-1")).write.json(f"{path}/b")
-    return JS.ingest_comments(JS.read_comment_pages(spark, f"{path}/*"))
+    return _with_number(JS.ingest_comments(JS.read_comment_pages(spark, f"{path}/*")))
 
 
 _WIDE_COLS = "videoId, authorId, sentiment, likeCount, replies, publishingDate"
@@ -209,24 +223,22 @@ def f18_unpivot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("st1_stream_ingest", A.with_adapters("comments") + """
-SELECT id, videoId, commentText, likeCount, publishingDate FROM comments""")
+SELECT id, """ + _VIDEO_ID_SQL + """ AS videoId, commentText, likeCount, publishingDate FROM comments""")
 def st1_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """ST1: comment pages landed in two waves (the second re-lands some pages) ingested by a
     Structured Streaming query with de-duplication; equals the batch ingest."""
-    c = A.comments(spark, sf)
-    pages = JS.comment_pages(c, 100)
+    pages = _comment_pages(spark, sf)
     landing = scratch_path(spark, "landing")
     sink = scratch_path(spark, "stream-sink")
     ckpt = scratch_path(spark, "stream-ckpt")
     pages.write.json(landing)
     SI.run_ingest(spark, landing, sink, ckpt)
     pages.where(F.col("nextPageToken").endswith("-1")).write.mode("append").json(landing)
-    return SI.run_ingest(spark, landing, sink, ckpt)
+    return _with_number(SI.run_ingest(spark, landing, sink, ckpt))
 
 
 @register("st1_scored_ingest", A.with_adapters("comments") + """
-SELECT id, CAST('0x' || substr(md5(substr(md5(CAST(videoId AS VARCHAR)), 1, 11)), 1, 15) AS BIGINT) AS videoId,
-  commentText, likeCount, publishingDate, true AS has_label FROM comments""")
+SELECT id, """ + _VIDEO_ID_SQL + """ AS videoId, commentText, likeCount, publishingDate, true AS has_label FROM comments""")
 def st1_scored_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """ST1 + S6 + U1: land comment pages, score them with a trained sentiment model while they are
     ingested, store them; the stored comments refer to the video's id (``has_label``: the stored
@@ -234,10 +246,9 @@ def st1_scored_ingest(spark: SparkSession, sf: str) -> DataFrame:
     c = A.comments(spark, sf)
     model = M.train_sentiment(M.labelled_comments(c))
     landing, sink = scratch_path(spark, "landing"), scratch_path(spark, "stream-sink")
-    JS.comment_pages(c, 100).write.json(landing)
+    _comment_pages(spark, sf).write.json(landing)
     stored = SI.run_ingest(spark, landing, sink, scratch_path(spark, "stream-ckpt"), model=model)
-    key = F.substring(F.md5(F.col("videoId").cast("string")), 1, 11)  # the adapter's key of the video
-    return stored.select("id", JS.video_id(key).alias("videoId"), "commentText", "likeCount", "publishingDate",
+    return _with_number(stored).select("id", "videoId", "commentText", "likeCount", "publishingDate",
                          F.coalesce(F.col("sentiment").isin(SENTIMENTS), F.lit(False)).alias("has_label"))
 
 

@@ -93,6 +93,21 @@ COMMENT_PAGE_SCHEMA = T.StructType([
     ]))),
 ])
 
+#: The same as pages are landed: numbers and dates as text, so that a feed that starts to quote them is still read, and a place for what is no page.
+COMMENT_LANDING_SCHEMA = T.StructType([
+    *(f if f.name != "items" else T.StructField("items", T.ArrayType(T.StructType([
+        T.StructField("id", T.StringType()),
+        T.StructField("snippet", T.StructType([
+            T.StructField("videoId", T.StringType()),
+            T.StructField("topLevelComment", T.StructType([
+                T.StructField("snippet", T.StructType([
+                    T.StructField(c, T.StringType()) for c in ("textDisplay", "likeCount", "publishedAt")])),
+            ])),
+        ])),
+    ]))) for f in COMMENT_PAGE_SCHEMA.fields),
+    T.StructField("_corrupt_record", T.StringType()),
+])
+
 RUN_LOG_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType(), False),
     T.StructField("key", T.StringType(), False),

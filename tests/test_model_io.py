@@ -111,7 +111,7 @@ def test_stream_ingest_scores_and_dedupes(spark, split):
     train, _ = split
     model = M.train_sentiment(train)
     c = A.comments(spark, SF_SMALL)
-    pages = JS.comment_pages(c, 10)
+    pages = JS.comment_pages(c.withColumn("videoKey", F.md5(F.col("videoId").cast("string"))), 10)
     landing = scratch_path(spark, "land")
     pages.write.json(landing)
     pages.write.mode("append").json(landing)  # every page landed twice

@@ -144,7 +144,7 @@ def test_stream_ingest_loses_no_comment(spark):
         with open(f"{folder}/{n}.json", "w") as f:
             f.write(json.dumps({"nextPageToken": str(n), "items": [item(i) for i in page]}))
     got = SI.run_ingest(spark, landing, sink, ck)
-    assert sorted(r["id"] for r in got.collect()) == list(range(600))
+    assert sorted(int(r["id"]) for r in got.collect()) == list(range(600))
     assert got.where("publishingDate IS NULL").count() == 12
 
 
