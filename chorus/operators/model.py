@@ -68,22 +68,26 @@ def token_sequence(text: Column, seq_len: int = SEQ_LEN_TRAIN, pad_id: int = PAD
 STYLE_SQL = """
 SELECT *,
   CASE WHEN size(__toks) = 0 THEN 0.0 ELSE size(array_distinct(__toks)) / size(__toks) END AS style_distinct,
-  CASE WHEN char_length(text) = 0 THEN 0.0
-       ELSE char_length(regexp_replace(text, '[\\\\p{L}\\\\p{N}\\\\s]', '')) / char_length(text) END AS style_symbols,
-  CASE WHEN char_length(regexp_replace(text, '[^\\\\p{L}]', '')) = 0 THEN 0.0
-       ELSE char_length(regexp_replace(text, '[^\\\\p{Lu}]', '')) / char_length(regexp_replace(text, '[^\\\\p{L}]', ''))
+  CASE WHEN char_length(__text) = 0 THEN 0.0
+       ELSE char_length(regexp_replace(__text, '[\\\\p{L}\\\\p{N}\\\\s]', '')) / char_length(__text) END AS style_symbols,
+  CASE WHEN char_length(regexp_replace(__text, '[^\\\\p{L}]', '')) = 0 THEN 0.0
+       ELSE char_length(regexp_replace(__text, '[^\\\\p{Lu}]', '')) / char_length(regexp_replace(__text, '[^\\\\p{L}]', ''))
   END AS style_upper
 FROM __THIS__
 """
 
 
 def feature_stages(num_features: int = 1 << 12) -> list:
-    """Text -> hashed binary words (every word of the corpus, none cut) + three style ratios."""
-    tok = RegexTokenizer(inputCol="text", outputCol="__toks", pattern="\\W+", toLowercase=True)
+    """Text -> hashed binary words (every word of the corpus, none cut) + three style ratios.
+
+    A NULL text is an empty one: it has no words, and its label is what the class shares make of that.
+    """
+    text = SQLTransformer(statement="SELECT *, coalesce(text, '') AS __text FROM __THIS__")
+    tok = RegexTokenizer(inputCol="__text", outputCol="__toks", pattern="\\W+", toLowercase=True)
     style = SQLTransformer(statement=STYLE_SQL)
     tf = HashingTF(inputCol="__toks", outputCol="__tf", binary=True, numFeatures=num_features)
     asm = VectorAssembler(inputCols=["__tf", "style_distinct", "style_symbols", "style_upper"], outputCol="features")
-    return [tok, style, tf, asm]
+    return [text, tok, style, tf, asm]
 
 
 def classifier(reg_param: float = 0.1, elastic_net: float = 0.0, max_iter: int = 30) -> LogisticRegression:
@@ -166,7 +170,7 @@ def language_pipeline(num_features: int = 4096) -> Pipeline:
 
     Input: ``text``, ``label`` (double language index); see ``language_training_rows``.
     """
-    chars = SQLTransformer(statement="SELECT *, split(lower(text), '') AS __chars FROM __THIS__")
+    chars = SQLTransformer(statement="SELECT *, split(lower(coalesce(text, '')), '') AS __chars FROM __THIS__")
     ngram = NGram(n=3, inputCol="__chars", outputCol="__grams")
     tf = HashingTF(inputCol="__grams", outputCol="features", numFeatures=num_features)
     nb = NaiveBayes(featuresCol="features", labelCol="label", modelType="multinomial", smoothing=1.0)

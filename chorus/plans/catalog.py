@@ -49,7 +49,7 @@ def p2_video_info(spark: SparkSession, sf: str) -> DataFrame:
 SELECT id, videoId, commentText, sentiment, likeCount, publishingDate FROM comments""")
 def p3_video_comments(spark: SparkSession, sf: str) -> DataFrame:
     """The comments of every video (stored Comment columns)."""
-    return V.video_comments(A.comments(spark, sf)).select(
+    return V.video_comments(A.comments(spark, sf, "id", "videoId", "commentText", "sentiment", "likeCount", "publishingDate")).select(
         "id", "videoId", "commentText", "sentiment", "likeCount", "publishingDate")
 
 
@@ -73,7 +73,7 @@ def p5_date_range(spark: SparkSession, sf: str) -> DataFrame:
 SELECT id, videoId, sentiment, length(commentText) AS commentLength FROM comments""")
 def p12_comment_lengths(spark: SparkSession, sf: str) -> DataFrame:
     """P12 + F5: sentiment and character length of every comment."""
-    return V.comment_lengths(A.comments(spark, sf))
+    return V.comment_lengths(A.comments(spark, sf, "id", "videoId", "sentiment", "commentText"))
 
 
 @register("a1_sentiment_counts", A.with_adapters("comments_wide") + """
@@ -87,7 +87,7 @@ def a1_sentiment_counts(spark: SparkSession, sf: str) -> DataFrame:
 SELECT videoId, sentiment, count(*) AS n_comments FROM comments GROUP BY videoId, sentiment""")
 def a1_sentiment_counts_text(spark: SparkSession, sf: str) -> DataFrame:
     """A1 on the text comments: unlabelled comments form the NULL sentiment group."""
-    return V.sentiment_counts(A.comments(spark, sf))
+    return V.sentiment_counts(A.comments(spark, sf, "videoId", "sentiment"))
 
 
 @register("a2_like_totals", A.with_adapters("comments_wide") + """
@@ -113,7 +113,7 @@ FROM comments c JOIN videos v ON v.id = c.videoId""")
 def j7_comment_video(spark: SparkSession, sf: str) -> DataFrame:
     """Comments with their video's name and category (foreign-key join)."""
     from ..operators.joins import with_parent
-    c = A.comments(spark, sf).select("id", "videoId", "sentiment")
+    c = A.comments(spark, sf, "id", "videoId", "sentiment")
     return with_parent(c, A.videos(spark, sf), "videoId", "id", ["videoName", "category"])
 
 
@@ -135,7 +135,7 @@ FROM (SELECT id, {sql_words('commentText')} AS w FROM comments) t""")
 def f3_words(spark: SparkSession, sf: str) -> DataFrame:
     """Every word of every comment with its position (punctuation/digits deleted,
     lower-cased, split on Unicode whitespace)."""
-    return W.word_rows(A.comments(spark, sf), "commentText", ["id"], with_position=True)
+    return W.word_rows(A.comments(spark, sf, "id", "commentText"), "commentText", ["id"], with_position=True)
 
 
 @register("a25_most_common_words", A.with_adapters("comments") + f"""
@@ -148,7 +148,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY videoId, sentiment ORDE
   AS rank FROM cnt) t WHERE rank <= 10""")
 def a25_most_common_words(spark: SparkSession, sf: str) -> DataFrame:
     """A25 + P4 + J5 + T2: ten most common non-stopwords per video and sentiment."""
-    return W.most_common_words(A.comments(spark, sf), None, 10)
+    return W.most_common_words(A.comments(spark, sf, "videoId", "commentText", "sentiment"), None, 10)
 
 
 @register("a26_category_words", A.with_adapters("comments", "videos") + f"""
@@ -161,7 +161,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DES
   AS rank FROM cnt) t WHERE rank <= 100""")
 def a26_category_words(spark: SparkSession, sf: str) -> DataFrame:
     """A26 + W3: word-cloud table, top 100 words (length >= 2) per video category."""
-    return W.category_words(A.comments(spark, sf), A.videos(spark, sf), 100)
+    return W.category_words(A.comments(spark, sf, "videoId", "commentText"), A.videos(spark, sf), 100)
 
 
 @register("a24_conversation_text", """

@@ -85,7 +85,7 @@ WHERE length < (SELECT avg(length) + 2.0 * stddev_samp(length) FROM l)"""
 
 def p9_outlier_cut(spark: SparkSession, sf: str) -> DataFrame:
     """P9 + J6 + F15: comments whose word count is below mean + 2 sample std."""
-    c = A.comments(spark, sf).select("id", "commentText")
+    c = A.comments(spark, sf, "id", "commentText")
     return P.outlier_cut(c, F.size(words(F.col("commentText"))), 2.0, "length").select("id", "length")
 
 
@@ -150,7 +150,7 @@ SELECT id, list_resize(list_transform(list_slice({_sql_words('commentText')}, 1,
 
 def f14_token_ids(spark: SparkSession, sf: str) -> DataFrame:
     """the fixed-length token id vector of every comment (hashed words, 0 pads)."""
-    c = A.comments(spark, sf)
+    c = A.comments(spark, sf, "id", "commentText")
     return c.select("id", M.token_sequence(F.col("commentText"), SEQ_LEN_TRAIN).alias("token_ids"))
 
 
@@ -161,7 +161,7 @@ SELECT id, len({_sql_words('commentText')}) AS n_tokens FROM comments"""
 
 def f15_token_length(spark: SparkSession, sf: str) -> DataFrame:
     """token count of every comment."""
-    c = A.comments(spark, sf)
+    c = A.comments(spark, sf, "id", "commentText")
     return c.select("id", F.size(words(F.col("commentText"))).alias("n_tokens"))
 
 
@@ -182,7 +182,7 @@ def _text_counts(table: pa.Table) -> pa.Table:
 
 def u4_batched_map(spark: SparkSession, sf: str) -> DataFrame:
     """U4: a vectorised function mapped over batches of comments (character and word counts)."""
-    c = A.comments(spark, sf).select("id", "commentText")
+    c = A.comments(spark, sf, "id", "commentText")
     return batched_map(c, _text_counts, "id long, n_chars long, n_words long")
 
 
@@ -204,7 +204,7 @@ _TEXT_FOLD = "(('0x' || substr(md5(commentText), 1, 8))::UBIGINT % 100) < 80"
 def _folds(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(training, held-out) rows of the comments that someone labelled, by the hash of their text."""
     known = A.read_table(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct()
-    lab = M.labelled_comments(A.comments(spark, sf).join(known, "id", "left_semi"))
+    lab = M.labelled_comments(A.comments(spark, sf, "id", "commentText", "sentiment").join(known, "id", "left_semi"))
     lab = M.hash_split(lab, F.col("text"), 0.8)
     return tuple(lab.where(F.col("split") == name).drop("split") for name in ("train", "test"))
 
@@ -215,7 +215,7 @@ def u1_score_comments(spark: SparkSession, sf: str) -> DataFrame:
     """U6 + U1: train the sentiment classifier on the hashed 0.8 fold, score every comment: as many
     rows as comments, every label in the enum, probabilities adding up to one."""
     model = M.train_sentiment(_folds(spark, sf)[0])
-    rows = A.comments(spark, sf).select("id", F.col("commentText").alias("text"))
+    rows = A.comments(spark, sf, "id", "commentText").select("id", F.col("commentText").alias("text"))
     scored = M.score(model, rows)
     total = F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda a, x: a + x)
     return scored.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"),
@@ -277,7 +277,7 @@ def u7_search_run_log(spark: SparkSession, sf: str) -> DataFrame:
     log, path = scratch_path(spark, "run-log"), scratch_path(spark, "best-model")
     M.log_runs(spark, log, [(params, {"val_log_loss": loss}) for params, loss in results])
     M.save_model(best, path)
-    rows = A.comments(spark, sf).select("id", F.col("commentText").alias("text"))
+    rows = A.comments(spark, sf, "id", "commentText").select("id", F.col("commentText").alias("text"))
     a = M.score(best, rows).select("id", F.col("Predicted").alias("a"))
     b = M.score(M.load_model(path), rows).select("id", F.col("Predicted").alias("b"))
     same = a.join(b, "id").agg(F.count(F.lit(1)).alias("n_scored"),
@@ -326,7 +326,7 @@ def f16_report_values(spark: SparkSession, sf: str) -> DataFrame:
     w = A.comments_wide(spark, sf)
     a = P.mean_rows_per_key(w, "videoId")
     b = P.first_bucket_share(P.occurrence_histogram(w, "authorId"))
-    c = P.pct_where(A.comments(spark, sf), {"pct_en": F.col("language") == "en"})
+    c = P.pct_where(A.comments(spark, sf, "language"), {"pct_en": F.col("language") == "en"})
     return with_scalars(with_scalars(a, b), c).select(
         report_round(F.col("mean_rows")).alias("mean_rows"),
         report_round(F.col("pct")).alias("pct_first_bucket"),

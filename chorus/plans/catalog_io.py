@@ -38,18 +38,39 @@ def s1_comment_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     return FS.read_comment_dataset(spark, path)
 
 
+@register("s1_foreign_csv_scan", A.with_adapters("dataset") + f"SELECT {_DATASET_ALL} FROM dataset")
+def s1_foreign_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The comment dataset as another program writes it (texts quoted where needed, with their line breaks,
+    nothing coded) scanned back as it is."""
+    d = A.dataset(spark, sf)
+    path = scratch_path(spark, "foreign-csv")
+    fields = []
+    for f in d.schema.fields:
+        value = F.col(f.name)
+        text = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if f.dataType.typeName() == "timestamp_ntz" else value.cast("string")
+        quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+        fields.append(F.coalesce(F.when(F.translate(text, '",\n\r', "") != text, quoted).otherwise(text), F.lit("")))
+    rows = d.select(F.concat_ws(",", *fields).alias("line"), F.xxhash64("CommentID").alias("h"))
+    # one task writes one file, its header first
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    heads = spark.range(parts).select(F.lit(_DATASET_ALL.replace(", ", ",")).alias("line"), F.col("id").alias("part"), F.lit(0).alias("o"))
+    both = rows.select("line", F.pmod("h", F.lit(parts)).alias("part"), F.lit(1).alias("o")).unionByName(heads)
+    both.repartition("part").sortWithinPartitions("part", "o").select("part", "line").write.partitionBy("part").text(path)
+    return FS.read_comment_dataset(spark, path, foreign=True)
+
+
 @register("s2_language_sidecar", A.with_adapters("dataset", "comments") + """
 SELECT d.CommentID, d.Sentiment FROM dataset d JOIN comments c ON CAST(c.id AS VARCHAR) = d.CommentID
 WHERE c.language = 'en'""")
 def s2_language_sidecar(spark: SparkSession, sf: str) -> DataFrame:
     """S3 + S2 + J1 + P6: store the language column as a keyed sidecar, read it back,
     attach it by key and keep English comments."""
-    c = A.comments(spark, sf).select(F.col("id").cast("string").alias("CommentID"),
+    c = A.comments(spark, sf, "id", "language").select(F.col("id").cast("string").alias("CommentID"),
                                      F.col("language").alias("Language"))
     path = scratch_path(spark, "language-sidecar")
     FS.write_sidecar(c, "CommentID", "Language", path)
     side = FS.read_language_sidecar(spark, path)
-    d = A.dataset(spark, sf).select("CommentID", "Sentiment")
+    d = A.dataset(spark, sf, "CommentID", "Sentiment")
     return P.keep_value(J.attach_by_key(d, side, "CommentID", "inner"), "Language", "en") \
         .select("CommentID", "Sentiment")
 
@@ -94,7 +115,7 @@ _VIDEO_ID_SQL = "CAST('0x' || substr(md5(substr(md5(CAST(videoId AS VARCHAR)), 1
 def _comment_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Every comment, in pages that name its video by the video's key."""
     key = F.substring(F.md5(F.col("videoId").cast("string")), 1, 11)
-    return JS.comment_pages(A.comments(spark, sf).withColumn("videoKey", key), 100)
+    return JS.comment_pages(A.comments(spark, sf, "id", "videoId", "commentText", "likeCount", "publishingDate").withColumn("videoKey", key), 100)
 
 
 def _with_number(comments: DataFrame) -> DataFrame:
@@ -140,7 +161,7 @@ def s8_delete_videos(spark: SparkSession, sf: str) -> DataFrame:
 SELECT id, videoId, sentiment, likeCount FROM comments ORDER BY id LIMIT 5""")
 def s9_preview(spark: SparkSession, sf: str) -> DataFrame:
     """The first five comments by id."""
-    c = A.comments(spark, sf).select("id", "videoId", "sentiment", "likeCount")
+    c = A.comments(spark, sf, "id", "videoId", "sentiment", "likeCount")
     return FS.preview(c, ["id"], 5)
 
 
@@ -149,7 +170,7 @@ SELECT videoId, id // 1000 AS part, list(length(commentText) ORDER BY id) AS len
 FROM comments GROUP BY ALL""")
 def s11_aligned_lists(spark: SparkSession, sf: str) -> DataFrame:
     """Per video, the lengths and likes of its comments as aligned lists, in bounded parts."""
-    c = A.comments(spark, sf).select("videoId", "id", F.char_length("commentText").cast("bigint").alias("lengths"),
+    c = A.comments(spark, sf, "videoId", "id", "commentText", "likeCount").select("videoId", "id", F.char_length("commentText").cast("bigint").alias("lengths"),
                                      F.col("likeCount").alias("likes"))
     return FS.aligned_lists(c, ["videoId"], ["lengths", "likes"], "id", 1000)
 
@@ -190,7 +211,7 @@ def p13_rejected_links(spark: SparkSession, sf: str) -> DataFrame:
 @register("j1_positional_sidecar", A.with_adapters("comments") + "SELECT id, language FROM comments")
 def j1_positional_sidecar(spark: SparkSession, sf: str) -> DataFrame:
     """J1 (positional): attach an un-keyed column by row position after the same ordering."""
-    c = A.comments(spark, sf)
+    c = A.comments(spark, sf, "id", "language")
     left = c.select("id").orderBy("id")
     side = c.select("id", "language").orderBy("id").select("language")
     return J.attach_by_position(left, side)
@@ -243,7 +264,7 @@ def st1_scored_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """ST1 + S6 + U1: land comment pages, score them with a trained sentiment model while they are
     ingested, store them; the stored comments refer to the video's id (``has_label``: the stored
     sentiment is one of the three)."""
-    c = A.comments(spark, sf)
+    c = A.comments(spark, sf, "id", "commentText", "sentiment")
     model = M.train_sentiment(M.labelled_comments(c))
     landing, sink = scratch_path(spark, "landing"), scratch_path(spark, "stream-sink")
     _comment_pages(spark, sf).write.json(landing)

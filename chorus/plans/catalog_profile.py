@@ -100,7 +100,7 @@ def a9_null_counts(spark: SparkSession, sf: str) -> DataFrame:
 SELECT CountryCode, n, n / (SELECT sum(n) FROM vc) * 100.0 AS pct FROM vc""")
 def a10_country_pct(spark: SparkSession, sf: str) -> DataFrame:
     """A10 + J6: rows per country code with percent of all rows, descending."""
-    return P.value_counts_pct(A.dataset(spark, sf), "CountryCode")
+    return P.value_counts_pct(A.dataset(spark, sf, "CountryCode"), "CountryCode")
 
 
 @register("a11_sentiment_counts", A.with_adapters("comments_wide") + """
@@ -114,7 +114,7 @@ def a11_sentiment_counts(spark: SparkSession, sf: str) -> DataFrame:
 SELECT language, count(*) AS n FROM comments GROUP BY language""")
 def a11_language_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Rows per language."""
-    return P.value_counts(A.comments(spark, sf), "language")
+    return P.value_counts(A.comments(spark, sf, "language"), "language")
 
 
 @register("a11_category_counts", _CW_SQL + "SELECT category, count(*) AS n FROM cw GROUP BY category")
@@ -216,7 +216,7 @@ SELECT l.sentiment, avg(length) AS mean, round(stddev_samp(length), 9) AS std, a
 FROM lens l JOIN med USING (sentiment) GROUP BY l.sentiment""")
 def a16_length_stats(spark: SparkSession, sf: str) -> DataFrame:
     """A16 + T4: median, mean and sample std of comment length per sentiment."""
-    out = P.length_stats(A.comments(spark, sf), "commentText", "sentiment")
+    out = P.length_stats(A.comments(spark, sf, "commentText", "sentiment"), "commentText", "sentiment")
     return out.withColumn("std", F.round("std", 9))
 
 
@@ -242,7 +242,7 @@ SELECT bin, count(*) AS n, any_value(lo) + bin * any_value(w) AS bin_start,
        any_value(lo) + (bin + 1) * any_value(w) AS bin_end FROM b GROUP BY bin""")
 def a17_length_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """A17 + A12: 450-bin histogram of comment length, limited to [1, q99]."""
-    lens = A.comments(spark, sf).select(char_length(F.col("commentText")).alias("x"))
+    lens = A.comments(spark, sf, "commentText").select(char_length(F.col("commentText")).alias("x"))
     counts = S.value_counts(lens, "x")
     q99 = S.quantiles(lens, "x", [0.99], counts=counts).select(F.col("value").alias("__q99"))
     kept = J.with_scalars(counts, q99).where((F.col("x") >= 1) & (F.col("x") <= F.col("__q99")))
@@ -268,7 +268,7 @@ SELECT avg(CAST(coalesce(language = 'en', false) AS DOUBLE)) * 100.0 AS pct_en,
        avg(CAST(coalesce(replies > 0, false) AS DOUBLE)) * 100.0 AS pct_replied FROM comments""")
 def a28_pct_predicates(spark: SparkSession, sf: str) -> DataFrame:
     """Percent of comments in English, with likes, with replies."""
-    c = A.comments(spark, sf)
+    c = A.comments(spark, sf, "language", "likeCount", "replies")
     return P.pct_where(c, {"pct_en": F.col("language") == "en", "pct_liked": F.col("likeCount") > 0,
                            "pct_replied": F.col("replies") > 0})
 
@@ -277,7 +277,7 @@ def a28_pct_predicates(spark: SparkSession, sf: str) -> DataFrame:
 SELECT id, videoId, sentiment FROM comments WHERE language = 'en'""")
 def p6_english_comments(spark: SparkSession, sf: str) -> DataFrame:
     """Keep English comments."""
-    return P.keep_value(A.comments(spark, sf), "language", "en").select("id", "videoId", "sentiment")
+    return P.keep_value(A.comments(spark, sf, "id", "videoId", "sentiment", "language"), "language", "en").select("id", "videoId", "sentiment")
 
 
 @register("p7_top_author_names", A.with_adapters("dataset") + """
@@ -285,7 +285,7 @@ SELECT d.CommentID, d.AuthorName FROM dataset d WHERE d.AuthorChannelID =
   (SELECT AuthorChannelID FROM dataset GROUP BY AuthorChannelID ORDER BY count(*) DESC, AuthorChannelID LIMIT 1)""")
 def p7_top_author_names(spark: SparkSession, sf: str) -> DataFrame:
     """P7 + A8: names on the rows of the most frequent author channel."""
-    d = A.dataset(spark, sf)
+    d = A.dataset(spark, sf, "CommentID", "AuthorName", "AuthorChannelID")
     top = P.most_frequent(d, "AuthorChannelID").select("AuthorChannelID")
     return d.join(F.broadcast(top), "AuthorChannelID", "left_semi").select("CommentID", "AuthorName")
 
@@ -295,7 +295,7 @@ SELECT id, videoId, length(commentText) AS commentLength FROM comments
 WHERE length(commentText) = (SELECT max(length(commentText)) FROM comments)""")
 def p8_longest_comments(spark: SparkSession, sf: str) -> DataFrame:
     """P8 + J6: every comment of maximal length (ties kept)."""
-    c = A.comments(spark, sf).select("id", "videoId", "commentText")
+    c = A.comments(spark, sf, "id", "videoId", "commentText")
     return P.rows_at_max(c, char_length(F.col("commentText")), "commentLength").drop("commentText")
 
 
@@ -303,7 +303,7 @@ def p8_longest_comments(spark: SparkSession, sf: str) -> DataFrame:
 SELECT CommentID AS comment_id, Sentiment AS label, Likes AS likes FROM dataset""")
 def p10_rename(spark: SparkSession, sf: str) -> DataFrame:
     """P10: rename and reorder columns."""
-    d = A.dataset(spark, sf).select("CommentID", "Sentiment", "Likes")
+    d = A.dataset(spark, sf, "CommentID", "Sentiment", "Likes")
     return P.rename(d, {"CommentID": "comment_id", "Sentiment": "label", "Likes": "likes"})
 
 
@@ -318,7 +318,7 @@ def p11_likes_shift(spark: SparkSession, sf: str) -> DataFrame:
 SELECT language, count(*) AS n FROM comments GROUP BY language ORDER BY n DESC, language LIMIT 10""")
 def t3_top_languages(spark: SparkSession, sf: str) -> DataFrame:
     """The ten most common languages."""
-    return P.top_values(A.comments(spark, sf), "language", 10)
+    return P.top_values(A.comments(spark, sf, "language"), "language", 10)
 
 
 @register("f20_category_order", A.with_adapters("comments", "videos") + """
@@ -327,7 +327,7 @@ def t3_top_languages(spark: SparkSession, sf: str) -> DataFrame:
 SELECT category, first, row_number() OVER (ORDER BY first, category) - 1 AS position FROM f""")
 def f20_category_order(spark: SparkSession, sf: str) -> DataFrame:
     """categories in first-appearance order of the comments."""
-    c = A.comments(spark, sf).select("id", "videoId")
+    c = A.comments(spark, sf, "id", "videoId")
     v = A.videos(spark, sf).select(F.col("id").alias("__vid"), "category")
     cv = c.join(v, c["videoId"] == v["__vid"], "inner")
     return P.first_appearance_order(cv, "category", "id")

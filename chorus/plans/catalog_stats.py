@@ -41,7 +41,7 @@ def a12_comments_per_video_quantiles(spark: SparkSession, sf: str) -> DataFrame:
 SELECT * FROM """ + _nearest_sql("lens", "length", [0.99], "sentiment"))
 def a12_length_q99_by_sentiment(spark: SparkSession, sf: str) -> DataFrame:
     """A12 (grouped): the .99 nearest quantile of comment length per sentiment."""
-    c = A.comments(spark, sf).where(F.col("sentiment").isNotNull())
+    c = A.comments(spark, sf, "sentiment", "commentText").where(F.col("sentiment").isNotNull())
     lens = c.select("sentiment", char_length(F.col("commentText")).alias("length"))
     return S.quantiles(lens, "length", [0.99], ["sentiment"])
 
@@ -103,7 +103,7 @@ SELECT CAST(N AS BIGINT) AS n, k, round(H, 9) AS statistic, round(exp(-(H / 2.0)
 , src AS (SELECT sentiment AS g, length(commentText) AS v FROM comments)""" + _kruskal_sql("src"))
 def a23_kruskal_length(spark: SparkSession, sf: str) -> DataFrame:
     """A23 + W2: Kruskal-Wallis test of comment length across the three sentiments."""
-    c = A.comments(spark, sf).select("sentiment", char_length(F.col("commentText")).alias("length"))
+    c = A.comments(spark, sf, "sentiment", "commentText").select("sentiment", char_length(F.col("commentText")).alias("length"))
     t = S.kruskal_wallis(c, "length", "sentiment")
     return t.select("n", "k", F.round("statistic", 9).alias("statistic"),
                     F.round("p_value", 12).alias("p_value"), "reject")

@@ -38,23 +38,30 @@ def sentiment_from_labels(toxic: Column, quality: Column, key: Column) -> Column
             .otherwise(by_id))
 
 
-def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents")
-    e = read_table(spark, sf_dir, "events")
-    lab = read_table(spark, sf_dir, "labels")
-    joined = (d.join(e, d["doc_id"] == e["event_id"], "left")
-              .join(lab, "doc_id", "left"))
-    return joined.select(
-        F.col("doc_id").alias("id"),
-        F.substring("source", 4, 1 << 20).cast("bigint").alias("videoId"),
-        F.col("text").alias("commentText"),
-        sentiment_from_labels(F.col("toxic"), F.col("quality"), F.col("doc_id")).alias("sentiment"),
-        F.floor("value").cast("bigint").alias("likeCount"),
-        F.regexp_extract("props", "([0-9]+)", 1).cast("bigint").alias("replies"),
-        F.col("ts").alias("publishingDate"),
-        F.col("user_id").alias("authorId"),
-        F.col("lang").alias("language"),
-    )
+def comments(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+    """The comments, or the ``wanted`` columns of them.
+
+    Likes, replies, dates and authors come from ``events``, sentiments from ``labels``. Neither is known to have one row an
+    id, so Spark could not leave an unused join out by itself: tables that no wanted column needs are not joined.
+    """
+    rows = read_table(spark, sf_dir, "documents")
+    columns = {
+        "id": F.col("doc_id"),
+        "videoId": F.substring("source", 4, 1 << 20).cast("bigint"),
+        "commentText": F.col("text"),
+        "sentiment": sentiment_from_labels(F.col("toxic"), F.col("quality"), F.col("doc_id")),
+        "likeCount": F.floor("value").cast("bigint"),
+        "replies": F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"),
+        "publishingDate": F.col("ts"),
+        "authorId": F.col("user_id"),
+        "language": F.col("lang"),
+    }
+    wanted = wanted or tuple(columns)
+    if {"likeCount", "replies", "publishingDate", "authorId"} & set(wanted):
+        rows = rows.join(read_table(spark, sf_dir, "events"), F.col("doc_id") == F.col("event_id"), "left")
+    if "sentiment" in wanted:
+        rows = rows.join(read_table(spark, sf_dir, "labels"), "doc_id", "left")
+    return rows.select(*[columns[c].alias(c) for c in wanted])
 
 
 def comments_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,25 +108,28 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "categoryId", "category", schemas.NO_CATEGORY)
 
 
-def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The comment dataset in its CSV layout."""
-    c = comments(spark, sf_dir)
-    v = videos_raw(spark, sf_dir).select(
-        F.col("id").alias("vid"), "videoKey", "videoName", "categoryId")
-    return c.join(v, c["videoId"] == v["vid"], "left").select(
-        F.col("id").cast("string").alias("CommentID"),
-        F.col("videoKey").alias("VideoID"),
-        F.col("videoName").alias("VideoTitle"),
-        F.concat(F.lit("user"), F.col("authorId").cast("string")).alias("AuthorName"),
-        F.concat(F.lit("UC"), F.col("authorId").cast("string")).alias("AuthorChannelID"),
-        F.col("commentText").alias("CommentText"),
-        F.col("sentiment").alias("Sentiment"),
-        F.col("likeCount").alias("Likes"),
-        F.col("replies").alias("Replies"),
-        F.col("publishingDate").alias("PublishedAt"),
-        F.upper("language").alias("CountryCode"),
-        F.col("categoryId").cast("int").alias("CategoryID"),
-    )
+def dataset(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+    """The comment dataset in its CSV layout, or the ``wanted`` columns of it, from the tables these need."""
+    columns = {  # column: (its expression, what it needs of the comments)
+        "CommentID": (F.col("id").cast("string"), "id"),
+        "VideoID": (F.col("videoKey"), "videoId"),
+        "VideoTitle": (F.col("videoName"), "videoId"),
+        "AuthorName": (F.concat(F.lit("user"), F.col("authorId").cast("string")), "authorId"),
+        "AuthorChannelID": (F.concat(F.lit("UC"), F.col("authorId").cast("string")), "authorId"),
+        "CommentText": (F.col("commentText"), "commentText"),
+        "Sentiment": (F.col("sentiment"), "sentiment"),
+        "Likes": (F.col("likeCount"), "likeCount"),
+        "Replies": (F.col("replies"), "replies"),
+        "PublishedAt": (F.col("publishingDate"), "publishingDate"),
+        "CountryCode": (F.upper("language"), "language"),
+        "CategoryID": (F.col("categoryId").cast("int"), "videoId"),
+    }
+    wanted = wanted or tuple(columns)
+    rows = comments(spark, sf_dir, *dict.fromkeys(columns[c][1] for c in wanted))
+    if {"VideoID", "VideoTitle", "CategoryID"} & set(wanted):
+        v = videos_raw(spark, sf_dir).select(F.col("id").alias("vid"), "videoKey", "videoName", "categoryId")
+        rows = rows.join(v, F.col("videoId") == F.col("vid"), "left")
+    return rows.select(*[columns[c][0].alias(c) for c in wanted])
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import DATASET_SCHEMA, LANGUAGE_SIDECAR_SCHEMA
+from .records import read_foreign_csv
 
 #: How NULL is written; no text is written like this, as backslashes are.
 NULL = "\\N"
 CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": "false",
                "ignoreTrailingWhiteSpace": "false", "nullValue": NULL, "emptyValue": "",
                "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "mode": "FAILFAST"}
-FOREIGN_OPTIONS = CSV_OPTIONS | {"multiLine": "true", "nullValue": ""}
+#: Other programs' records, one at a time: line breaks inside quotes stay as they are, an empty field is NULL.
+FOREIGN_OPTIONS = CSV_OPTIONS | {"header": "false", "multiLine": "true", "nullValue": ""}
 
 
 def _on_texts(df: DataFrame, change) -> DataFrame:
@@ -24,29 +26,31 @@ def _on_texts(df: DataFrame, change) -> DataFrame:
 
 
 def _one_line(text: Column) -> Column:
-    """Line breaks (and the marks used for them, and a backslash) as %XX, an empty text as %00."""
+    """Line breaks (and the marks used for them, and a backslash) as %XX, an empty text as %00; most texts have none of these."""
+    coded = text
     for c, code in (("%", "%25"), ("\n", "%0A"), ("\r", "%0D"), ("\\", "%5C")):
-        text = F.replace(text, F.lit(c), F.lit(code))
-    return F.when(text == "", F.lit("%00")).otherwise(text)
+        coded = F.replace(coded, F.lit(c), F.lit(code))
+    return F.when(text == "", F.lit("%00")).when(F.translate(text, "%\n\r\\", "") != text, coded).otherwise(text)
 
 
 def _as_written(text: Column) -> Column:
-    text = F.when(text == "%00", F.lit("")).otherwise(text)
+    plain = text
     for c, code in (("\\", "%5C"), ("\r", "%0D"), ("\n", "%0A"), ("%", "%25")):
-        text = F.replace(text, F.lit(code), F.lit(c))
-    return text
+        plain = F.replace(plain, F.lit(code), F.lit(c))
+    return F.when(F.contains(text, F.lit("%")), F.when(text == "%00", F.lit("")).otherwise(plain)).otherwise(text)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, foreign: bool = False) -> DataFrame:
     """Scan CSV with a header and an explicit schema (never inferred: inference is an extra
     pass over the data).
 
-    Files of ``write_csv`` hold one record per line, so one file can be read by many tasks.
-    ``foreign`` reads other programs' files, where a quoted text may run over lines: each file is
-    then read by one task, and an empty field is NULL.
+    Files of ``write_csv`` hold one record per line. ``foreign`` reads other programs' files, where a quoted
+    text may run over lines and nothing is coded (``records``); an empty field is NULL. Either way one file
+    can be read by many tasks.
     """
-    reader = spark.read.schema(schema).options(**(FOREIGN_OPTIONS if foreign else CSV_OPTIONS))
-    return reader.csv(path) if foreign else _on_texts(reader.csv(path), _as_written)
+    if foreign:
+        return read_foreign_csv(spark, path, schema, FOREIGN_OPTIONS)
+    return _on_texts(spark.read.schema(schema).options(**CSV_OPTIONS).csv(path), _as_written)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", rows_per_file: int = 1_000_000) -> None:
@@ -54,9 +58,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", rows_per_fi
     _on_texts(df, _one_line).write.mode(mode).options(**CSV_OPTIONS).option("maxRecordsPerFile", rows_per_file).csv(path)
 
 
-def read_comment_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """The comment dataset CSV."""
-    return read_csv(spark, path, DATASET_SCHEMA)
+def read_comment_dataset(spark: SparkSession, path: str, foreign: bool = False) -> DataFrame:
+    """The comment dataset CSV; ``foreign`` for a file that another program wrote."""
+    return read_csv(spark, path, DATASET_SCHEMA, foreign)
 
 
 def write_sidecar(df: DataFrame, key: str, col: str, path: str, mode: str = "errorifexists") -> None:
@@ -64,14 +68,14 @@ def write_sidecar(df: DataFrame, key: str, col: str, path: str, mode: str = "err
     write_csv(df.select(key, col), path, mode)
 
 
-def read_language_sidecar(spark: SparkSession, path: str) -> DataFrame:
+def read_language_sidecar(spark: SparkSession, path: str, foreign: bool = False) -> DataFrame:
     """The language sidecar (CommentID, Language)."""
-    return read_csv(spark, path, LANGUAGE_SIDECAR_SCHEMA)
+    return read_csv(spark, path, LANGUAGE_SIDECAR_SCHEMA, foreign)
 
 
-def load_splits(spark: SparkSession, paths: Mapping[str, str], schema: T.StructType) -> DataFrame:
+def load_splits(spark: SparkSession, paths: Mapping[str, str], schema: T.StructType, foreign: bool = False) -> DataFrame:
     """Named splits from several files, one ``split`` column."""
-    parts = [read_csv(spark, p, schema).withColumn("split", F.lit(name)) for name, p in paths.items()]
+    parts = [read_csv(spark, p, schema, foreign).withColumn("split", F.lit(name)) for name, p in paths.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -120,3 +120,18 @@ def test_stream_ingest_scores_and_dedupes(spark, split):
     assert out.count() == c.count() == out.select("id").distinct().count()
     assert out.where("sentiment IS NULL").count() == 0
     assert {r[0] for r in out.select("sentiment").distinct().collect()} <= {"Positive", "Neutral", "Negative"}
+
+
+def test_a_null_text_is_an_empty_one(spark, split):
+    train, _ = split
+    rows = train.limit(40).unionByName(train.limit(2).withColumn("text", F.lit(None).cast("string")).withColumn("id", -F.col("id") - 1))
+    model = M.train_sentiment(rows)
+    asked = spark.createDataFrame([(1, None), (2, ""), (3, "plain words")], "id long, text string")
+    scored = M.score(model, asked).collect()
+    got = {r["id"]: (r["Predicted"], r["probability"]) for r in scored}
+    assert len(got) == 3 and got[1] == got[2] and {r["id"]: r["text"] for r in scored} == {1: None, 2: "", 3: "plain words"}
+    docs = spark.createDataFrame([(1, "ein zwei drei", "de"), (2, "one two three", "en"), (3, None, "en"), (4, "", "de")], "doc_id long, text string, lang string")
+    langs = M.languages_of(docs)
+    rows = M.language_training_rows(docs, langs)
+    found = M.predict_language(M.language_pipeline(64).fit(rows), rows.select("id", "text"), langs).collect()
+    assert len(found) == 4 and all(r["language"] in langs for r in found)

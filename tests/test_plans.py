@@ -47,3 +47,18 @@ def test_no_python_in_core_queries(spark):
                  "p2_video_info", "a18_confusion_matrix"):
         p = plan(spark, name)
         assert "Python" not in p and "ArrowEvalPython" not in p, name
+
+
+def test_tables_that_no_column_needs_are_not_joined(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("f3_words", "f14_token_ids", "f15_token_length", "u4_batched_map", "a10_country_pct", "a11_language_counts", "p12_comment_lengths",
+                     "p6_english_comments", "a26_category_words"):
+            p = plan(spark, name)
+            wanted = {"p6_english_comments": 1, "p12_comment_lengths": 1, "a26_category_words": 1}.get(name, 0)  # labels, labels, videos
+            assert p.count("SortMergeJoin") == wanted, name
+            assert "events.parquet" not in p, name
+        p = plan(spark, "p9_outlier_cut")
+        assert "SortMergeJoin" not in p and "labels.parquet" not in p and "events.parquet" not in p
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
