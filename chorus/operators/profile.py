@@ -38,6 +38,21 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], count_null: bool = True,
     return df.agg(*aggs)
 
 
+def distinct_sketches(df: DataFrame, by: Column, cols: Sequence[str], lg_k: int = 14) -> DataFrame:
+    """A3: (part, <col>...): one mergeable distinct-count sketch a part (a day, say) and column, of a few kilobytes each.
+
+    Stored, they answer for any set of parts without the rows; new parts are added to them. The standard error is
+    about 1.04 / sqrt(2 ** lg_k), 0.8 percent for 14. NULLs do not count.
+    """
+    return df.groupBy(by.alias("part")).agg(*[F.hll_sketch_agg(c, lg_k).alias(c) for c in cols])
+
+
+def merged_distinct(sketches: DataFrame, cols: Sequence[str], by: Column | None = None) -> DataFrame:
+    """A3: distinct counts (``n_<col>``) over all parts, or over those that share ``by``."""
+    merged = [F.hll_sketch_estimate(F.hll_union_agg(c)).alias(f"n_{c}") for c in cols]
+    return sketches.agg(*merged) if by is None else sketches.groupBy(by.alias("period")).agg(*merged)
+
+
 def mean_rows_per_key(df: DataFrame, key: str) -> DataFrame:
     """A4: rows divided by the number of distinct keys."""
     return df.agg((F.count(F.lit(1)) / F.countDistinct(key)).alias("mean_rows"))

@@ -7,6 +7,8 @@ folder under the shared checkpoint directory, then read it back through the oper
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,6 +159,29 @@ def s8_delete_videos(spark: SparkSession, sf: str) -> DataFrame:
     return ST.rewrite(c2, scratch_path(spark, "comments-after-delete"))
 
 
+@register("s7_bucketed_join", A.with_adapters("comments_wide", "videos") + """
+SELECT w.videoId, w.authorId, w.likeCount, v.videoName, v.category FROM comments_wide w JOIN videos v ON v.id = w.videoId""")
+def s7_bucketed_join(spark: SparkSession, sf: str) -> DataFrame:
+    """S7 + J7: comments and videos stored in equal buckets of the video's id, and joined where they lie."""
+    tag = uuid.uuid4().hex[:12]
+    kept = {}
+    for name, df in (("comments", A.comments_wide(spark, sf).select("videoId", "authorId", "likeCount")),
+                     ("videos", A.videos(spark, sf).select(F.col("id").alias("videoId"), "videoName", "category"))):
+        kept[name] = ST.store_bucketed(df, f"chorus_{name}_{tag}", 8, path=scratch_path(spark, f"bucketed-{name}"))
+    return kept["comments"].join(kept["videos"].hint("merge"), "videoId").select("videoId", "authorId", "likeCount", "videoName", "category")
+
+
+@register("s8_store_delete", A.with_adapters("comments_wide", "videos") + f"""
+SELECT {_WIDE_COLS} FROM comments_wide
+WHERE videoId NOT IN (SELECT id FROM videos WHERE category = 'No category')""")
+def s8_store_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """S7 + S8: comments stored by video, then every uncategorised video deleted: only the files that hold one are rewritten."""
+    store = ST.VideoStore(spark, scratch_path(spark, "video-store"))
+    store.append(A.comments_wide(spark, sf))
+    store.delete(A.videos(spark, sf).where(F.col("category") == "No category").select("id"))
+    return store.read()
+
+
 @register("s9_preview", A.with_adapters("comments") + """
 SELECT id, videoId, sentiment, likeCount FROM comments ORDER BY id LIMIT 5""")
 def s9_preview(spark: SparkSession, sf: str) -> DataFrame:

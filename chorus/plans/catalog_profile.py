@@ -11,7 +11,9 @@ from ..functions.text import char_length
 from ..operators import joins as J
 from ..operators import profile as P
 from ..operators import stats as S
+from ..operators.batches import map_rows
 from ..schemas import LABEL_IDS, LENGTH_HISTOGRAM_BINS
+from ..session import scratch_path
 from ..sources import adapters as A
 from .registry import register
 
@@ -38,6 +40,21 @@ def a3_distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
     return P.distinct_counts(A.comments_wide(spark, sf), ["videoId", "authorId"])
 
 
+@register("a3_distinct_by_month", A.with_adapters("comments_wide") + """
+SELECT date_trunc('month', publishingDate) AS period, count(DISTINCT videoId) AS exact_videoId, count(DISTINCT authorId) AS exact_authorId,
+  true AS videos_within_error, true AS authors_within_error FROM comments_wide GROUP BY 1""")
+def a3_distinct_by_month(spark: SparkSession, sf: str) -> DataFrame:
+    """A3: distinct videos and authors by month from stored daily sketches, within 5 percent of the exact counts (six standard errors)."""
+    w, path = A.comments_wide(spark, sf), scratch_path(spark, "daily-sketches")
+    P.distinct_sketches(w, F.date_trunc("day", "publishingDate"), ["videoId", "authorId"]).write.parquet(path)
+    month = lambda c: F.date_trunc("month", c).cast("timestamp_ntz")
+    told = P.merged_distinct(spark.read.parquet(path), ["videoId", "authorId"], month("part"))
+    exact = w.groupBy(month("publishingDate").alias("period")).agg(F.countDistinct("videoId").alias("exact_videoId"), F.countDistinct("authorId").alias("exact_authorId"))
+    near = lambda c: (F.abs(F.col(f"n_{c}") - F.col(f"exact_{c}")) <= 0.05 * F.col(f"exact_{c}"))
+    return exact.join(told, exact["period"].eqNullSafe(told["period"])).select(
+        exact["period"], "exact_videoId", "exact_authorId", near("videoId").alias("videos_within_error"), near("authorId").alias("authors_within_error"))
+
+
 @register("a4_mean_rows_per_video", A.with_adapters("comments_wide") + """
 SELECT count(*) / count(DISTINCT videoId) AS mean_rows FROM comments_wide""")
 def a4_mean_rows_per_video(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,6 +204,17 @@ def a14_category_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("category", F.round("entropy", 9).alias("entropy")).orderBy("entropy", "category")
 
 
+@register("u3_entropy_rows", _A13_SQL + f"""
+SELECT category, round(-({_ent_term('Negative')} + {_ent_term('Neutral')} + {_ent_term('Positive')}) + 0.0, 9)
+  AS entropy FROM wide""")
+def u3_entropy_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The entropy of A14 as a Python function of each row; the same values."""
+    wide = P.proportions_wide(_wide_with_category(spark, sf), "category", "sentiment")
+    base = math.log(3)
+    found = map_rows(wide, lambda r: -sum(p * math.log(p) / base for p in r[1:] if p > 0), "double", "entropy")
+    return found.select("category", (F.round("entropy", 9) + 0.0).alias("entropy"))
+
+
 @register("a15_sentiment_share", A.with_adapters("comments_wide") + """
 , s AS (SELECT sentiment, sum(likeCount) AS l, sum(replies) AS r FROM comments_wide GROUP BY sentiment)
 SELECT sentiment, l / (SELECT sum(l) FROM s) AS share_likeCount, r / (SELECT sum(r) FROM s) AS share_replies

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .log import CommitLog, writer_of
+from ..sources.log import CommitLog, writer_of
 
 SCHEMA = "day timestamp_ntz, videoId long, sentiment string, n long"
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..schemas import COMMENT_LANDING_SCHEMA
 from ..session import scratch_path
 from ..sources.api_json import latest_copies, read_items, rejected_items, stored_comments
-from .log import CommitLog, Conflict, writer_of
+from ..sources.log import CommitLog, Conflict, writer_of
 
 NO_DAY = "none"
 #: Partitions of the id index.

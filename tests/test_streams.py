@@ -11,7 +11,7 @@ from chorus.session import scratch_path
 from chorus.sources import api_json as JS
 from chorus.streaming import counts as SC
 from chorus.streaming import ingest as SI
-from chorus.streaming import log as L
+from chorus.sources import log as L
 
 ROWS = "videoId long, sentiment string, publishingDate timestamp_ntz"
 DAY = dt.datetime(2024, 1, 1)
