@@ -289,7 +289,6 @@ def maybe_linked(members: DataFrame, likely: DataFrame, labels: DataFrame, reps:
 
 def rest_links(maybe: DataFrame, labels: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """(a, b): a forest, block by block, of the confirmed links between components of one cluster."""
-    maybe = written(maybe, "maybe-linked")
     cluster = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(maybe)) \
         .withColumnRenamed("label", "cluster")
     open_ = maybe.select(F.col("a").alias("node")).join(cluster, "node").select("cluster").distinct()
@@ -358,7 +357,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc
     reps = written(feats_rep.filter("n_shingles > 0 and doc_id is not null and (rep is null or rep = doc_id)")
                    .select("doc_id", "n_shingles", "sig", "keys", F.coalesce("copies", F.lit(1)).alias("copies"))
                    .dropDuplicates(["doc_id", "sig"]), "distinct-sets")
+    # most keys are one document's alone: the keys are counted by themselves, and only shared ones go on with their documents
+    shared = written(reps.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key"), "shared-keys")
     rows = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), "copies")
+    rows = written(rows.join(small_or_plain(shared), "key", "left_semi"), "bucket-rows")
     hubs = rows.groupBy("key").agg(F.max(F.struct("copies", F.xxhash64("rep", "key").alias("h"), "rep")).alias("hub"),
                                    F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", F.col("hub.rep").alias("hub"))
     members = written(rows.join(hubs, "key").select("key", "rep", "hub"), "bucket-members")
@@ -369,8 +371,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc
         .select("p.a", "p.b").distinct()
     links = written(confirmed(best, docs, threshold), "star-links")
     labels = components(links)
-    more = rest_links(maybe_linked(members, likely, labels, reps, threshold), labels, docs, threshold)
-    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    maybe = written(maybe_linked(members, likely, labels, reps, threshold), "maybe-linked")
+    more = None if maybe.isEmpty() else written(rest_links(maybe, labels, docs, threshold), "rest-links")
+    if more is not None and not more.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     out = feats_rep.drop("sig", "keys").withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
     out = out.withColumn("rep", F.coalesce("rep", "doc_id")).join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     out = out.withColumn("component_id", F.coalesce("label", "rep"))

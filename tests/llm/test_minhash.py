@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from chorus.llm import minhash
+from chorus.llm import graph, minhash
 from chorus.llm.graph import components
 
 
@@ -91,6 +91,28 @@ def test_estimate_is_near_the_truth():
     assert max(err) < 0.12
 
 
+def test_components_of_large_graphs_with_hot_nodes(spark, monkeypatch):
+    """The form for many edges, in which only heavy nodes are broadcast."""
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
+    monkeypatch.setattr(graph, "HEAVY", 5)
+    rng = random.Random(6)
+    edges = [(50, i) for i in range(60, 120)] + [(i, 300) for i in range(200, 240)] + [(119, 200)] + [(1000 + i, 1001 + i) for i in range(12)]
+    edges += [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {x: find(x) for x in list(parent)}
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
