@@ -353,10 +353,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc
     feats = written(features(docs), "shingle-features")
     same = written(feats.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
                    .filter("copies > 1"), "equal-sets")
-    feats_rep = feats.join(same, "digest", "left")
-    reps = written(feats_rep.filter("n_shingles > 0 and doc_id is not null and (rep is null or rep = doc_id)")
-                   .select("doc_id", "n_shingles", "sig", "keys", F.coalesce("copies", F.lit(1)).alias("copies"))
-                   .dropDuplicates(["doc_id", "sig"]), "distinct-sets")
+    feats_rep = feats.join(small_or_plain(same, 500_000), "digest", "left")  # a digest and two longs a row
+    own = feats_rep.filter("n_shingles > 0 and doc_id is not null") \
+        .select("doc_id", "n_shingles", "sig", "keys", F.coalesce("copies", F.lit(1)).alias("copies"), "rep")
+    # only rows whose set is repeated can be repeated rows
+    reps = written(own.filter("rep is null").unionByName(own.filter("rep = doc_id").dropDuplicates(["doc_id", "sig"])).drop("rep"), "distinct-sets")
     # most keys are one document's alone: the keys are counted by themselves, and only shared ones go on with their documents
     shared = written(reps.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key"), "shared-keys")
     rows = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), "copies")
