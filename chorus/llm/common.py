@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import shutil
 import tempfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +35,34 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the workers."""
+def map_arrow(df: DataFrame, run, schema: str, after=None) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers.
+
+    ``after`` is called in the worker at the end of each task: workers are used again, by other steps too, and keep what
+    they hold (see ``give_back``).
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run if after is None else _ended(run, after), schema)
+
+
+def _ended(run, after):
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            after()
+
+    return whole
+
+
+def give_back() -> None:
+    """Return memory that this worker has freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library; its own policy holds
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorus.llm.common import map_arrow, ship, small_or_plain, written
+from chorus.llm.common import give_back, map_arrow, ship, small_or_plain, written
 from chorus.llm.graph import components
 from chorus.llm.wordsplit import slices
 
@@ -44,6 +44,8 @@ MARGIN = 4.5
 #: Rows of a block and of a task, about: compared by registers, and by full sets.
 BLOCK, TASK_ROWS = 1024, 20_000
 SET_BLOCK, SET_TASK_ROWS = 256, 2_000
+#: Bytes of text whose words are held at a time (one text at least).
+SLICE = 1_000_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63],
                 dtype=np.uint64)
@@ -62,6 +64,12 @@ class _WordHash(dict):
 _words = _WordHash()
 
 
+def _forget() -> None:
+    """At the end of a task: the words, and the memory they took."""
+    _words.clear()
+    give_back()
+
+
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles (A-Z lower-cased, ASCII white space splits)."""
     words = (text or "").encode().lower().split()
@@ -157,7 +165,7 @@ def features(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column(1)
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE):
                 sets = [shingle_set(t) for t in texts.slice(lo, hi - lo).to_pylist()]
                 regs = [registers(s) for s in sets]
                 yield pa.record_batch([
@@ -166,7 +174,7 @@ def features(docs: DataFrame) -> DataFrame:
                     pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([band_keys(r) for r in regs], pa.list_(pa.int64()))],
                     names=["doc_id", "n_shingles", "digest", "sig", "keys"])
 
-    return map_arrow(docs, run, "doc_id long, n_shingles long, digest binary, sig binary, keys array<long>")
+    return map_arrow(docs, run, "doc_id long, n_shingles long, digest binary, sig binary, keys array<long>", _forget)
 
 
 def _with_sides(pairs: DataFrame, values: DataFrame, cols: list[str]) -> DataFrame:
@@ -192,7 +200,7 @@ def estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     sized = written(sized.filter(F.least("n_shingles_a", "n_shingles_b") >= threshold * F.greatest("n_shingles_a", "n_shingles_b"))
                     .select("a", "b"), "sized-pairs")
     sides = _with_sides(sized, reps, ["sig", "n_shingles"]).select("a", "b", "sig_a", "sig_b", "n_shingles_a", "n_shingles_b")
-    return map_arrow(sides, run, "a long, b long, est double")
+    return map_arrow(sides, run, "a long, b long, est double", give_back)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -202,7 +210,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column("text")
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE):
                 sets = [shingle_set(t) for t in texts.slice(lo, hi - lo).to_pylist()]
                 ends = np.cumsum([0] + [len(s) for s in sets])
                 flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
@@ -210,7 +218,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=[*rest, "shingles"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return map_arrow(docs.select(*rest, "text"), run, f"{kinds}, shingles array<long>")
+    return map_arrow(docs.select(*rest, "text"), run, f"{kinds}, shingles array<long>", _forget)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chorus.llm.common import map_arrow, small_or_plain, written
+from chorus.llm.common import give_back, map_arrow, small_or_plain, written
 from chorus.llm.wordsplit import slices
 
 BITS, MASK = 21, (1 << 21) - 1
@@ -136,7 +136,7 @@ def trigram_counts(docs: DataFrame, fold: Column) -> DataFrame:
                     yield pa.record_batch([pa.array(np.full(len(cut), f, np.int32)), pa.array(key[cut]),
                                            pa.array(np.add.reduceat(n, cut) if len(cut) else n)], names=["fold", "key", "n"])
 
-    return map_arrow(docs.select("text", fold.alias("fold")), run, "fold int, key long, n long").groupBy("fold", "key").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select("text", fold.alias("fold")), run, "fold int, key long, n long", give_back).groupBy("fold", "key").agg(F.sum("n").alias("n"))
 
 
 def _discounts(table: DataFrame) -> list[float]:
@@ -222,7 +222,7 @@ def chunks(docs: DataFrame, fold: Column) -> DataFrame:
                             pa.array([len(key)])], names=["chunk", "fold", "ids", "keys", "docs_per_key", "doc", "n", "postings"])
 
     return map_arrow(docs.select("doc_id", "text", fold.alias("fold")), run, "chunk long, fold int, ids array<long>, keys array<long>, "
-                     "docs_per_key binary, doc binary, n binary, postings long")
+                     "docs_per_key binary, doc binary, n binary, postings long", give_back)
 
 
 def scored(docs: DataFrame, models: list[KneserNey], fold: Column | None = None) -> DataFrame:
@@ -256,7 +256,7 @@ def scored(docs: DataFrame, models: list[KneserNey], fold: Column | None = None)
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(size.astype(np.int64)), pa.array(total)],
                                       names=["doc_id", "n_symbols", "logp"])
 
-    return map_arrow(rows, run, "doc_id long, n_symbols long, logp double")
+    return map_arrow(rows, run, "doc_id long, n_symbols long, logp double", give_back)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
