@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chorus.llm.common import map_arrow
+from chorus.llm.common import give_back, map_arrow
 from chorus.llm.wordsplit import slices
 
 BUCKETS, DIM = 1 << 14, 16
@@ -190,4 +190,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                                       names=[id_col, "lang_pred", "score", "rejected"])
 
     kind = src.schema[0].dataType.simpleString()
-    return map_arrow(src, run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
+    return map_arrow(src, run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean", give_back)

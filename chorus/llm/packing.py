@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorus.llm.common import map_arrow, written
+from chorus.llm.common import give_back, map_arrow, written
 from chorus.llm.wordsplit import WordCodes, WordSplitter, byte_chars, slices
 
 #: sequence_id = partition number * ROOM + running number; merged leftovers lie above MERGED.
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, open_windows: int = 16, e
             seq += full
         yield out.take()
 
-    first = written(map_arrow(src, run, ROW), "packed")
+    first = written(map_arrow(src, run, ROW, give_back), "packed")
     left = first.filter("sequence_id < 0").withColumn("grp", F.expr(f"(-1 - sequence_id) div {ROOM * GROUP}"))
 
     def merge(key, table):
