@@ -55,6 +55,12 @@ def cache_for(path: str) -> WordCodes:
     return WordCodes(splitter, library_words(splitter))
 
 
+def _forget() -> None:
+    """At the end of a task: the tokenizer and the words coded so far, which other steps' tasks in this worker do not need."""
+    cache_for.cache_clear()
+    give_back()
+
+
 class Packer:
     """Best fit into a fixed number of open windows; pieces are (doc, start, ids, total)."""
 
@@ -159,7 +165,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, open_windows: int = 16, e
             seq += full
         yield out.take()
 
-    first = written(map_arrow(src, run, ROW, give_back), "packed")
+    first = written(map_arrow(src, run, ROW, _forget), "packed")
     left = first.filter("sequence_id < 0").withColumn("grp", F.expr(f"(-1 - sequence_id) div {ROOM * GROUP}"))
 
     def merge(key, table):
