@@ -228,6 +228,8 @@ def load_model(path: str) -> PipelineModel:
 
 #: Settings kept after a rung: one in so many; rungs: the share of the training fold grows by the same factor.
 KEEP = 3
+#: Rows of each class in the first rung, at least.
+LEAST_OF_CLASS = 5
 
 
 def search_sentiment(train: DataFrame, trials: int = 15, seed: int = 7, train_fraction: float = 0.8, parallel: int = 4) \
@@ -235,7 +237,7 @@ def search_sentiment(train: DataFrame, trials: int = 15, seed: int = 7, train_fr
     """Search over ``trials`` sampled settings by successive halving; the lowest validation log loss wins.
 
     All settings are fitted on a ninth of the training fold, the best third of them on a third, the best of these on
-    all of it; a rung's fits run as parallel jobs. That is about a third of the fits' work without pruning. Shares go by a hash of the
+    all of it (small folds start at a larger share); a rung's fits run as parallel jobs. That is about a third of the fits' work without pruning. Shares go by a hash of the
     text, each within the next, and all rungs are judged on the same validation fold, which no copy of a training text can be in.
 
     Features are made once and kept while the settings are tried. Returns the best model (refit on all of ``train``) and,
@@ -251,7 +253,10 @@ def search_sentiment(train: DataFrame, trials: int = 15, seed: int = 7, train_fr
                                            probabilityCol="probability", metricName="logLoss")
     settings = [{"reg_param": 10 ** rng.uniform(-4, -0.5), "elastic_net": rng.choice([0.0, 0.0, 0.5])} for _ in range(trials)]
     results: dict[int, tuple[dict, float]] = {}
-    left, size = list(range(trials)), 900 // KEEP ** 2
+    # the first rung is the smallest share that holds every class of the fold often enough to be fitted
+    sizes = [900 // KEEP ** i for i in (2, 1, 0)]
+    held = rows.where("__fit").groupBy("label").agg(*[F.count(F.when(F.col("__share") < s, 1)).alias(str(s)) for s in sizes]).collect()
+    left, size = list(range(trials)), next((s for s in sizes[:-1] if all(r[str(s)] >= LEAST_OF_CLASS for r in held)), sizes[-1])
 
     def tried(i: int) -> float:
         # the loss is a mean over rows, so on a share of them the same penalty counts that much more
