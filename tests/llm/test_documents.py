@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -305,6 +306,49 @@ def test_pii_expectation_maximisation_finds_reliable_labelers():
     assert model["email", "1111"] > 0.9 and model["email", "0000"] < 0.2 and len(model) == 16
 
 
+def test_pii_time_is_linear_in_a_text_s_length(spark):
+    """Dumps of numbers, addresses and looser forms among base spans; each took minutes with lists copied for every match."""
+    dumps = ["".join(f"{i * 7919 % 10**9} and 4111 1111 1111 1111, " if i % 50 == 0 else f"{i * 7919 % 10**9} and " for i in range(100_000)),
+             "".join(f"mail u{i}@h{i % 9}.com (555) 010-{i % 10_000:04d} é " for i in range(20_000)), "4111111111111111  " * 20_000]
+    rows = list(enumerate(dumps))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.monotonic()
+    got = digest(pii.find(df))
+    assert time.monotonic() - start < 40
+    check_base(rows, got)
+    spans = {r["doc_id"]: r["spans"].split(",") for r in got}
+    assert sum(x.startswith("phone") for x in spans[1]) == 20_000
+
+
+def test_redaction_of_a_long_text(spark):
+    text = "".join(f"é{i} u{i}@h.com {'x' * (i % 700)} +1 555 010 {i % 9000 + 1000}\n" for i in range(3000))
+    want = re.sub(BASE["phone"], "<PHONE>", re.sub(BASE["email"], "<EMAIL>", text))
+    got = pii.redact(spark.createDataFrame([(1, text), (2, "u@h.com" * 2), (3, "a@b.c +1 555 010 1000")], "doc_id long, text string"), level=1.1)
+    texts = {r["doc_id"]: r["text"] for r in got.collect()}
+    assert texts[1] == want and texts[2] == "<EMAIL>@h.com" and texts[3] == "<EMAIL> <PHONE>"
+
+
+def test_spans_among_others(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        cuts = sorted(rng.sample(range(400), 2 * rng.randint(0, 12)))
+        x = rng.randrange(400)
+        rows.append((i, [(a, b) for a, b in zip(cuts[::2], cuts[1::2])], (x, x + rng.randint(1, 30))))
+    df = spark.createDataFrame(rows, "i int, spans array<struct<start:int,end:int>>, x struct<start:int,end:int>")
+    got = {r["i"]: r["m"] for r in df.select("i", pii._meets(F.col("x"), F.col("spans")).alias("m")).collect()}
+    assert got == {i: any(a < x[1] and x[0] < b for a, b in spans) for i, spans, x in rows}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 255, 256, 257, 5000])
+def test_running_values(spark, n):
+    rng = random.Random(n)
+    values = [rng.randrange(1000) for _ in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    got = df.select(pii._before(F.col("v"), lambda a, b: a + b).alias("s"), pii._before(F.col("v"), lambda a, b: F.greatest(a, b)).alias("m")).first()
+    assert got["s"] == [sum(values[:i]) for i in range(n)] and got["m"] == [max([0, *values[:i]]) for i in range(n)]
+
+
 def test_redaction(spark):
     rows = [(1, "é mail a@b.com, 1.2.3.4.", "x"), (2, None, "y"), (3, "", None), (4, "nothing 12", "z")]
     got = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, source string"))
