@@ -6,10 +6,16 @@ embeddings; the text is their average, followed by a linear softmax. Both layers
 stochastic gradient descent in numpy on a bounded sample of labelled rows: about ``per_lang`` rows of
 each language, picked by a hash of the id, reduced to bucket counts by the tasks that read them.
 
+The softmax has one class more than there are languages, for text of none of them. Its examples are
+made from the sample's own texts: their letters in random order, or as many subwords drawn evenly from
+all buckets, which stand for scripts and languages never seen. So a score can be low however few
+languages are learned, also with one.
+
 A fifth of the sample is kept from training to calibrate: one temperature (least log loss), and a
-score below which a prediction is rejected: the ``reject_share`` quantile of its scores, half at most.
+score below which a prediction is rejected: the ``reject_share`` quantile of its scores in the learned
+languages, half at most: what is more likely of a learned language than not is never rejected.
 
-Prediction multiplies the two layers out once (``BUCKETS`` x languages) and adds up rows of that
+Prediction multiplies the two layers out once (``BUCKETS`` x classes) and adds up rows of that
 table; whole texts, no shuffle.
 
 Defined results: null text or one without a letter is ``und`` with score 0, rejected; ties go to the
@@ -20,6 +26,7 @@ results; only the named columns are read, whatever others are called; no rows gi
 from __future__ import annotations
 
 import functools
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +38,7 @@ from chorus.llm.wordsplit import slices
 
 BUCKETS, DIM = 1 << 14, 16
 ORDERS = (2, 3, 4)
+MOST_STRANGE = 4000  # letters or subwords of a made-up example
 
 
 @functools.lru_cache(maxsize=1)
@@ -72,6 +80,26 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(owners), has[:len(texts)]
 
 
+def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(distinct buckets, their counts) of every text."""
+    bucket, owner, _ = subwords(texts)
+    order = np.argsort(owner, kind="stable")
+    cut = np.searchsorted(owner[order], np.arange(1, len(texts)))
+    return [np.unique(x, return_counts=True) for x in np.split(bucket[order], cut)]
+
+
+def strange(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A bag of no language, made from a text: its letters in random order, or subwords drawn evenly."""
+    seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    rng = np.random.default_rng(seed)
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    letter = np.flatnonzero(_fold()[chars] != 32)
+    if seed % 2:
+        return np.unique(rng.integers(0, BUCKETS, min(3 * len(letter) + 1, MOST_STRANGE)), return_counts=True)
+    chars[letter] = rng.permutation(chars[letter])
+    return _bags([chars[:MOST_STRANGE].tobytes().decode("utf-32-le", "surrogatepass")])[0]
+
+
 def held_out(doc_id: Column) -> Column:
     """The rows kept away from learning: crc32 of the id's text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -84,11 +112,11 @@ class Model:
         self.langs, self.table, self.temperature, self.reject = langs, table, temperature, reject
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(calibrated probabilities, has a letter) of every text."""
+        """(calibrated probabilities of the languages and of none of them, has a letter) of every text."""
         bucket, owner, has = subwords(texts)
         n = np.maximum(np.bincount(owner, minlength=len(texts) + 1)[:len(texts)], 1)
         logit = np.stack([np.bincount(owner, self.table[bucket, k], len(texts) + 1)[:len(texts)] / n
-                          for k in range(len(self.langs))], 1)
+                          for k in range(self.table.shape[1])], 1)
         return _softmax(logit / self.temperature), has
 
 
@@ -143,32 +171,32 @@ def train(docs: DataFrame, per_lang: int = 500, reject_share: float = 0.001, id_
         for batch in batches:
             for lo, hi in slices(batch.column(1), 400_000):
                 part = batch.slice(lo, hi - lo)
-                bucket, owner, has = subwords(part.column(1).to_pylist())
-                order = np.argsort(owner, kind="stable")
-                cut = np.searchsorted(owner[order], np.arange(1, part.num_rows))
-                tables = [np.unique(x, return_counts=True) for x in np.split(bucket[order], cut)]
-                yield pa.record_batch([part.column(0), part.column(2), pa.array([t[0].astype("<i4").tobytes() for t in tables], pa.binary()),
-                                       pa.array([t[1].astype("<i4").tobytes() for t in tables], pa.binary())],
-                                      names=["doc_id", "lang", "bucket", "n"]).filter(pa.array(has))
+                texts = part.column(1).to_pylist()
+                packed = [pa.array([x.astype("<i4").tobytes() for x in column], pa.binary())
+                          for made in (_bags(texts), [strange(t) for t in texts]) for column in zip(*made)]
+                yield pa.record_batch([part.column(0), part.column(2), *packed], names=["doc_id", "lang", "bucket", "n", "bucket0", "n0"]) \
+                    .filter(pa.array(subwords(texts)[2]))
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    sample = map_arrow(src.filter(drawn), run, f"doc_id {kind}, lang string, bucket binary, n binary").collect()
-    sample.sort(key=lambda r: (str(r[0]), r[1]))
+    sample = map_arrow(src.filter(drawn), run, f"doc_id {kind}, lang string, bucket binary, n binary, bucket0 binary, n0 binary").collect()
+    sample.sort(key=lambda r: (str(r[0]), r[1], r[2]))
     if not sample:
         return Model([], np.zeros((BUCKETS, 0), np.float32), 1.0, 0.0)
-    rows = [(np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<i4").astype(np.float32)) for r in sample]
-    labels = np.array([langs.index(r[1]) for r in sample])
-    check = np.arange(len(rows)) % 5 == 4
+    bag = lambda b, n: (np.frombuffer(b, "<i4"), np.frombuffer(n, "<i4").astype(np.float32))
+    none = sample[::max(1, len(langs) // 2)]  # no more than twice as many as a language has
+    rows = [bag(r[2], r[3]) for r in sample] + [bag(r[4], r[5]) for r in none]
+    labels = np.array([langs.index(r[1]) for r in sample] + [len(langs)] * len(none))
+    check = np.concatenate([np.arange(len(sample)) % 5 == 4, np.arange(len(none)) % 5 == 4])
     fit = np.flatnonzero(~check)
-    emb, out = sgd([rows[i] for i in fit], labels[fit], len(langs))
+    emb, out = sgd([rows[i] for i in fit], labels[fit], len(langs) + 1)
     table = (emb @ out).astype(np.float32)
     at = np.flatnonzero(check) if check.any() else fit
     logit = np.stack([(table[b] * n[:, None]).sum(0) / n.sum() for b, n in (rows[i] for i in at)])
     grid = 2.0 ** np.arange(-4, 4.01, 0.25)
     loss = [-np.log(np.maximum(_softmax(logit / t)[np.arange(len(at)), labels[at]], 1e-12)).mean() for t in grid]
     best = float(grid[int(np.argmin(loss))])
-    sure = _softmax(logit / best).max(1)
-    return Model(langs, table, best, float(min(0.5, np.quantile(sure, reject_share))))
+    sure = _softmax(logit / best)[labels[at] < len(langs), :len(langs)].max(1)
+    return Model(langs, table, best, float(min(0.5, np.quantile(sure, reject_share))) if len(sure) else 0.5)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,6 +210,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 if model.langs:
                     p, has = model.scores(texts)
+                    p = p[:, :len(model.langs)]
                     best, score = np.where(has, p.argmax(1), len(model.langs)), np.where(has, p.max(1), 0.0)
                 else:
                     best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))

@@ -50,13 +50,57 @@ def test_langid_odd_rows(spark):
         by[r["doc_id"]].append(r)
     assert all(by[i][0]["lang_pred"] == "und" and by[i][0]["score"] == 0 and by[i][0]["rejected"] for i in (1, 2, 3, 4))
     assert by[5][0] == by[5][1] and by[5][0]["lang_pred"] == "en" and by[None][0]["lang_pred"] == "en"
-    assert by[6][0]["lang_pred"] in model.langs
+    assert by[6][0]["lang_pred"] in model.langs and by[6][0]["rejected"]
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     none = langid.train(empty)
     assert langid.predict(empty, none).collect() == []
     assert langid.predict(spark.createDataFrame([(1, "words")], "doc_id long, text string"), none).first()["lang_pred"] == "und"
 
 
+def plain_scores(model, text):
+    """The probabilities of a text by the definition, one subword at a time."""
+    folded = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
+    found = []
+    for word in folded.split():
+        for n in langid.ORDERS:
+            edged = f" {word} "
+            for i in range(len(edged) - n + 1):
+                h = n
+                for c in edged[i:i + n]:
+                    h = (h ^ ord(c)) * 0x01000193 & 0xFFFFFFFF
+                    h ^= h >> 15
+                h = h * 0x85EBCA6B & 0xFFFFFFFF
+                found.append((h ^ h >> 13) % langid.BUCKETS)
+    logit = [sum(float(model.table[b, k]) for b in found) / len(found) / model.temperature for k in range(len(model.langs) + 1)]
+    e = [math.exp(x - max(logit)) for x in logit]
+    return [x / sum(e) for x in e]
+
+
+def test_langid_equals_its_definition(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs)
+    texts = [r["text"] for r in docs.limit(40).collect()] + ["a", "x1y", "É à la", "日本語", "a b c", "the\nand THE", "don't stop--now"]
+    got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        known = plain_scores(model, t)[:-1]
+        assert got[i]["score"] == pytest.approx(max(known), abs=1e-6)
+        assert got[i]["lang_pred"] == model.langs[known.index(max(known))]
+        assert got[i]["rejected"] == (max(known) < model.reject)
+
+
+@pytest.mark.parametrize("learned", [["en"], ["de", "en"], ["de", "en", "fr"]])
+def test_langid_rejects_what_it_has_not_learned(spark, learned):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    own, other = docs.filter(F.col("lang").isin(learned)), docs.filter(~F.col("lang").isin(learned))
+    model = langid.train(own)
+    rng = random.Random(5)
+    letters = [(i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(30))) for i in range(100)]
+    letters += [(100, "Это русский текст о погоде и городе"), (101, "日本語の文章です")]
+    gone = lambda df: langid.predict(df, model).agg(F.avg(F.col("rejected").cast("double"))).first()[0]
+    assert gone(own) < 0.01 and gone(other) > 0.95
+    assert gone(spark.createDataFrame(letters, "doc_id long, text string")) > 0.95
+
+
 def test_subwords_stay_within_words():
     texts = ["ab", "", "a b", "AB", "x1y", "abcd"]
     bucket, owner, has = langid.subwords(texts)
