@@ -1,9 +1,11 @@
 """Operator 9: personal data by weak supervision, in DataFrame functions alone.
 
-Candidates are the base matches (e-mail, IP, card and phone patterns) and looser forms of the same
-four kinds. Four labelers vote on every candidate: the strict pattern with its arithmetic, a
+Candidates are the base matches (e-mail, IP, card and phone patterns), looser forms of the same
+four kinds, and secrets: runs of 20 to 512 characters that hold letters and digits, as access tokens and
+keys do. Four labelers vote on every candidate: the strict pattern with its arithmetic, a
 gazetteer (top-level domains, address blocks, issuer prefixes, country codes), cue words in the
-text before it, and the characters around it. Vote patterns are counted over the whole corpus in
+text before it, and the characters around it; for a secret the strict labeler wants an issuer's prefix or
+that it is assigned to something, the gazetteer usual lengths of digests and mixed characters. Vote patterns are counted over the whole corpus in
 Spark; there are at most 16 for each kind, so that table is bounded. Expectation-maximisation on it
 estimates each labeler's reliability and each pattern's chance of being real, and a logistic
 classifier is trained on these. A looser candidate becomes a span if the classifier says so; base
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from chorus.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
+ALL = (*KINDS, "secret")  # secrets have looser candidates alone
 
 _LOCAL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++"
 BASE = {
@@ -45,22 +48,29 @@ LOOSE = {
     "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9A-Za-z._/])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9A-Za-z._/])",
     "phone": r"(?<![0-9A-Za-z+(._-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z_])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,512}+(?![A-Za-z0-9+/_-])",
 }
 LOOSE_HINT = {"email": r"[(\[](?:at|AT)[)\]]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]", "card": r"[0-9]{4}[._/][0-9]{4}",
-              "phone": r"[0-9]{3}[).\x20-]{1,2}[0-9]{3}[.-][0-9]{4}"}
+              "phone": r"[0-9]{3}[).\x20-]{1,2}[0-9]{3}[.-][0-9]{4}", "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}"}
 # FIXED VALUES of the labelers: gazetteers and cue words.
 KNOWN = {
     "email": r"(?i)[.)\]\x20](com|org|net|edu|gov|int|info|io|eu|de|fr|es|uk|it|nl|ch|at|us|ca)$",
     "ip": r"(?i)^(?!0+\.|127\.|22[4-9]\.|2[3-5][0-9]\.)[0-9]|^(2[0-9a-f]{3}|fe80|fd[0-9a-f]{2}):",
     "card": r"^(4|5[1-5]|2[2-7]|3[47]|6011|65|35)",
+    "secret": r"^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$|"
+              r"^(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])(?=[^0-9]*[0-9][^0-9]*[0-9])[A-Za-z0-9+/_-]+$",
     "phone": r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|^\(?[2-9]",
 }
 CUES = {
     "email": r"(?i)\b(e-?mail|mail|contact|write|kontakt|correo|courriel|from|to)\b",
     "ip": r"(?i)\b(ip|host|server|address|from|login|adresse|addr)\b",
     "card": r"(?i)\b(card|visa|mastercard|amex|credit|payment|karte|carte|tarjeta)\b",
+    "secret": r"(?i)(token|secret|passw|pwd|passphrase|api.?key|access.?key|private.?key|auth|bearer|credential)",
     "phone": r"(?i)\b(phone|tel|call|mobile|fax|cell|telefon|t[eé]l[eé]phone|tel[eé]fono)\b",
 }
+#: Prefixes by which issuers mark their tokens; a name given a value.
+ISSUED = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|pk_live_|rk_live_|AIza|ya29|eyJ|npm_|pypi-|SG|hf_)"
+ASSIGNED = r"[A-Za-z0-9_\x22'\])]\x20?(?:=|:|=>|:=)\x20?[\x22'`]?$|(?i)\b(bearer|basic)\x20$"
 LABELERS = ("strict", "known", "cue", "apart")
 
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
@@ -189,7 +199,8 @@ def _votes(kind: str, spans: Column, strict: bool) -> Column:
     """Spans with their vote pattern: four characters, 1 for a vote and 0 for none."""
     def one(x: Column) -> Column:
         core = _digits(x["s"]) if kind == "card" else x["s"]
-        votes = [F.lit(strict), core.rlike(KNOWN[kind]), x["before"].rlike(CUES[kind]), ~x["around"].rlike(r"[\p{L}\p{N}_]")]
+        sure = x["s"].rlike(ISSUED) | x["before"].rlike(ASSIGNED) if kind == "secret" else F.lit(strict)
+        votes = [sure, core.rlike(KNOWN[kind]), x["before"].rlike(CUES[kind]), ~x["around"].rlike(r"[\p{L}\p{N}_]")]
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"),
                         F.concat(*[v.cast("int").cast("string") for v in votes]).alias("votes"))
 
@@ -197,24 +208,24 @@ def _votes(kind: str, spans: Column, strict: bool) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """One row per document: base_<kind> and loose_<kind> arrays of (start, end, s, votes)."""
+    """One row per document: base_<kind> and loose_<kind> arrays of (start, end, s, votes); secrets are loose only."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    patterns = [(BASE[k], HINT[k]) for k in KINDS] + [(LOOSE[k], LOOSE_HINT[k]) for k in KINDS]
+    patterns = [(BASE[k], HINT[k]) for k in KINDS] + [(LOOSE[k], LOOSE_HINT[k]) for k in ALL]
     src = src.select("*", _found(F.col("text"), patterns).alias("found"))
     passing = [F.filter(F.get("found", F.lit(i)), _passing(k)) for i, k in enumerate(KINDS)]
-    src = src.select("doc_id", "text", F.array(*passing).alias("base"), F.slice("found", len(KINDS) + 1, len(KINDS)).alias("loose"))
+    src = src.select("doc_id", "text", F.array(*passing).alias("base"), F.slice("found", len(KINDS) + 1, len(ALL)).alias("loose"))
     free = lambda x: ~F.exists("base", lambda taken: _meets(x, taken))
     src = src.select("doc_id", "text", F.concat("base", F.transform("loose", lambda spans: F.filter(spans, free))).alias("lists"))
     src = src.select("doc_id", "text", _seen(F.col("text"), F.col("lists")).alias("seen"))
     out = [_votes(k, F.get("seen", F.lit(i)), True).alias(f"base_{k}") for i, k in enumerate(KINDS)]
-    out += [_votes(k, F.get("seen", F.lit(i + len(KINDS))), False).alias(f"loose_{k}") for i, k in enumerate(KINDS)]
+    out += [_votes(k, F.get("seen", F.lit(i + len(KINDS))), False).alias(f"loose_{k}") for i, k in enumerate(ALL)]
     return src.select("doc_id", *(["text"] if keep_text else []), *out)
 
 
 def vote_counts(cands: DataFrame) -> dict[tuple[str, str], int]:
     """How often each vote pattern occurs: at most 16 for each kind, counted over all rows."""
-    named = lambda k: F.transform(F.concat(f"base_{k}", f"loose_{k}"), lambda x: F.concat(F.lit(k + " "), x["votes"]))
-    every = F.concat(*[named(k) for k in KINDS])
+    named = lambda name, k: F.transform(f"{name}_{k}", lambda x: F.concat(F.lit(k + " "), x["votes"]))
+    every = F.concat(*[named("base", k) for k in KINDS], *[named("loose", k) for k in ALL])
     rows = cands.select(F.explode(every).alias("p")).groupBy("p").count().collect()
     return {tuple(r["p"].split(" ")): r["count"] for r in rows}
 
@@ -276,7 +287,7 @@ def _logistic(w: list[float], x: list[float]) -> float:
 
 
 def fit(cands: DataFrame) -> dict[tuple[str, str], float]:
-    """The span classifier for a corpus: a chance for each kind and vote pattern (64 at most)."""
+    """The span classifier for a corpus: a chance for each kind and vote pattern (80 at most)."""
     counts = vote_counts(cands)
     return train_classifier(counts, expectation_maximisation(counts)[0])
 
@@ -285,13 +296,13 @@ def _all_spans(kind: str, model: dict, level: float) -> Column:
     """Base spans and accepted looser ones of a kind, by start."""
     good = [v for (k, v), p in sorted(model.items()) if k == kind and p >= level]
     extra = F.filter(f"loose_{kind}", lambda x: x["votes"].isin(good)) if good else F.filter(f"loose_{kind}", lambda x: F.lit(False))
-    return F.array_sort(F.transform(F.concat(F.col(f"base_{kind}"), extra),
+    return F.array_sort(F.transform(F.concat(F.col(f"base_{kind}"), extra) if kind in KINDS else extra,
                                     lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
 
 
 def spans(cands: DataFrame, model: dict, level: float = 0.5) -> DataFrame:
     """(doc_id, base_<kind>, all_<kind>) with arrays of (start, end, ...)."""
-    return cands.select("doc_id", *[f"base_{k}" for k in KINDS], *[_all_spans(k, model, level).alias(f"all_{k}") for k in KINDS])
+    return cands.select("doc_id", *[f"base_{k}" for k in KINDS], *[_all_spans(k, model, level).alias(f"all_{k}") for k in ALL])
 
 
 def find(docs: DataFrame, level: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,11 +311,11 @@ def find(docs: DataFrame, level: float = 0.5, id_col: str = "doc_id", text_col:
     return spans(cands, fit(cands), level)
 
 
-def joined(prefix: str) -> Column:
-    """kind:start:end of all kinds in their order, joined by commas."""
+def joined(prefix: str, kinds: tuple[str, ...] = KINDS) -> Column:
+    """kind:start:end of these kinds in their order, joined by commas."""
     one = lambda k: F.transform(F.col(f"{prefix}_{k}"), lambda x: F.concat(
         F.lit(k + ":"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))
-    return F.array_join(F.concat(*[one(k) for k in KINDS]), ",")
+    return F.array_join(F.concat(*[one(k) for k in kinds]), ",")
 
 
 def redact(docs: DataFrame, level: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,7 +330,7 @@ def redact(docs: DataFrame, level: float = 0.5, id_col: str = "doc_id", text_col
     found = candidates(packed, "__row", "__text", keep_text=True).withColumnRenamed("doc_id", "__row")
     marked = lambda k: F.transform(_all_spans(k, model, level), lambda x: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), F.lit(f"<{k.upper()}>").alias("mark")))
-    marks = F.array_sort(F.concat(*[marked(k) for k in KINDS]))
+    marks = F.array_sort(F.concat(*[marked(k) for k in ALL]))
     found = found.select("__row", "text", marks.alias("marks"))
     ends = F.transform("marks", lambda x: x["end"])
 

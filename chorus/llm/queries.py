@@ -64,10 +64,12 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every document: base counts, their digest and all spans."""
+    """Personal data in every document: base counts, their digest and all spans; secrets; how many spans of either."""
     found = pii.find(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS],
-                        F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("all").alias("spans"))
+                        F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("all").alias("spans"),
+                        pii.joined("all", ("secret",)).alias("secrets"), F.size("all_secret").cast("long").alias("n_secret"),
+                        F.size(F.concat(*[f"all_{k}" for k in pii.ALL])).cast("long").alias("n_all"))
 
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
