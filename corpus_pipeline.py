@@ -2,8 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
 DataFrame; ``run`` writes every result as Parquet below ``spark.checkpoint.dir`` and reads it back for
-the next. All but the last return the columns of ``documents``; rows without an id cannot be followed
-through the stages and leave with the quality stage.
+the next. All but the last return the columns of ``documents``.
+
+Rows are followed by a key: their id where no different row has it, else (null ids, ids of several rows) a
+number made from the whole row, above all ids. So such rows are judged one by one: clean, distinct texts
+stay, and rows that are equal in every column count as one, which stays once. A label belongs to all rows
+with its id.
 """
 
 from __future__ import annotations
@@ -18,10 +22,25 @@ from chorus.llm.queries import WORD_BPE
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not among ``ids``; text moves only if these are very many."""
-    gone = written(ids.select("doc_id").distinct(), "gone")
-    return docs.join(small_or_plain(gone), "doc_id", "left_anti").select(*COLUMNS)
+#: Keys of rows whose id does not name them start here; ids of the tables lie below.
+UNNAMED = 1 << 62
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a column ``key``; text moves only if very many ids are repeated."""
+    docs = docs.select(*COLUMNS)
+    row = F.xxhash64(*[F.col(c).isNull() for c in COLUMNS], *COLUMNS).bitwiseAND(F.lit(UNNAMED - 1)) + F.lit(UNNAMED)
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
+    again = docs.join(small_or_plain(written(repeated, "repeated-ids")), "doc_id", "left_semi").select("doc_id", row.alias("row"))
+    several = written(again.groupBy("doc_id").agg((F.min("row") < F.max("row")).alias("several")).filter("several"), "ids-of-several")
+    named = F.col("doc_id").isNotNull() & F.col("several").isNull()
+    return docs.join(small_or_plain(several), "doc_id", "left").select(*COLUMNS, F.when(named, F.col("doc_id")).otherwise(row).alias("key"))
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents whose key is not among ``keys`` (column ``doc_id``); text moves only if these are very many."""
+    gone = written(keys.select(F.col("doc_id").alias("key")).distinct(), "gone")
+    return keyed.join(small_or_plain(gone), "key", "left_anti").select(*COLUMNS, "key")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,18 +52,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents too surprising to a model of trusted text go."""
-    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
-    return _without(docs.filter("doc_id is not null"), judged.filter(~F.col("kept")))
+    keyed, labels = _keyed(docs), table(spark, sf_dir, "labels")
+    unnamed = keyed.filter(F.col("key") >= UNNAMED).select("doc_id", "key").distinct()
+    theirs = labels.join(unnamed, "doc_id").select(F.col("key").alias("doc_id"), "quality", "toxic")
+    labels = written(labels.select("doc_id", "quality", "toxic").unionByName(theirs), "labels-by-key")
+    judged = quality.judge(keyed, labels, id_col="key")
+    return _without(keyed, judged.filter(~F.col("kept"))).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: of each class the document with the smallest id stays, once."""
-    found = written(minhash.near_duplicates(docs), "near-classes")
-    kept = _without(docs, found.filter(~F.col("kept")))
-    twice = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "repeated-ids")
-    if twice.isEmpty():
-        return kept
-    return _without(kept, twice).unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS))
+    """MinHash near-dedup: of each class the document with the smallest key stays, once."""
+    keyed = _keyed(docs)
+    found = written(minhash.near_duplicates(keyed, id_col="key"), "near-classes")
+    kept = _without(keyed, found.filter(~F.col("kept")))
+    twice = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "equal-rows")
+    equal = kept.join(small_or_plain(twice.withColumnRenamed("doc_id", "key")), "key", "left_semi")
+    return _without(kept, twice).select(*COLUMNS).unionByName(equal.dropDuplicates(["key"]).select(*COLUMNS))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
