@@ -97,6 +97,26 @@ def test_odd_documents(spark):
         assert out.collect() == []
 
 
+def test_rows_without_an_id_of_their_own_stay(spark):
+    """Null and repeated ids: distinct texts stay, copies and equal rows leave one, an id in use names the class."""
+    clean = [r for r in table(spark, SF, "documents").join(table(spark, SF, "labels").filter("quality = 1 and toxic = 0"), "doc_id", "left_semi")
+             .filter("lang = 'en' and n_chars between 400 and 4000").orderBy("doc_id").collect()]
+    classes = first_of_each_class({r["doc_id"]: r["text"] for r in clean})
+    texts = [r["text"] for r in clean if r["doc_id"] in classes]
+    assert len(texts) >= 8
+    ids = [None, None, 7, 7, 7, 8, None, 9]
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip(ids, texts)]
+    rows += [(7, texts[2], "en", "s", len(texts[2])), (None, texts[7], "en", "s", 1), (None, texts[0], None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = written(pipe.near_dedup(spark, docs, SF), "unnamed").collect()
+    assert sorted(r["text"] for r in out) == sorted(texts[:8])
+    assert next(r["doc_id"] for r in out if r["text"] == texts[7]) == 9
+    good = written(pipe.good_text(spark, docs, SF), "unnamed-good").collect()
+    assert len(good) == len(rows) and {r["text"] for r in good} == set(texts[:8])
+    every = table(spark, SF, "documents").select(*pipe.COLUMNS).unionByName(docs.filter("doc_id is null"))
+    assert pipe.language(spark, every, SF).filter("doc_id is null").count() == 5
+
+
 def test_entry_works_without_the_subpackage(tmp_path):
     """Copy the library without these folders and the pipeline: the entry still imports and lists its queries."""
     import shutil
