@@ -232,16 +232,18 @@ KEEP = 3
 LEAST_OF_CLASS = 5
 
 
-def search_sentiment(train: DataFrame, trials: int = 15, seed: int = 7, train_fraction: float = 0.8, parallel: int = 4) \
-        -> tuple[PipelineModel, list[tuple[dict, float]]]:
+def search_sentiment(train: DataFrame, trials: int = 15, seed: int = 7, train_fraction: float = 0.8, parallel: int = 4,
+                     halving: bool = True) -> tuple[PipelineModel, list[tuple[dict, float]]]:
     """Search over ``trials`` sampled settings by successive halving; the lowest validation log loss wins.
 
     All settings are fitted on a ninth of the training fold, the best third of them on a third, the best of these on
     all of it (small folds start at a larger share); a rung's fits run as parallel jobs. That is about a third of the fits' work without pruning. Shares go by a hash of the
     text, each within the next, and all rungs are judged on the same validation fold, which no copy of a training text can be in.
 
+    Without ``halving`` every setting is fitted on all of the training fold: the whole search.
+
     Features are made once and kept while the settings are tried. Returns the best model (refit on all of ``train``) and,
-    for each trial, (params, log loss) of the last rung it reached, with that rung's share as ``fitted_share``.
+    for each trial, (params, log loss), with ``halving`` of the last rung it reached and with that rung's share as ``fitted_share``.
     """
     rng = random.Random(seed)
     shared = Pipeline(stages=feature_stages(chi_square_words(train))).fit(train)
@@ -254,7 +256,7 @@ def search_sentiment(train: DataFrame, trials: int = 15, seed: int = 7, train_fr
     settings = [{"reg_param": 10 ** rng.uniform(-4, -0.5), "elastic_net": rng.choice([0.0, 0.0, 0.5])} for _ in range(trials)]
     results: dict[int, tuple[dict, float]] = {}
     # the first rung is the smallest share that holds every class of the fold often enough to be fitted
-    sizes = [900 // KEEP ** i for i in (2, 1, 0)]
+    sizes = [900 // KEEP ** i for i in ((2, 1, 0) if halving else (0,))]
     held = rows.where("__fit").groupBy("label").agg(*[F.count(F.when(F.col("__share") < s, 1)).alias(str(s)) for s in sizes]).collect()
     left, size = list(range(trials)), next((s for s in sizes[:-1] if all(r[str(s)] >= LEAST_OF_CLASS for r in held)), sizes[-1])
 
@@ -268,7 +270,7 @@ def search_sentiment(train: DataFrame, trials: int = 15, seed: int = 7, train_fr
         while True:
             with ThreadPool(min(parallel, len(left))) as pool:
                 losses = pool.map(inheritable_thread_target(rows.sparkSession)(tried), left)
-            results |= {i: (settings[i] | {"fitted_share": size / 900}, loss) for i, loss in zip(left, losses)}
+            results |= {i: (settings[i] | ({"fitted_share": size / 900} if halving else {}), loss) for i, loss in zip(left, losses)}
             left = [i for _, i in sorted(zip(losses, left))][:max(1, len(left) // KEEP)]
             if size == 900:
                 break

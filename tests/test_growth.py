@@ -197,3 +197,21 @@ def test_halving_finds_as_good_a_setting_with_less_work(spark, folds, monkeypatc
     losses = [ev.evaluate(real(reg_param=p["reg_param"], elastic_net=p["elastic_net"]).fit(rows.where("f")).transform(rows.where("not f"))) for p, _ in results]
     won = min(loss for p, loss in results if p["fitted_share"] == 1)
     assert won <= min(losses) * 1.01 and math.isfinite(won)
+
+
+def test_the_whole_search_fits_every_setting_on_the_whole_fold(spark, monkeypatch):
+    sizes, real = [], M.classifier
+
+    def counted(**p):
+        made = real(**p)
+        fit = made.fit
+        made.fit = lambda rows: sizes.append(rows.count()) or fit(rows)
+        return made
+
+    monkeypatch.setattr(M, "classifier", counted)
+    train = spark.createDataFrame([(i, f"{('good', 'fair', 'bad')[i % 3]} text {i}", float(i % 3)) for i in range(90)], "id long, text string, label double")
+    fold = train.where(M.hash_bucket(F.concat(F.lit("fold "), "text")) < 80).count()
+    best, results = M.search_sentiment(train, trials=4, halving=False)
+    assert sorted(sizes) == [fold] * 4 + [90]
+    assert all(set(p) == {"reg_param", "elastic_net"} for p, _ in results)
+    assert min(results, key=lambda r: r[1])[0]["reg_param"] == best.stages[-1].getRegParam()
