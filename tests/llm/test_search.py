@@ -166,3 +166,10 @@ def test_topk_equals_sql(spark):
     got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in op7_topk(spark, SF).collect()}
     assert got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-9 for k in want)
+
+
+def test_search_workers_forget_their_words():
+    topk.words_of("some words of a task")
+    assert len(topk._hash)
+    topk._ended()
+    assert not len(topk._hash)
