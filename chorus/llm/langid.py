@@ -26,6 +26,7 @@ results; only the named columns are read, whatever others are called; no rows gi
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 
 import numpy as np
@@ -88,6 +89,16 @@ def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [np.unique(x, return_counts=True) for x in np.split(bucket[order], cut)]
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the smallest type that holds them; its size in bytes comes first."""
+    size = 1 if (most := int(x.max(initial=0))) < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1)
+
+
 def strange(text: str) -> tuple[np.ndarray, np.ndarray]:
     """A bag of no language, made from a text: its letters in random order, or subwords drawn evenly."""
     seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
@@ -172,21 +183,25 @@ def train(docs: DataFrame, per_lang: int = 500, reject_share: float = 0.001, id_
             for lo, hi in slices(batch.column(1), 400_000):
                 part = batch.slice(lo, hi - lo)
                 texts = part.column(1).to_pylist()
-                packed = [pa.array([x.astype("<i4").tobytes() for x in column], pa.binary())
+                packed = [pa.array([_packed(x) for x in column], pa.binary())
                           for made in (_bags(texts), [strange(t) for t in texts]) for column in zip(*made)]
                 yield pa.record_batch([part.column(0), part.column(2), *packed], names=["doc_id", "lang", "bucket", "n", "bucket0", "n0"]) \
                     .filter(pa.array(subwords(texts)[2]))
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    sample = map_arrow(src.filter(drawn), run, f"doc_id {kind}, lang string, bucket binary, n binary, bucket0 binary, n0 binary").collect()
-    sample.sort(key=lambda r: (str(r[0]), r[1], r[2]))
+    sample = map_arrow(src.filter(drawn), run, f"doc_id {kind}, lang string, bucket binary, n binary, bucket0 binary, n0 binary", give_back).collect()
+    named = lambda r: (str(r[0]), r[1])
+    sample.sort(key=named)
+    sample = [r for _, same in itertools.groupby(sample, named) for r in sorted(same, key=lambda r: _unpacked(r[2]).astype("<i4").tobytes())]
     if not sample:
         return Model([], np.zeros((BUCKETS, 0), np.float32), 1.0, 0.0)
-    bag = lambda b, n: (np.frombuffer(b, "<i4"), np.frombuffer(n, "<i4").astype(np.float32))
+    bag = lambda b, n: (_unpacked(b), _unpacked(n).astype(np.float32))
     none = sample[::max(1, len(langs) // 2)]  # no more than twice as many as a language has
     rows = [bag(r[2], r[3]) for r in sample] + [bag(r[4], r[5]) for r in none]
     labels = np.array([langs.index(r[1]) for r in sample] + [len(langs)] * len(none))
     check = np.concatenate([np.arange(len(sample)) % 5 == 4, np.arange(len(none)) % 5 == 4])
+    del sample, none
+    give_back()  # the driver stays on
     fit = np.flatnonzero(~check)
     emb, out = sgd([rows[i] for i in fit], labels[fit], len(langs) + 1)
     table = (emb @ out).astype(np.float32)

@@ -415,3 +415,10 @@ def test_redaction(spark):
     assert got.columns == ["doc_id", "text", "source"]
     assert sorted(map(tuple, got.collect())) == [(1, "é mail <EMAIL>, <IP>.", "x"), (2, None, "y"), (3, "", None), (4, "nothing 12", "z")]
     assert pii.redact(spark.createDataFrame([], got.schema)).collect() == []
+
+
+def test_language_samples_are_sent_small():
+    bucket, n = langid._bags(["one two three four " * 50])[0]
+    assert len(langid._packed(bucket)) <= 2 * len(bucket) + 1 and len(langid._packed(n)) <= 2 * len(n) + 1
+    for x in ([], [0, 255], [256], [65535], [65536, 3]):
+        assert langid._unpacked(langid._packed(np.array(x, np.int64))).tolist() == x
