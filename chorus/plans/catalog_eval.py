@@ -99,7 +99,7 @@ SELECT Correct, count(*) AS n, avg(length) AS mean_length FROM k GROUP BY Correc
 
 def a27_length_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """Token-length summary of correct vs wrong predictions after the outlier cut."""
-    summary, _ = E.length_accuracy(A.predictions(spark, sf, with_text=True))
+    summary, _ = E.length_accuracy(A.predictions(spark, sf, with_length=True), length_col="length")
     return summary
 
 
@@ -112,7 +112,7 @@ SELECT * FROM """ + _nearest_sql("k", "length", QUANTILES, "Correct")
 
 def a27_length_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     """A27 + A12: nearest quantiles of token length for correct vs wrong predictions."""
-    _, q = E.length_accuracy(A.predictions(spark, sf, with_text=True))
+    _, q = E.length_accuracy(A.predictions(spark, sf, with_length=True), length_col="length")
     return q
 
 

@@ -142,9 +142,13 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
-    """Prediction frame (id, [CommentText,] Sentiment, Predicted) from the logits."""
+def predictions(spark: SparkSession, sf_dir: str, with_text: bool = False, with_length: bool = False) -> DataFrame:
+    """Prediction frame (id, [CommentText or length,] Sentiment, Predicted) from the logits.
+
+    ``with_length`` has the number of words in place of the text: made before the join, so that no text is shuffled.
+    """
     from ..functions.scalar import argmax, decode_label
+    from ..functions.text import words
 
     lg = logits(spark, sf_dir)
     pf = lg.select(
@@ -152,13 +156,13 @@ def predictions(spark: SparkSession, sf_dir: str, with_text: bool = False) -> Da
         decode_label(F.col("label")).alias("Sentiment"),
         decode_label(argmax(F.col("logits"))).alias("Predicted"),
     )
-    if with_text:
-        docs = read_table(spark, sf_dir, "documents").select(
-            F.col("doc_id").alias("id"), F.col("text").alias("CommentText"))
+    if with_text or with_length:
+        of_text = F.size(words(F.col("text"))).alias("length") if with_length else F.col("text").alias("CommentText")
+        docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), of_text)
         # a document without logits gets truth and prediction from its id
         by_id = lambda c, k: F.coalesce(c, decode_label(F.pmod(F.col("id") * k, F.lit(10)) % 3))
         pf = docs.join(pf, "id", "left").select(
-            "id", "CommentText", by_id("Sentiment", 1).alias("Sentiment"), by_id("Predicted", 7).alias("Predicted"))
+            "id", docs.columns[1], by_id("Sentiment", 1).alias("Sentiment"), by_id("Predicted", 7).alias("Predicted"))
     return pf
 
 
