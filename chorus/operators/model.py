@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import CountVectorizerModel, HashingTF, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark import StorageLevel, TaskContext, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +29,7 @@ from ..functions.scalar import decode_label, encode_label
 from ..functions.text import strip_emoji, words
 from ..schemas import RUN_LOG_SCHEMA, SEQ_LEN_TRAIN
 from ..session import scratch_path
+from .grams import CharGrams
 from .joins import with_row_index
 
 
@@ -133,9 +134,9 @@ STYLE_SQL = """
 SELECT *,
   CASE WHEN size(__toks) = 0 THEN 0.0 ELSE size(array_distinct(__toks)) / size(__toks) END AS style_distinct,
   CASE WHEN char_length(__text) = 0 THEN 0.0
-       ELSE char_length(regexp_replace(__text, '[\\\\p{L}\\\\p{N}\\\\s]', '')) / char_length(__text) END AS style_symbols,
-  CASE WHEN char_length(regexp_replace(__text, '[^\\\\p{L}]', '')) = 0 THEN 0.0
-       ELSE char_length(regexp_replace(__text, '[^\\\\p{Lu}]', '')) / char_length(regexp_replace(__text, '[^\\\\p{L}]', ''))
+       ELSE char_length(regexp_replace(__text, '[\\\\p{L}\\\\p{N}\\\\s]+', '')) / char_length(__text) END AS style_symbols,
+  CASE WHEN char_length(regexp_replace(__text, '[^\\\\p{L}]+', '')) = 0 THEN 0.0
+       ELSE char_length(regexp_replace(__text, '[^\\\\p{Lu}]+', '')) / char_length(regexp_replace(__text, '[^\\\\p{L}]+', ''))
   END AS style_upper
 FROM __THIS__
 """
@@ -201,8 +202,14 @@ def labelled_comments(comments: DataFrame) -> DataFrame:
 
 
 def train_sentiment(train: DataFrame, selected_words: int = SELECTED_WORDS, **params) -> PipelineModel:
-    """Select the words, then fit the classifier pipeline."""
-    return sentiment_pipeline(chi_square_words(train, selected_words), **params).fit(train)
+    """Select the words, then fit the classifier pipeline; features are made once and kept while it is fitted."""
+    stages = sentiment_pipeline(chi_square_words(train, selected_words), **params).getStages()
+    made = Pipeline(stages=stages[:-1]).fit(train)
+    rows = made.transform(train).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return PipelineModel(stages=[*made.stages, stages[-1].fit(rows)])
+    finally:
+        rows.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -288,11 +295,9 @@ def language_pipeline(num_features: int = 4096) -> Pipeline:
 
     Input: ``text``, ``label`` (double language index); see ``language_training_rows``.
     """
-    chars = SQLTransformer(statement="SELECT *, split(lower(coalesce(text, '')), '') AS __chars FROM __THIS__")
-    ngram = NGram(n=3, inputCol="__chars", outputCol="__grams")
-    tf = HashingTF(inputCol="__grams", outputCol="features", numFeatures=num_features)
+    grams = CharGrams(inputCol="text", outputCol="features", numFeatures=num_features)
     nb = NaiveBayes(featuresCol="features", labelCol="label", modelType="multinomial", smoothing=1.0)
-    return Pipeline(stages=[chars, ngram, tf, nb])
+    return Pipeline(stages=[grams, nb])
 
 
 def languages_of(docs: DataFrame) -> list[str]:

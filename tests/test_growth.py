@@ -7,11 +7,14 @@ from collections import Counter
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import HashingTF, NGram, SQLTransformer
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from chorus.functions.text import strip_emoji
 from chorus.operators import batches as B
 from chorus.operators import derived as D
+from chorus.operators import evaluate as E
 from chorus.operators import model as M
 from chorus.operators import profile as P
 from chorus.plans import catalog_eval as CE
@@ -215,3 +218,83 @@ def test_the_whole_search_fits_every_setting_on_the_whole_fold(spark, monkeypatc
     assert sorted(sizes) == [fold] * 4 + [90]
     assert all(set(p) == {"reg_param", "elastic_net"} for p, _ in results)
     assert min(results, key=lambda r: r[1])[0]["reg_param"] == best.stages[-1].getRegParam()
+
+
+def test_grams_are_those_of_ngram_and_hashing_tf(spark):
+    rows = [(1, None), (2, ""), (3, "ab"), (4, "abc"), (5, "ÄÖÜ Straße İstanbul 日本語テキスト 😀😀a😀"), (6, "😀é日"), (7, "\x01 \n\tABC abc"), (8, "word " * 500)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    chars = SQLTransformer(statement="SELECT *, split(lower(coalesce(text, '')), '') AS c FROM __THIS__")
+    for size in (64, 4096):
+        by_stage = Pipeline(stages=[chars, NGram(n=3, inputCol="c", outputCol="g"), HashingTF(inputCol="g", outputCol="f", numFeatures=size)]).fit(docs).transform(docs)
+        found = M.CharGrams(inputCol="text", outputCol="f", numFeatures=size).transform(docs)
+        assert {r["id"]: r["f"] for r in found.collect()} == {r["id"]: r["f"] for r in by_stage.collect()}
+    stages = [type(s).__name__ for s in M.language_pipeline().getStages()]
+    assert stages == ["CharGrams", "NaiveBayes"]  # no object for each character and 3-gram
+    path = scratch_path(spark, "language-model")
+    rows = docs.withColumn("label", (F.col("id") % 2).cast("double"))
+    model = M.language_pipeline(64).fit(rows)
+    M.save_model(model, path)
+    answers = [[r["language"] for r in M.predict_language(m, rows, ["a", "b"]).orderBy("id").collect()] for m in (model, M.load_model(path))]
+    assert answers[0] == answers[1]
+
+
+def test_emoji_are_found_above_the_look_ahead(spark):
+    docs = spark.createDataFrame([(1, "a©b®c"), (2, "é😀é☀️x"), (3, "plain"), (4, None), (5, ""), (6, "¨ÿ日本")], "id long, text string")
+    got = {r["id"]: r["t"] for r in docs.select("id", strip_emoji(F.col("text")).alias("t")).collect()}
+    assert got == {1: "abc", 2: "ééx", 3: "plain", 4: None, 5: "", 6: "¨ÿ日本"}
+    assert "CASE WHEN" in docs.select(strip_emoji(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_inputs_do_not_move_to_find_what_is_missing(spark):
+    plans = []
+
+    def compute(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return rows.select("id", F.length("text").alias("n"))
+
+    column = D.DerivedColumn(spark, scratch_path(spark, "derived"), D.fingerprint("length"), "id", compute)
+    rows = spark.range(0, 200, 1, 4).select("id", F.repeat(F.lit("x"), (F.col("id") % 9).cast("int")).alias("text"))
+    column.of(rows.where("id % 7 <> 0"))
+    assert {r["id"]: r["n"] for r in column.of(rows).collect()} == {i: i % 9 for i in range(200)}
+    assert len(plans) == 2 and "BroadcastHashJoin" in plans[1] and "SortMergeJoin" not in plans[1] and "hashpartitioning(id" not in plans[1]
+    nulls = spark.createDataFrame([(None, "x"), (1, "y"), (1, "y"), (2, None)], "id long, text string")
+    assert sorted((r["id"], r["n"] or 0) for r in column.of(nulls).collect()) == [(1, 1), (1, 1), (2, 0)]
+
+
+def test_length_accuracy_shuffles_no_text(spark, monkeypatch):
+    plans, real = [], E.length_accuracy
+
+    def seen(pf, *args, **more):
+        plans.append(pf._jdf.queryExecution().optimizedPlan().toString())
+        return real(pf, *args, **more)
+
+    monkeypatch.setattr(E, "length_accuracy", seen)
+    found = {r["Correct"]: (r["n"], r["mean_length"]) for r in CE.a27_length_accuracy(spark, SF_SMALL).collect()}
+    joined = plans[0][:plans[0].index("Join")] + plans[0][plans[0].index("Join"):].split("\n")[1]
+    assert "CommentText" not in plans[0] and "length" in joined
+    summary, _ = real(CE.A.predictions(spark, SF_SMALL, with_text=True))
+    assert found == {r["Correct"]: (r["n"], r["mean_length"]) for r in summary.collect()}
+
+
+def test_style_is_counted_by_runs(spark):
+    docs = spark.createDataFrame([(1, "Abc DEF, 12!!"), (2, "ÄÖ ß日本 #"), (3, ""), (4, "123 ..."), (5, None)], "id long, text string")
+    stages = M.feature_stages(["abc"])[:3]
+    got = {r["id"]: (r["style_symbols"], r["style_upper"]) for r in Pipeline(stages=stages).fit(docs).transform(docs).collect()}
+    assert got == {1: (3 / 13, 4 / 6), 2: (1 / 8, 2 / 5), 3: (0.0, 0.0), 4: (3 / 7, 0.0), 5: (0.0, 0.0)}
+    assert stages[2].getStatement().count("]+'") == 4  # one replacement a run, not one a character
+
+
+def test_features_are_made_once_for_the_fit(spark, monkeypatch):
+    seen, real = [], M.classifier
+
+    def kept(**p):
+        made = real(**p)
+        fit = made.fit
+        made.fit = lambda rows: seen.append(rows.storageLevel.useMemory) or fit(rows)
+        return made
+
+    monkeypatch.setattr(M, "classifier", kept)
+    rows = spark.createDataFrame([(i, f"{('good', 'fair', 'bad')[i % 3]} text {i}", float(i % 3)) for i in range(60)], "id long, text string, label double")
+    model = M.train_sentiment(rows, 10)
+    assert seen == [True]
+    assert M.score(model, rows).where("Predicted is null").count() == 0
