@@ -139,9 +139,9 @@ def trigram_counts(docs: DataFrame, fold: Column) -> DataFrame:
     return map_arrow(docs.select("text", fold.alias("fold")), run, "fold int, key long, n long", give_back).groupBy("fold", "key").agg(F.sum("n").alias("n"))
 
 
-def _discounts(table: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts for counts of one, two and more, from counts of counts (one row)."""
-    n1, n2, n3, n4 = table.select(*[F.count(F.when(F.col("n") == i, 1)) for i in (1, 2, 3, 4)]).first()
+def _discounts(counts: list[int]) -> list[float]:
+    """Modified Kneser-Ney discounts for counts of one, two and more, from counts of counts."""
+    n1, n2, n3, n4 = counts
     if not n1 or not n2:
         return [0.5, 0.75, 1.0]
     y = n1 / (n1 + 2 * n2)
@@ -149,53 +149,86 @@ def _discounts(table: DataFrame) -> list[float]:
     return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
 
 
-def _discount(n: Column, d: list[float]) -> Column:
-    return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
-
-
-def _contexts(table: DataFrame, context: Column, d: list[float]) -> DataFrame:
-    """(ctx, total, gamma): how often a context occurs and the mass its discounts set free."""
-    freed = sum(d[i] * F.count(F.when(F.col("n") == i + 1, 1) if i < 2 else F.when(F.col("n") > 2, 1)) for i in range(3))
-    return table.groupBy(context.alias("ctx")).agg(F.sum("n").alias("total"), freed.alias("freed")) \
-        .select("ctx", "total", (F.col("freed") / F.col("total")).alias("gamma"))
-
-
 class KneserNey:
-    """The count tables of one model of ``trigram_counts``, written below the shared folder.
+    """The count tables of the models of ``trigram_counts``, written below the shared folder.
 
-    ``others`` are the models of all but one fold, for the texts of that fold.
+    The model ``ALL`` has all rows; with ``folds`` there is one more for each fold, of all others, for the texts
+    of that fold. All are rows of the same tables, so that more models take no more jobs and joins.
     """
 
+    ALL = -1
+
     def __init__(self, counts: DataFrame, folds: bool = False):
-        self.others = [KneserNey(counts.filter(F.col("fold") != f)) for f in range(FOLDS)] if folds else []
-        self.c3 = written(counts.groupBy("key").agg(F.sum("n").alias("n")), "kn-c3")
-        self.c2 = written(self.c3.groupBy((F.col("key").bitwiseAND((1 << 2 * BITS) - 1)).alias("key"))
+        self.models = [self.ALL, *range(FOLDS if folds else 0)]
+        every = counts.groupBy("key").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("fold") == f, F.col("n"))).alias(f"n{f}") for f in self.models[1:]])
+        rest = [F.struct(F.lit(f).alias("m"), (F.col("n") - F.coalesce(F.col(f"n{f}"), F.lit(0))).alias("n")) for f in self.models[1:]]
+        every = every.select("key", F.inline(F.array(F.struct(F.lit(self.ALL).alias("m"), "n"), *rest))).filter("n > 0")
+        self.c3 = written(every.select("m", "key", "n"), "kn-c3")
+        self.c2 = written(self.c3.groupBy("m", (F.col("key").bitwiseAND((1 << 2 * BITS) - 1)).alias("key"))
                           .agg(F.count(F.lit(1)).alias("n")), "kn-c2")
-        self.c1 = written(self.c2.groupBy((F.col("key").bitwiseAND(MASK)).alias("key")).agg(F.count(F.lit(1)).alias("n")), "kn-c1")
-        self.d3, self.d2, self.d1 = (_discounts(t) for t in (self.c3, self.c2, self.c1))
-        self.ctx3 = written(_contexts(self.c3, F.shiftright("key", BITS), self.d3), "kn-ctx3")
-        self.ctx2 = written(_contexts(self.c2, F.shiftright("key", BITS), self.d2), "kn-ctx2")
-        whole = _contexts(self.c1, F.lit(0), self.d1).select("total", "gamma").first()
-        kinds = self.c1.count()
-        self.total1, self.gamma1 = (whole[0], whole[1]) if whole else (1, 1.0)
-        self.uniform = 1.0 / (kinds + 1)  # one more for a character never seen
-        self.empty = kinds == 0
+        self.c1 = written(self.c2.groupBy("m", (F.col("key").bitwiseAND(MASK)).alias("key")).agg(F.count(F.lit(1)).alias("n")), "kn-c1")
+        self.d3, self.d2, self.d1 = (self._learned(t) for t in (self.c3, self.c2, self.c1))
+        self.ctx3 = written(self._contexts(self.c3, F.shiftright("key", BITS), self.d3), "kn-ctx3")
+        self.ctx2 = written(self._contexts(self.c2, F.shiftright("key", BITS), self.d2), "kn-ctx2")
+        whole = {r["m"]: r for r in self._contexts(self.c1, F.lit(0), self.d1).collect()}
+        self.kinds = {m: whole[m]["kinds"] if m in whole else 0 for m in self.models}
+        self.total1 = {m: float(whole[m]["total"]) if m in whole else 1.0 for m in self.models}
+        # one more kind for a character never seen
+        self.floor = {m: (whole[m]["gamma"] if m in whole else 1.0) * (1.0 / (self.kinds[m] + 1)) for m in self.models}
+
+    def empty(self, m: int) -> bool:
+        return self.kinds[m] == 0
+
+    def _learned(self, table: DataFrame) -> dict[int, list[float]]:
+        """The discounts of every model."""
+        found = {r[0]: r[1:] for r in table.groupBy("m").agg(*[F.count(F.when(F.col("n") == i, 1)) for i in (1, 2, 3, 4)]).collect()}
+        return {m: _discounts(found.get(m, (0, 0, 0, 0))) for m in self.models}
+
+    def _of(self, values: dict[int, float], models: list[int]) -> Column:
+        """The value of the row's model, of these ``models``."""
+        out = F.lit(values[models[-1]])
+        for m in models[:-1]:
+            out = F.when(F.col("m") == m, values[m]).otherwise(out)
+        return out
+
+    def _discount(self, n: Column, d: dict[int, list[float]], models: list[int]) -> Column:
+        one, two, more = (self._of({m: d[m][i] for m in models}, models) for i in range(3))
+        return F.when(n == 1, one).when(n == 2, two).otherwise(more)
+
+    def _contexts(self, table: DataFrame, context: Column, d: dict[int, list[float]]) -> DataFrame:
+        """(m, ctx, total, gamma, kinds): how often a context occurs, the mass its discounts set free, what follows it."""
+        found = table.groupBy("m", context.alias("ctx")).agg(
+            F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"),
+            *[F.count(F.when(F.col("n") == i + 1, 1) if i < 2 else F.when(F.col("n") > 2, 1)).alias(f"f{i}") for i in range(3)])
+        freed = sum(self._of({m: d[m][i] for m in self.models}, self.models) * F.col(f"f{i}") for i in range(3))
+        return found.select("m", "ctx", "total", (freed / F.col("total")).alias("gamma"), "kinds")
 
     def log_probability(self, keys: DataFrame) -> DataFrame:
-        """(key, logp) of distinct trigrams (key): joins with every order's counts and contexts."""
+        """(key, logp) of distinct trigrams (key): joins with every order's counts and contexts.
+
+        Of distinct (fold, key) it is (fold, key, logp), by the model for the texts of that fold.
+        """
         low2, low1 = (1 << 2 * BITS) - 1, MASK
-        k = keys.select("key", F.col("key").bitwiseAND(low2).alias("k2"), F.col("key").bitwiseAND(low1).alias("k1"),
-                        F.shiftright("key", BITS).alias("x3"),
+        folds = "fold" in keys.columns
+        models = self.models[1:] if folds else [self.ALL]
+        k = keys.select(F.col("fold").alias("m") if folds else F.lit(self.ALL).alias("m"), "key", F.col("key").bitwiseAND(low2).alias("k2"),
+                        F.col("key").bitwiseAND(low1).alias("k1"), F.shiftright("key", BITS).alias("x3"),
                         F.shiftright(F.col("key").bitwiseAND(low2), BITS).alias("x2"))
-        named = lambda t, on, suffix: t.select(*[F.col(c).alias(on if c in ("key", "ctx") else c + suffix) for c in t.columns])
-        k = k.join(named(self.c1, "k1", "1"), "k1", "left").join(named(self.c2, "k2", "2"), "k2", "left") \
-            .join(named(self.ctx2, "x2", "2"), "x2", "left").join(named(self.c3, "key", "3"), "key", "left") \
-            .join(named(self.ctx3, "x3", "3"), "x3", "left")
-        one = lambda n, d, total: F.coalesce((n - _discount(n, d)) / total, F.lit(0.0))
-        p1 = one(F.col("n1"), self.d1, F.lit(float(self.total1))) + self.gamma1 * self.uniform
+        on = ["m"] if folds else []  # one model needs no column of its own
+
+        def named(t: DataFrame, key: str, order: str, *values: str) -> DataFrame:
+            t = t if folds else t.filter(F.col("m") == self.ALL)
+            return t.select(*on, F.col("ctx" if "ctx" in t.columns else "key").alias(key), *[F.col(v).alias(v + order) for v in values])
+
+        k = k.join(named(self.c1, "k1", "1", "n"), [*on, "k1"], "left").join(named(self.c2, "k2", "2", "n"), [*on, "k2"], "left") \
+            .join(named(self.ctx2, "x2", "2", "total", "gamma"), [*on, "x2"], "left") \
+            .join(named(self.c3, "key", "3", "n"), [*on, "key"], "left") \
+            .join(named(self.ctx3, "x3", "3", "total", "gamma"), [*on, "x3"], "left")
+        one = lambda n, d, total: F.coalesce((n - self._discount(n, d, models)) / total, F.lit(0.0))
+        p1 = one(F.col("n1"), self.d1, self._of(self.total1, models)) + self._of(self.floor, models)
         p2 = one(F.col("n2"), self.d2, F.col("total2")) + F.coalesce("gamma2", F.lit(1.0)) * p1
         p3 = one(F.col("n3"), self.d3, F.col("total3")) + F.coalesce("gamma3", F.lit(1.0)) * p2
-        return k.select("key", F.log(p3).alias("logp"))
+        return k.select(*[F.col("m").alias("fold")][:folds], "key", F.log(p3).alias("logp"))
 
 
 def chunks(docs: DataFrame, fold: Column) -> DataFrame:
@@ -225,18 +258,16 @@ def chunks(docs: DataFrame, fold: Column) -> DataFrame:
                      "docs_per_key binary, doc binary, n binary, postings long", give_back)
 
 
-def scored(docs: DataFrame, models: list[KneserNey], fold: Column | None = None) -> DataFrame:
+def scored(docs: DataFrame, model: KneserNey, fold: Column | None = None) -> DataFrame:
     """(doc_id, n_symbols, logp) of every row (doc_id, text); n_symbols 0 and logp 0 without text.
 
-    Each text is scored by the model of its ``fold``, all by the only one without.
+    Each text is scored by the model for its ``fold``, without by that of all.
     """
     packed = written(chunks(docs, F.lit(0) if fold is None else fold), "kn-chunks")
-    asked = written(packed.select("chunk", "fold", F.explode("keys").alias("key")), "kn-asked")
-    answer = None
-    for f, model in enumerate(models):
-        one = model.log_probability(asked.filter(F.col("fold") == f).select("key").distinct()).withColumn("fold", F.lit(f))
-        answer = one if answer is None else answer.unionByName(one)
-    told = asked.join(written(answer, "kn-answers"), ["fold", "key"]).groupBy("chunk").agg(F.collect_list(F.struct("key", "logp")).alias("told"))
+    on = ["key"] if fold is None else ["fold", "key"]
+    asked = written(packed.select("chunk", "fold", F.explode("keys").alias("key")), "kn-asked").select("chunk", *on)
+    answers = written(model.log_probability(asked.select(*on).distinct()), "kn-answers")
+    told = asked.join(answers, on).groupBy("chunk").agg(F.collect_list(F.struct("key", "logp")).alias("told"))
     rows = packed.drop("keys", "fold").join(told, "chunk", "left")
 
     def run(batches):
@@ -281,11 +312,11 @@ def judge(docs: DataFrame, labels: DataFrame, keep: float = 0.99, enough: int =
         F.sum("n_symbols").alias("n_symbols"), F.sum("logp").alias("logp")).select(
             "doc_id", "n_symbols", F.when(F.col("n_symbols") > 0, -F.col("logp") / F.col("n_symbols")).alias(loss))
     key = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))
-    rows = written(src.select("doc_id", "lang").join(one_each(scored(src, [model]), "loss"), "doc_id", "left").withColumn("key", key), "kn-scores")
+    rows = written(src.select("doc_id", "lang").join(one_each(scored(src, model), "loss"), "doc_id", "left").withColumn("key", key), "kn-scores")
     fine = written(labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct(), "kn-fine")
-    seen = [f for f, other in enumerate(model.others) if not other.empty]  # an empty model says nothing
+    seen = [f for f in range(FOLDS) if not model.empty(f)]  # an empty model says nothing
     judged = src.join(small_or_plain(fine), "doc_id", "left_semi").withColumn("fold", fold).filter(F.col("fold").isin(seen) if seen else F.lit(False))
-    unseen = one_each(scored(judged, model.others, F.col("fold")), "unseen").drop("n_symbols")
+    unseen = one_each(scored(judged, model, F.col("fold")), "unseen").drop("n_symbols")
     basis = written(rows.join(unseen, "doc_id").filter("unseen is not null"), "kn-basis")
     middle = lambda c: F.percentile_approx(c, 0.5, 10000)
     upper = lambda c: F.percentile_approx(c, keep, 10000)

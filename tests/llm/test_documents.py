@@ -422,3 +422,18 @@ def test_language_samples_are_sent_small():
     assert len(langid._packed(bucket)) <= 2 * len(bucket) + 1 and len(langid._packed(n)) <= 2 * len(n) + 1
     for x in ([], [0, 255], [256], [65535], [65536, 3]):
         assert langid._unpacked(langid._packed(np.array(x, np.int64))).tolist() == x
+
+
+def test_models_of_folds_share_tables_and_equal_models_made_alone(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(quality, "written", lambda df, name: (names.append(name), written(df, name))[1])
+    docs = spark.createDataFrame([(f"text {i} of {i * i} some {'words' if i % 3 else 'others'}",) for i in range(20)], "text string")
+    counts = written(quality.trigram_counts(docs, F.pmod(F.xxhash64("text"), F.lit(quality.FOLDS)).cast("int")), "test-counts")
+    model = quality.KneserNey(counts, folds=True)
+    assert len(names) == 5  # whatever the number of folds
+    keys = counts.select("key").distinct()
+    told = model.log_probability(keys.crossJoin(spark.range(quality.FOLDS).select(F.col("id").cast("int").alias("fold"))))
+    got = {(r["fold"], r["key"]): r["logp"] for r in told.collect()}
+    for f in (0, quality.FOLDS - 1):
+        alone = quality.KneserNey(counts.filter(F.col("fold") != f))
+        assert {(f, r["key"]): r["logp"] for r in alone.log_probability(keys).collect()} == {k: v for k, v in got.items() if k[0] == f}
