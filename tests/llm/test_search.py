@@ -173,3 +173,15 @@ def test_search_workers_forget_their_words():
     assert len(topk._hash)
     topk._ended()
     assert not len(topk._hash)
+
+
+def test_topk_shuffles_no_document_and_answers_are_few(spark, monkeypatch):
+    for name, value in (("SHARD", 5), ("PART", 5), ("BLOCK", 3), ("LEAST", 1)):
+        monkeypatch.setattr(topk, name, value)
+    df = spark.createDataFrame([(i, f"word w{i % 7} v{i % 11}") for i in range(100)], "doc_id long, text string").repartition(4)
+    found = topk.search(df, F.col("doc_id") % 20 == 0, k=2)
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan  # blocks of queries meet parts of the index where they are written
+    pairs = found._jdf.queryExecution().sparkPlan().toString()
+    assert f"Coalesce {topk.SHARDS}" in pairs  # a query has at most as many partial answers, however many parts there are
+    assert {r["query_id"]: r["rank"] for r in found.orderBy("rank").collect()} == {q: 2 for q in range(0, 100, 20)}
