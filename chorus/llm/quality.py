@@ -41,7 +41,7 @@ from chorus.llm.wordsplit import slices
 BITS, MASK = 21, (1 << 21) - 1
 BEGIN, END = MASK - 1, MASK
 #: Bytes of text in one chunk (one document at least), the most documents, and bytes cut at a time.
-CHUNK, CHUNK_DOCS, PIECE = 8_000_000, 60_000, 1_000_000
+CHUNK, CHUNK_DOCS, PIECE = 8_000_000, 60_000, 400_000
 #: Parts the trusted texts are dealt into, equal texts to one, to score each by a model of the others.
 FOLDS, FEW = 4, 64
 #: Documents that limits can be learned from, at least; with fewer there are none.

@@ -9,10 +9,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chorus.llm import langid, pii, quality
+from chorus.llm import common, langid, pii, quality
 from chorus.llm.common import written
 from chorus.llm.queries import op4_langid, op9_pii
 
@@ -437,3 +438,24 @@ def test_models_of_folds_share_tables_and_equal_models_made_alone(spark, monkeyp
     for f in (0, quality.FOLDS - 1):
         alone = quality.KneserNey(counts.filter(F.col("fold") != f))
         assert {(f, r["key"]): r["logp"] for r in alone.log_probability(keys).collect()} == {k: v for k, v in got.items() if k[0] == f}
+
+
+def test_rows_are_read_and_written_in_small_pieces(spark, tmp_path):
+    """Batches of 4096 whole documents and pages and row groups of any size are what an executor's heap grows by."""
+    import pyarrow.parquet as pq
+
+    spark.range(5).write.parquet(str(tmp_path / "documents.parquet"))
+    common.table(spark, str(tmp_path), "documents")
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+    rows = spark.range(60_000).select(F.sha2(F.col("id").cast("string"), 512).alias("a")).coalesce(1)
+    made = common.written(rows.withColumns({c: F.concat(F.col("a"), F.lit(c), F.reverse("a")) for c in "bcdefgh"}), "small-pieces")
+    files = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")) for f in made.inputFiles()]
+    assert max(f.metadata.row_group(g).total_byte_size for f in files for g in range(f.num_row_groups)) < 48 << 20
+    assert made.count() == 60_000
+
+
+def test_trigrams_of_a_chunk_do_not_depend_on_its_pieces(monkeypatch):
+    texts = pa.array([f"text {i} " * (i % 5) for i in range(50)] + [None, ""])
+    whole = quality.chunk_trigrams(texts)
+    monkeypatch.setattr(quality, "PIECE", 100)
+    assert all(a.tolist() == b.tolist() for a, b in zip(whole, quality.chunk_trigrams(texts)))
