@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +186,31 @@ def test_topk_shuffles_no_document_and_answers_are_few(spark, monkeypatch):
     pairs = found._jdf.queryExecution().sparkPlan().toString()
     assert f"Coalesce {topk.SHARDS}" in pairs  # a query has at most as many partial answers, however many parts there are
     assert {r["query_id"]: r["rank"] for r in found.orderBy("rank").collect()} == {q: 2 for q in range(0, 100, 20)}
+
+
+def test_topk_passes_a_part_by_that_cannot_answer(monkeypatch):
+    """Twelve documents equal to the query give its ten best; documents with one of its words can't be among them."""
+    bags = [topk.words_of(t) for t in ["one two three four five"] * 12 + ["one other"] * 20]
+    parts = [topk._part(0, list(range(1, 13)), bags[:12]), topk._part(1, list(range(13, 33)), bags[12:])]
+    parts = [topk.ShardIndex({c: p[c][0].as_buffer() for c in ("doc_id", "length", "words", "df", "doc", "tf")}, 3.0, 1.2, 0.75) for p in parts]
+    words = bags[0][0]
+    columns = {"query_id": [0], "size": [len(words)], "word": words, "often": [32 if w == topk.words_of("one")[0][0] else 12 for w in words]}
+    asked = topk.Asked({c: pa.py_buffer(np.array(x, np.int64).tobytes()) for c, x in columns.items()}, 10, 32)
+    put, best = [], topk.ShardIndex.best
+    monkeypatch.setattr(topk.ShardIndex, "best", lambda self, queries, *a: put.append(len(queries)) or best(self, queries, *a))
+    for part in parts:
+        asked.meet(part)
+    assert sum(put) == 1
+    assert asked.answers()["doc_id"].to_pylist() == list(range(1, 11))
+
+
+def test_topk_reads_texts_once_for_index_and_frequencies(spark, monkeypatch):
+    """Frequencies come from the written parts; only rows with a null id, which are in none, are cut into words for them."""
+    seen, kept = [], topk._frequencies
+    monkeypatch.setattr(topk, "_frequencies", lambda index, others: seen.append((index.columns, others.count())) or kept(index, others))
+    docs = spark.createDataFrame([(20, "a b"), (1, "a c"), (2, "b b"), (None, "a a a"), (None, None)], "doc_id long, text string")
+    found = topk.search(docs, F.col("doc_id") % 20 == 0).orderBy("rank").collect()
+    assert len(seen) == 1 and "words" in seen[0][0] and seen[0][1] == 2
+    idf = lambda df: math.log(1 + (5 - df + 0.5) / (df + 0.5))
+    score = lambda df, tf, n: round(idf(df) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 1.8)), 9)
+    assert {(r.doc_id, r.score) for r in found} == {(1, score(3, 1, 2)), (2, score(2, 2, 2))}
