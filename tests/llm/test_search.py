@@ -214,3 +214,64 @@ def test_topk_reads_texts_once_for_index_and_frequencies(spark, monkeypatch):
     idf = lambda df: math.log(1 + (5 - df + 0.5) / (df + 0.5))
     score = lambda df, tf, n: round(idf(df) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 1.8)), 9)
     assert {(r.doc_id, r.score) for r in found} == {(1, score(3, 1, 2)), (2, score(2, 2, 2))}
+
+
+def in_languages(n, seed=5):
+    """(ids, texts, languages): short and long texts in three vocabularies with few words in common, some mixed, copied or empty."""
+    rng = random.Random(seed)
+    texts, langs = [], []
+    for i in range(n):
+        lang = rng.choice("aaabc")
+        size = rng.choice([3, 30, 30, 60, 400])
+        words = [f"{lang}{min(int(rng.paretovariate(0.6)), 3000)}" if rng.random() < 0.98 else f"n{rng.randint(0, 50)}" for _ in range(size)]
+        if i % 50 == 7:
+            words, lang = [rng.choice("abc") + w for w in words], "mixed"
+        texts.append("" if i % 90 == 11 else texts[i - 5] if i % 60 == 20 else " ".join(words))
+        langs.append(langs[i - 5] if i % 60 == 20 else lang)
+    return list(range(n)), texts, langs
+
+
+def test_topk_puts_documents_of_one_language_together():
+    """Once a query has its answers, parts of other languages are passed by without adding up postings."""
+    ids, texts, langs = in_languages(1200)
+    bags = [topk.words_of(t) for t in texts]
+    groups = topk._groups(bags)
+    assert sorted(i for g in groups for i in g) == ids
+    clear = [g for g in groups if len(g) > 100]
+    assert len(clear) == 3 and all(len({langs[i] for i in g if len(bags[i][0]) > 20}) == 1 for g in clear)
+    length = [int(n.sum()) for _, n in bags]
+    df = Counter(w for words, _ in bags for w in words.tolist())
+    shards = [topk.ShardIndex({c: p[c][0].as_buffer() for c in ("doc_id", "length", "words", "df", "doc", "tf")}, sum(length) / len(ids), 1.2, 0.75)
+              for p in (topk._part(i, [ids[j] for j in g], [bags[j] for j in g]) for i, g in enumerate(clear))]
+    own = next(i for i, g in enumerate(clear) if langs[g[-1]] == "a")
+    queries = [i for i in clear[own] if langs[i] == "a" and len(bags[i][0]) > 20]
+    words = np.concatenate([bags[i][0] for i in queries])
+    columns = {"query_id": queries, "size": [len(bags[i][0]) for i in queries], "word": words, "often": [df[w] for w in words.tolist()]}
+    asked = topk.Asked({c: pa.py_buffer(np.array(x, np.int64).tobytes()) for c, x in columns.items()}, 10, len(ids))
+    asked.meet(shards[own])
+    assert (asked.least > -np.inf).all()
+    added, parts = [], topk.ShardIndex.rare_parts
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(topk.ShardIndex, "rare_parts", lambda self, who, rare, q, *a: added.append(q) or parts(self, who, rare, q, *a))
+        for i, shard in enumerate(shards):
+            if i != own:
+                asked.meet(shard)
+    assert sum(added) < 0.2 * 2 * len(queries)
+
+
+@pytest.mark.parametrize("columns", [0, 448])
+def test_topk_in_languages_equals_brute_force(spark, monkeypatch, columns):
+    """Parts by language and length; sums in 16-bit units and single precision leave out no answer, with equal scores too."""
+    for name, value in (("PART", 150), ("SHARD", 200), ("TOGETHER", 7), ("LONG", 5), ("COLUMNS", columns)):
+        monkeypatch.setattr(topk, name, value)
+    ids, texts, _ = in_languages(900)
+    rows = list(zip(ids, texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = defaultdict(list)
+    for r in topk.search(df, F.col("doc_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["doc_id"], r["score"]))
+    want = {q: a for q, a in bm25(rows, 10).items() if a}
+    assert got.keys() == want.keys()
+    for q in want:
+        assert [a[2] for a in got[q]] == pytest.approx([a[2] for a in want[q]], abs=2e-9)
+        assert [a[:2] for a in got[q]] == [a[:2] for a in want[q]]
